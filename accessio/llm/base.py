@@ -52,3 +52,10 @@ def text_of(column: str | Column) -> Column:
 def literal_longs(values: list[int]) -> Column:
     """An array literal; written as SQL text, which stays quick for thousands of values."""
     return F.expr("array(" + ",".join(f"{v}L" if v > -(1 << 63) else "(-9223372036854775807L - 1L)" for v in values) + ")")
+
+
+def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Arrow batches of few rows from now on, so that long texts don't pile up in a Python worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accessio.llm import chat, mixing, sharding
+from accessio.llm import chat, media, mixing, pii, sharding, tokens
 from accessio.llm.base import table
 
 #: A conversation that holds control strings; added to the table.
@@ -37,9 +37,44 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counted = tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+    return counted.select("doc_id", *tokens.OUTPUTS)
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.find_private(table(spark, sf_dir, "documents"))
+    return done.select(
+        "doc_id",
+        *[f"n_{kind}" for kind in pii.KINDS],
+        F.sha2(pii.joined(F.col("base_spans")), 256).alias("base_sha256"),
+        pii.joined(F.col("spans")).alias("spans"),
+    )
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = media.media_column(table(spark, sf_dir, "documents"))
+    coded = F.transform(F.arrays_zip("times", "codes"), lambda p: F.concat_ws(":", p["times"].cast("string"), F.lower(F.hex(p["codes"]))))
+    return made.select(
+        "doc_id",
+        "n_bytes",
+        "payload_bytes",
+        "payload_sha256",
+        "tail_crc32",
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.array_join(coded, ",").alias("feature"),
+    )
+
+
 QUERIES = {
     "op3_sharding": op3_sharding,
     "op5_chat": op5_chat,
+    "op4_tokens": op4_tokens,
+    "op7_pii": op7_pii,
+    "op8_media": op8_media,
     "op10_mixing": op10_mixing,
 }
 
