@@ -191,7 +191,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = S
     times = slots(spark, sources, draw(sources, shards, seed), seed).groupBy("idx", "block").agg(F.count(F.lit(1)).alias("times"))
     taken = (
         fragments(placed, block)
-        .join(times, ["idx", "block"], "left")
+        .join(times.hint("merge"), ["idx", "block"], "left")  # both sides grow with the corpus
         .groupBy("id", "idx", "size", "key", "start")
         .agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
         .drop("start")
