@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accessio.llm import chat, decontamination, media, mixing, pii, sharding, tokens
+from accessio.llm import chat, decontamination, media, mixing, pii, sharding, simhash, tokens
 from accessio.llm.base import table
 
 #: A conversation that holds control strings; added to the table.
@@ -73,8 +73,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("component_fp")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_simhash": op2_simhash,
     "op3_sharding": op3_sharding,
     "op5_chat": op5_chat,
     "op4_tokens": op4_tokens,
