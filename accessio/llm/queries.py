@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accessio.llm import chat, decontamination, media, mixing, pii, sharding, simhash, tokens
+from accessio.llm import chat, decontamination, media, mixing, pii, scoring, sharding, simhash, tokens, toxicity
 from accessio.llm.base import table
 
 #: A conversation that holds control strings; added to the table.
@@ -74,7 +74,18 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("component_fp")
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("component_fp", "row_key")
+
+
+def op6_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = toxicity.held_out(F.col("doc_id"))
+    model = toxicity.learnt(docs, labels.where(~held))
+    return toxicity.score_toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
 QUERIES = {
@@ -83,8 +94,10 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op5_chat": op5_chat,
     "op4_tokens": op4_tokens,
+    "op6_scoring": op6_scoring,
     "op7_pii": op7_pii,
     "op8_media": op8_media,
+    "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
 }
 

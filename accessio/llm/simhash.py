@@ -259,15 +259,17 @@ def _signed(x: int) -> int:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fingerprint (16 hex digits), component_id, component_fp: one row a document.
+    """id, fingerprint (16 hex digits), component_id, component_fp, row_key: one row a document.
 
     component_id is the smallest id of the component, nulls aside; component_fp
-    its smallest fingerprint, which names it even where all ids are null. Null and
-    empty texts have fingerprint 0 and link like any other; texts of fewer than
-    three words count as one shingle. Repeated rows are kept.
+    its smallest fingerprint, which names it even where all ids are null; row_key
+    the XXH64 of id and text. Null and empty texts have fingerprint 0 and link
+    like any other; texts of fewer than three words count as one shingle. Repeated
+    rows are kept.
     """
     bounded_batches(docs.sparkSession)
-    marked = settled(docs.select(F.col(id_col).alias("id"), fingerprints(text_of(text_col)).alias("fp")))
+    text = text_of(text_col)
+    marked = settled(docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("row_key"), fingerprints(text).alias("fp")))
     nodes = settled(marked.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(links(nodes, nodes.count()))
     rooted = nodes.join(roots, nodes["fp"] == roots["vertex"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -278,17 +280,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
         F.col("root").alias("component_fp"),
+        "row_key",
     )
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component: the one of smallest id; of rows that share it (or have none) any one."""
+    """One document of each component: the one of smallest id, nulls last; of rows alike in id and text one."""
     groups = near_duplicates(docs, id_col, text_col)
-    first = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id"), F.col("component_fp").alias("__fp")).distinct()
-    keep = carried(docs, ("__id", "__fp"))
-    kept = docs.join(first, F.col(id_col) == F.col("__id")).dropDuplicates(["__id"])
-    # documents without ids are told apart by fingerprint
-    nameless = first.where("__id IS NULL").select("__fp")
-    bare = docs.where(F.col(id_col).isNull()).withColumn("__own", fingerprints(text_of(text_col)))
-    alone = bare.join(nameless, F.col("__own") == F.col("__fp")).dropDuplicates(["__fp"])
-    return kept.select(*[F.col(c) for c in keep]).unionByName(alone.select(*[F.col(c) for c in keep]))
+    order = F.struct(F.col(id_col).isNull().alias("nameless"), F.col(id_col).alias("id"), F.col("row_key").alias("key"))
+    first = groups.groupBy("component_fp").agg(F.min(order).alias("first")).select(F.col("first.key").alias("__first"))
+    keep = carried(docs, ("__key", "__first"))
+    keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col), text_of(text_col)))
+    kept = keyed.join(first, F.col("__key") == F.col("__first"), "left_semi")
+    return kept.dropDuplicates(["__key"]).select(*[F.col(c) for c in keep])
