@@ -1,6 +1,379 @@
-"""Queries of the linkage operators on the driver's tables."""
+"""Queries of the linkage operators on the driver's tables, each with the SQL of its result.
+
+The tables hold no catalogue texts, so two views are derived from columns alone:
+`refs` (a reference text for each part) and `raw` (a looked-up record for each
+order). Both sides of a comparison build them by the same concatenation.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from accessio.functions import html as H
+from accessio.functions import text as T
+from accessio.operators import catalogue, evidence, identifiers, relational, report, terms
+from accessio.sources import lookup
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+REFS = """SELECT 'NCPPB ' || p_partkey AS ncppb_number, p_partkey, p_size,
+  'This isolate is also in the collections; ICMP ' || p_partkey || ', LMG-' || p_size || ' The source of this isolate was ex A.C. Brown B' || p_size AS other_references
+FROM part"""
+RAW = """SELECT o_orderkey, o_custkey, 'NCPPB ' || (o_orderkey % 300) AS ncppb_number, CAST(o_orderkey AS VARCHAR(20)) AS ncbi_uid,
+  CASE WHEN o_orderkey % 17 = 0 THEN 'no_hit' WHEN o_orderkey % 19 = 0 THEN 'error' ELSE 'ok' END AS status,
+  CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'Pseudomonas syringae' ELSE 'Xanthomonas citri' END AS organism,
+  CASE o_orderkey % 4 WHEN 0 THEN 'strain NCPPB ' || (o_orderkey % 300) WHEN 1 THEN 'culture NCPPB:' || (o_custkey % 300)
+    WHEN 2 THEN 'isolate ICMP ' || (o_orderkey % 300) || ' of leaf' ELSE 'LMG-' || (o_custkey % 50) || ' B ' || (o_custkey % 50) END AS metadata_text
+FROM orders"""
+# The general pattern for engines without lookaround; both sides read _ as :
+GENERAL_RE = r"\b(?:[A-Za-z]{1,10}(?:[-/][A-Za-z]{1,10})*)\s*[-:/.]?\s*(?:[0-9][A-Za-z0-9]*(?:[/.-][A-Za-z0-9]+)*)(?:\b|$)"
+CLEAN_SQL = r"trim(regexp_replace(replace(text, '_', ':'), '\s+', ' ', 'g'))"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _view(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
+    return spark.sql(sql.replace(f"FROM {name}", "FROM {source}"), source=_table(spark, sf_dir, name))
+
+
+def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, REFS, "part")
+
+
+def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, RAW, "orders")
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifier candidates of documents, by rule."""
+    docs = _table(spark, sf_dir, "documents")
+    found = identifiers.extract_identifiers(docs, "doc_id", "text")
+    return found.groupBy("rule_name", "include_for_search").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _long(c):
+    return c.cast("long")
+
+
+# Scalars and projections ---------------------------------------------------------------------------
+
+
+@query(r"SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS cleaned, CAST(length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS BIGINT) AS n FROM documents")
+def clean_text(spark, sf_dir):
+    """SCL1, SCL11, PRJ3"""
+    c = T.clean("text")
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(c).alias("cleaned"), _long(F.char_length(c)).alias("n"))
+
+
+@query(r"""SELECT c_custkey, CASE WHEN regexp_matches(c_name, '\d') THEN 'NCPPB ' || regexp_extract(c_name, '\d+') ELSE c_name END AS standard,
+  CASE WHEN regexp_matches(c_name, '\d') THEN 'NCPPB' || regexp_extract(c_name, '\d+') ELSE upper(c_name) END AS compact,
+  regexp_replace(c_name, '[^0-9]', '', 'g') AS digits, coalesce(nullif(ltrim(regexp_extract(c_name, '\d+'), '0'), ''), '0') AS bare FROM customer""")
+def numbers(spark, sf_dir):
+    """SCL3-5, SCL8, SCL9, SCL16"""
+    s = T.standard_number("c_name")
+    return _table(spark, sf_dir, "customer").select("c_custkey", s.alias("standard"), T.compact(s).alias("compact"), T.all_digits("c_name").alias("digits"), T.without_leading_zeros(T.first_digits("c_name")).alias("bare"))
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS ncppb_number, s_name AS current_name, CAST(s_nationkey AS VARCHAR) AS country, '' AS host FROM supplier")
+def alias_map(spark, sf_dir):
+    """PRJ1, PRJ2, PRJ5: headers in any case and spacing, by ranked aliases"""
+    given = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("NCPPB  No."), F.col("s_name").alias(" Taxon "), F.col("s_nationkey").alias("Country of Origin"))
+    return catalogue.map_columns(given).select("ncppb_number", "current_name", "country", "host")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'pv. ' || p_size ELSE p_brand END AS pathovar FROM part")
+def conditional_fill(spark, sf_dir):
+    """PRJ4, SCL6"""
+    rows = _table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 2 == 0, "").otherwise(F.col("p_brand")).alias("pathovar"), F.concat(F.lit("Xanthomonas campestris pv. "), "p_size").alias("name"))
+    return catalogue.fill_blank(rows, "pathovar", T.pathovar("name")).select("p_partkey", "pathovar")
+
+
+@query("SELECT p_partkey, 'ICMP ' || p_partkey || '; LMG-' || p_size AS found FROM part")
+def collection_numbers(spark, sf_dir):
+    """SCL7, AGG10"""
+    return refs(spark, sf_dir).select("p_partkey", T.collection_numbers("other_references", "other_references").alias("found"))
+
+
+@query(r"""SELECT p_partkey, CAST(len(list_filter(string_split(replace(replace(p_name, ' ', ' ; '), 'a', '|'), ';'), lambda x: trim(replace(x, '|', '')) <> '' OR false)) AS BIGINT) AS at_least,
+  array_to_string(list_filter(list_transform(string_split(replace(replace(replace(p_name, ' ', ' ; '), 'a', '|'), '|', ';'), ';'), lambda x: trim(x)), lambda x: x <> ''), '/') AS parts FROM part""")
+def split_multi(spark, sf_dir):
+    """EXP4"""
+    cell = F.replace(F.replace("p_name", F.lit(" "), F.lit(" ; ")), F.lit("a"), F.lit("|"))
+    some = F.filter(F.split(cell, ";"), lambda x: F.trim(F.replace(x, F.lit("|"), F.lit(""))) != "")
+    return _table(spark, sf_dir, "part").select("p_partkey", _long(F.size(some)).alias("at_least"), F.array_join(T.split_multi(cell), "/").alias("parts"))
+
+
+# Order, distinct, limits ---------------------------------------------------------------------------
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem) WHERE rn = 1")
+def first_wins_dedupe(spark, sf_dir):
+    """AGG1, AGG3, AGG4, WIN1"""
+    rows = _table(spark, sf_dir, "lineitem")
+    return relational.first_wins(rows, ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+
+
+@query("SELECT user_id, event_type, min(event_id) AS first_id FROM events GROUP BY user_id, event_type")
+def distinct_rows(spark, sf_dir):
+    """AGG2, AGG9"""
+    return relational.distinct_in_order(_table(spark, sf_dir, "events").select("user_id", "event_type", F.col("event_id").alias("first_id")), "first_id")
+
+
+@query(r"SELECT c_custkey, c_name FROM customer ORDER BY CAST(regexp_extract(c_name, '(\d+)', 1) AS DOUBLE) DESC NULLS LAST, c_custkey LIMIT 25")
+def numeric_key_sort_topk(spark, sf_dir):
+    """SRT1, LIM1, LIM4"""
+    number = F.regexp_extract("c_name", r"(\d+)", 1).try_cast("double")
+    return _table(spark, sf_dir, "customer").select("c_custkey", "c_name").orderBy(number.desc_nulls_last(), "c_custkey").limit(25)
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 ORDER BY min(o_orderkey) LIMIT 40) GROUP BY 1")
+def first_n_semi_join(spark, sf_dir):
+    """JN3, JN4, LIM1, LIM2"""
+    return relational.of_first_keys(_table(spark, sf_dir, "orders"), "o_custkey", 40, "o_orderkey").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT n_name, db AS ncbi_db FROM nation CROSS JOIN (VALUES ('biosample'), ('assembly'), ('sra'), ('taxonomy')) AS t(db)")
+def cross_join_dbs(spark, sf_dir):
+    """JN5"""
+    return relational.with_values(_table(spark, sf_dir, "nation").select("n_name"), "ncbi_db", terms.DATABASES)
+
+
+@query("""SELECT user_id, arg_max(event_type, rank * 10000000000 - event_id) AS event_type, arg_max(event_id, rank * 10000000000 - event_id) AS kept_id, min(event_id) AS first_id
+FROM (SELECT *, CASE event_type WHEN 'purchase' THEN 4 WHEN 'click' THEN 3 WHEN 'view' THEN 2 ELSE 0 END AS rank FROM events) GROUP BY user_id""")
+def upsert_by_rank(spark, sf_dir):
+    """AGG6, AGG7, SRT2, JN9"""
+    ranks = F.create_map(*[x for k, v in {"purchase": 4, "click": 3, "view": 2}.items() for x in (F.lit(k), F.lit(v))])
+    rows = _table(spark, sf_dir, "events").select("user_id", "event_type", F.col("event_id").alias("kept_id"), F.col("event_id").alias("first_id"))
+    return relational.upsert_by_rank(rows, ["user_id"], F.coalesce(F.try_element_at(ranks, F.col("event_type")), F.lit(0)), "first_id")
+
+
+# Terms and identifiers -----------------------------------------------------------------------------
+
+
+@query("""WITH m AS (SELECT p_partkey, 'NCPPB ' || p_partkey AS n, 'NCPPB' || p_partkey AS c, p_name AS cur, CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_type END AS rec FROM part)
+SELECT DISTINCT * FROM (
+  SELECT n AS ncppb_number, 'ncppb_number' AS term_type, n AS search_term FROM m
+  UNION ALL SELECT n, 'ncppb_number_compact', c FROM m
+  UNION ALL SELECT n, 'collection_name_plus_number', '"National Collection of Plant Pathogenic Bacteria" ' || p_partkey FROM m
+  UNION ALL SELECT n, 'current_name_plus_number', '"' || cur || '" "' || n || '"' FROM m WHERE cur <> ''
+  UNION ALL SELECT n, 'received_name_plus_number', '"' || rec || '" "' || n || '"' FROM m WHERE rec <> '' AND rec <> cur
+  UNION ALL SELECT n, 'alternative_name_plus_number', '"alt ' || p_partkey || '" "' || n || '"' FROM m
+  UNION ALL SELECT n, 'other_collection_number', 'ICMP ' || p_partkey FROM m
+  UNION ALL SELECT n, 'other_collection_number', 'LMG 1' FROM m)""")
+def multi_branch_terms(spark, sf_dir):
+    """SET1, SCL10, FLT2, FLT3, AGG2"""
+    key = F.concat(F.lit("NCPPB "), "p_partkey")
+    rows = _table(spark, sf_dir, "part").select(
+        key.alias("ncppb_number"), T.compact(key).alias("ncppb_number_compact"), F.col("p_name").alias("current_name"), F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(F.col("p_type")).alias("name_as_received"),
+        F.concat(F.lit("alt "), "p_partkey").alias("alternative_names"), F.concat(F.lit("ICMP "), "p_partkey", F.lit(" ;| LMG 1")).alias("other_collection_numbers"), F.col("p_partkey").alias("ord"),
+    )
+    return terms.search_terms(rows, "ord")
+
+
+@query(rf"SELECT doc_id, CAST(len(regexp_extract_all({CLEAN_SQL}, '{GENERAL_RE}')) AS BIGINT) AS n, array_to_string(regexp_extract_all({CLEAN_SQL}, '{GENERAL_RE}'), chr(10)) AS found FROM documents")
+def identifier_candidates_general(spark, sf_dir):
+    """SCL19, EXP5: all matches of the general pattern"""
+    found = T.matches(T.clean(F.translate("text", "_", ":")), identifiers.GENERAL, 2)
+    return _table(spark, sf_dir, "documents").select("doc_id", found.alias("m")).select("doc_id", _long(F.size("m")).alias("n"), F.array_join(F.transform("m", lambda m: m["text"]), "\n").alias("found"))
+
+
+@query(rf"""WITH t AS (SELECT doc_id, {CLEAN_SQL} AS t FROM documents), m AS (SELECT doc_id, t, regexp_replace(t, '({GENERAL_RE})', chr(1) || '\1' || chr(2)) AS s FROM t)
+SELECT doc_id, strpos(s, chr(1)) - 1 AS start_at, strpos(s, chr(2)) - 2 AS end_at,
+  trim(regexp_replace(substr(t, CAST(greatest(strpos(s, chr(1)) - 1 - 80, 0) + 1 AS BIGINT), CAST(strpos(s, chr(2)) - 2 + 80 - greatest(strpos(s, chr(1)) - 1 - 80, 0) AS BIGINT)), '\s+', ' ', 'g')) AS context
+FROM m WHERE strpos(s, chr(1)) > 0""")
+def context_window(spark, sf_dir):
+    """SCL20, SCL21, WIN3: offsets and surroundings of the first match"""
+    text = T.clean(F.translate("text", "_", ":"))
+    first = _table(spark, sf_dir, "documents").select("doc_id", text.alias("t")).withColumn("m", F.get(T.matches(F.col("t"), identifiers.GENERAL, 2), F.lit(0))).where("m IS NOT NULL")
+    return first.select("doc_id", _long(F.col("m.start")).alias("start_at"), _long(F.col("m.end")).alias("end_at"), T.context(F.col("t"), F.col("m.start"), F.col("m.end")).alias("context"))
+
+
+_REF_ROWS = f"""WITH refs AS ({REFS}), rows AS (
+  SELECT *, 0 AS place, 'ICMP ' || p_partkey AS matched_text, 'ICMP' AS prefix, '' || p_partkey AS suffix, 'known_collection_prefix' AS rule_name, 'high' AS confidence FROM refs
+  UNION ALL SELECT *, 1, 'LMG-' || p_size, 'LMG', '' || p_size, 'known_collection_prefix', 'high' FROM refs
+  UNION ALL SELECT *, 2, 'B' || p_size, 'B', '' || p_size, 'source_context_single_letter_code', 'low' FROM refs)"""
+
+
+@query(_REF_ROWS + """ SELECT ncppb_number, matched_text, prefix || ' ' || suffix AS normalized_identifier, prefix, suffix, rule_name, confidence, 'yes' AS include_for_search,
+  prefix || '[All Fields] AND ' || suffix || '[All Fields]' AS biosample_query, CAST(place AS BIGINT) AS place FROM rows""")
+def identifier_candidates_known(spark, sf_dir):
+    """EXP5, SCL12, SCL13, RUL1, AGG6, SET4: candidates with merge and order"""
+    found = identifiers.extract_identifiers(refs(spark, sf_dir))
+    return found.select("ncppb_number", "matched_text", "normalized_identifier", "prefix", "suffix", "rule_name", "confidence", "include_for_search", "biosample_query", _long(F.col("place")).alias("place"))
+
+
+@query(_REF_ROWS + " SELECT rule_name, confidence, count(*) AS n, count(DISTINCT ncppb_number) AS strains FROM rows GROUP BY 1, 2")
+def classify_candidates(spark, sf_dir):
+    """RUL1, FLT8, AGG14"""
+    found = identifiers.extract_identifiers(refs(spark, sf_dir), keep_empty=False)
+    return found.groupBy("rule_name", "confidence").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ncppb_number").alias("strains"))
+
+
+@query(rf"SELECT count(*) AS n_docs, count(*) FILTER (NOT regexp_matches({CLEAN_SQL}, '{GENERAL_RE}')) AS n_empty FROM documents")
+def outer_expand(spark, sf_dir):
+    """EXP6, FLT9: a text without candidates keeps one row"""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.translate("text", "_", ":").alias("text"))
+    found = identifiers.extract_identifiers(docs, "doc_id", "text")
+    return found.agg(F.count_distinct("ncppb_number").alias("n_docs"), F.count_if(F.col("rule_name") == "no_identifier_found").alias("n_empty"))
+
+
+@query(f"""WITH refs AS ({REFS}) SELECT ncppb_number, 'ncppb_number' AS query_source, ncppb_number AS normalized_identifier, 'NCPPB[All Fields] AND ' || p_partkey || '[All Fields]' AS search_term FROM refs
+UNION ALL SELECT ncppb_number, 'other_reference', 'ICMP ' || p_partkey, 'ICMP[All Fields] AND ' || p_partkey || '[All Fields]' FROM refs
+UNION ALL SELECT ncppb_number, 'other_reference', 'LMG ' || p_size, 'LMG[All Fields] AND ' || p_size || '[All Fields]' FROM refs
+UNION ALL SELECT ncppb_number, 'other_reference', 'B ' || p_size, 'B[All Fields] AND ' || p_size || '[All Fields]' FROM refs""")
+def query_specs(spark, sf_dir):
+    """SET2, AGG4, SCL14, FLT1, WIN1"""
+    found = identifiers.extract_identifiers(refs(spark, sf_dir), carry=("p_partkey",))
+    return lookup.query_specs(found.withColumn("ord", F.col("p_partkey") * 1000 + F.col("place")), "ord").select("ncppb_number", "query_source", "normalized_identifier", "search_term")
+
+
+# Evidence ------------------------------------------------------------------------------------------
+
+# Which identifiers of its strain a record names, for SQL without lookaround.
+_JUDGED = f"""WITH refs AS ({REFS}), raw AS ({RAW}), joined AS (
+  SELECT w.*, r.p_partkey, r.p_size, ' ' || metadata_text || ' ' AS t FROM raw w LEFT JOIN refs r USING (ncppb_number)
+), hits AS (
+  SELECT *, p_partkey IS NOT NULL AND regexp_matches(t, '\\bNCPPB[ :]0*' || p_partkey || '[^0-9]') AS own,
+    p_partkey IS NOT NULL AND regexp_matches(t, '[^A-Za-z0-9]ICMP ' || p_partkey || '[^A-Za-z0-9]') AS icmp,
+    p_partkey IS NOT NULL AND regexp_matches(t, '[^A-Za-z0-9]LMG-' || p_size || '[^A-Za-z0-9]') AS lmg,
+    p_partkey IS NOT NULL AND regexp_matches(t, '[^A-Za-z0-9]B ' || p_size || '[^A-Za-z0-9]') AS b,
+    regexp_extract(t, 'NCPPB[ :]0*([0-9]+)', 1) AS named, CAST(o_orderkey % 300 AS VARCHAR) AS expected FROM joined
+), best AS (
+  SELECT *, CASE WHEN status <> 'ok' THEN '' WHEN own THEN ncppb_number WHEN icmp THEN 'ICMP ' || p_partkey WHEN lmg THEN 'LMG ' || p_size WHEN b THEN 'B ' || p_size ELSE '' END AS best,
+    CASE WHEN own THEN 100 WHEN icmp OR lmg THEN 90 WHEN b THEN 40 ELSE 0 END AS points, named <> '' AND named <> expected AS clash FROM hits
+), judged AS (
+  SELECT *, CASE WHEN status = 'no_hit' THEN 'no_biosample_candidate' WHEN status <> 'ok' THEN 'review_query_error' WHEN clash THEN 'reject_conflicting_identifier'
+    WHEN organism LIKE 'P%' AND points >= 90 THEN 'review_strong_identifier_non_target_organism' WHEN organism LIKE 'P%' AND points > 0 THEN 'reject_weak_identifier_non_target_organism'
+    WHEN organism LIKE 'P%' THEN 'reject_non_target_taxon' WHEN points = 100 THEN 'confirmed_ncppb_identifier' WHEN points = 90 THEN 'confirmed_equivalent_collection_identifier'
+    WHEN points > 0 THEN 'review_local_or_donor_identifier_only' WHEN organism <> '' THEN 'review_taxon_only' ELSE 'review_no_organism_or_strain_identifier' END AS class FROM best
+), decided AS (
+  SELECT *, CASE WHEN class = 'no_biosample_candidate' THEN 'no_data' WHEN class LIKE 'confirmed%' THEN 'accept' WHEN class LIKE 'reject%' THEN 'reject' ELSE 'review' END AS decision,
+    CASE WHEN class = 'review_taxon_only' THEN 20 WHEN status <> 'ok' OR class IN ('reject_non_target_taxon', 'review_no_organism_or_strain_identifier') THEN 0 ELSE points END AS score FROM judged)"""
+
+
+def _patterns(spark, sf_dir) -> DataFrame:
+    found = identifiers.extract_identifiers(refs(spark, sf_dir), carry=("p_partkey",))
+    return evidence.build_patterns(found.withColumn("ord", F.col("p_partkey") * 1000 + F.col("place")), "ord")
+
+
+def _judged(spark, sf_dir) -> DataFrame:
+    return evidence.classify_rows(raw(spark, sf_dir), _patterns(spark, sf_dir))
+
+
+@query(_JUDGED + " SELECT ncbi_uid, best AS matched_identifier FROM best WHERE best <> ''")
+def pattern_match_best(spark, sf_dir):
+    """JN1, JN2, AGG7, AGG8, SCL23, SCL24, FLT7, RUL3"""
+    joined = raw(spark, sf_dir).where("status = 'ok'").join(_patterns(spark, sf_dir), "ncppb_number")
+    best = evidence.best_identifier(F.col("patterns"), F.col("metadata_text"))
+    return joined.select("ncbi_uid", best["value"].alias("matched_identifier")).where("matched_identifier IS NOT NULL")
+
+
+@query("""WITH t AS (SELECT o_orderkey, o_orderkey % 300 AS own, 'NCPPB ' || (o_orderkey % 300) || ', NCPPB No. 00' || (o_custkey % 300) || '; ncppb#' || (o_orderkey % 7) AS text FROM orders)
+SELECT o_orderkey, array_to_string(list_sort(list_filter(list_distinct([CAST(own AS VARCHAR), CAST((SELECT o_custkey FROM orders o WHERE o.o_orderkey = t.o_orderkey) % 300 AS VARCHAR), CAST(o_orderkey % 7 AS VARCHAR)]), lambda x: x <> CAST(own AS VARCHAR))), ';') AS conflicts FROM t""")
+def conflict_numbers(spark, sf_dir):
+    """SCL16, SCL26, AGG11, SET5, SRT3"""
+    own = F.col("o_orderkey") % 300
+    text = F.concat(F.lit("NCPPB "), own, F.lit(", NCPPB No. 00"), F.col("o_custkey") % 300, F.lit("; ncppb#"), F.col("o_orderkey") % 7)
+    found = F.array_sort(F.array_except(T.found_numbers(text), F.array(own.cast("string"))))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(found, ";").alias("conflicts"))
+
+
+@query(_JUDGED + """ SELECT ncbi_uid, decision AS evidence_decision, class AS evidence_class, CAST(score AS VARCHAR) AS evidence_score,
+  CASE WHEN class IN ('review_taxon_only', 'reject_non_target_taxon', 'review_no_organism_or_strain_identifier') THEN '' ELSE best END AS matched_identifier FROM decided""")
+def classify_evidence(spark, sf_dir):
+    """RUL2-RUL4, JN1, JN2, FLT6, PRJ6"""
+    return _judged(spark, sf_dir).select("ncbi_uid", "evidence_decision", "evidence_class", "evidence_score", "matched_identifier")
+
+
+@query(_JUDGED + " SELECT count(*) FILTER (decision = 'accept') AS accepted, count(*) FILTER (decision <> 'accept') AS reviewed FROM decided")
+def split_accept_review(spark, sf_dir):
+    """SNK3, SNK4, AGG13"""
+    accept = F.col("evidence_decision") == "accept"
+    return _judged(spark, sf_dir).agg(F.count_if(accept).alias("accepted"), F.count_if(~accept).alias("reviewed"))
+
+
+@query(_JUDGED + " SELECT decision AS evidence_decision, class AS evidence_class, count(*) AS n, CAST(grouping(decision, class) AS BIGINT) AS level FROM decided GROUP BY ROLLUP (decision, class)")
+def audit_rollup(spark, sf_dir):
+    """AGG14"""
+    return report.rollup_counts(_judged(spark, sf_dir), "evidence_decision", "evidence_class")
+
+
+@query(_REF_ROWS + " SELECT count(*) AS n_rows, count(*) AS n_included, CAST(0 AS BIGINT) AS n_rejected, CAST(0 AS BIGINT) AS n_empty, count(DISTINCT ncppb_number || prefix || ' ' || suffix) AS n_distinct FROM rows")
+def identifier_summary(spark, sf_dir):
+    """AGG13, AGG14"""
+    return report.identifier_summary(identifiers.extract_identifiers(refs(spark, sf_dir)))
+
+
+# Pages and documents -------------------------------------------------------------------------------
+
+
+@query(r"""SELECT page_id, CAST(len(regexp_extract_all(html, '<a\b[^>]*?href\s*=\s*["'']?([^"''\s>]*)[^>]*>(.*?)</a>')) AS BIGINT) AS n_links,
+  array_to_string(list_transform(regexp_extract_all(html, '<a\b[^>]*?href\s*=\s*["'']?([^"''\s>]*)[^>]*>(.*?)</a>', 1), lambda x: CASE WHEN starts_with(x, '/') THEN 'https://example.org' || x WHEN regexp_matches(x, '^[a-z]+:') THEN x ELSE 'https://example.org/' || x END), ' ') AS links FROM pages""")
+def page_links(spark, sf_dir):
+    """EXP1, EXP2, SCL30, SCL32, JN10"""
+    found = H.links("html")
+    return _table(spark, sf_dir, "pages").select("page_id", _long(F.size(found)).alias("n_links"), F.array_join(F.transform(found, lambda x: H.absolute(x["href"], "https://example.org/")), " ").alias("links"))
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '<[^>]+>', '', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS title,
+  CAST(length(regexp_replace(html, '<[^>]+>', '', 'g')) AS BIGINT) AS n_text FROM pages""")
+def page_label_values(spark, sf_dir):
+    """EXP3, SCL29, JN8, FLT5"""
+    title = T.clean(H.unescape_common(H.without_tags(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1))))
+    return _table(spark, sf_dir, "pages").select("page_id", title.alias("title"), _long(F.char_length(F.regexp_replace(H.page_source("html"), "<[^>]+>", ""))).alias("n_text"))
+
+
+@query("SELECT event_id, CAST(coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER), 0) AS BIGINT) AS k FROM events")
+def json_flatten(spark, sf_dir):
+    """JSN1-JSN3"""
+    parsed = F.from_json("props", "k string", {"allowUnquotedControlChars": "true"})
+    return _table(spark, sf_dir, "events").select("event_id", _long(F.coalesce(parsed["k"].try_cast("int"), F.lit(0))).alias("k"))
+
+
+@query("SELECT p_partkey, 'strain: ' || p_partkey || '; host: ' || p_brand || '; attribute: ' || p_size AS attributes FROM part")
+def xml_attributes(spark, sf_dir):
+    """XML1-XML3, SCL17"""
+    xml = F.concat(F.lit('<Attribute attribute_name="strain" harmonized_name="x">'), "p_partkey", F.lit('</Attribute><Attribute harmonized_name="host">'), "p_brand", F.lit("</Attribute><Attribute> "), "p_size", F.lit(" </Attribute><Attribute/>"))
+    return _table(spark, sf_dir, "part").select("p_partkey", lookup.xml_attributes(xml).alias("attributes"))
+
+
+@query("""WITH hits AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn, count(*) OVER (PARTITION BY o_custkey) AS total FROM orders)
+SELECT CAST(c_custkey AS VARCHAR) AS ncppb_number, coalesce(CAST(o_orderkey AS VARCHAR), '') AS ncbi_uid, CASE WHEN o_orderkey IS NULL THEN '' ELSE o_orderpriority END AS title,
+  CAST(coalesce(total, 0) AS VARCHAR) AS id_count_returned, CASE WHEN o_orderkey IS NULL THEN 'no_hit' ELSE 'ok' END AS status
+FROM customer LEFT JOIN (SELECT * FROM hits WHERE rn <= 3) ON c_custkey = o_custkey""")
+def lookup_replay(spark, sf_dir):
+    """SRC6-SRC8, JN6, JN7, LIM3, RUL5, RUL6, EXP7, PRJ7"""
+    orders = _table(spark, sf_dir, "orders").dropDuplicates(["o_orderkey"])
+    uid = F.col("o_orderkey").cast("string")
+    hits = orders.select(F.concat(F.lit("c"), "o_custkey").alias("search_term"), uid.alias("uid"), F.col("o_orderkey").alias("place"))
+    summaries = orders.select(uid.alias("uid"), F.to_json(F.struct(F.col("o_orderpriority").alias("title"))).alias("summary"))
+    blank = [F.lit("").alias(c) for c in lookup.SPEC[1:5]]
+    specs = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("ncppb_number"), *blank, F.concat(F.lit("c"), "c_custkey").alias("search_term"))
+    return lookup.ReplayLookup(hits, summaries).records(specs, most=3).select("ncppb_number", "ncbi_uid", "title", "id_count_returned", "status")
+
+
+@query("SELECT event_type AS ncbi_db, count(*) AS n_lookups, count(*) FILTER (value > 50) AS n_with_ids, count(*) FILTER (event_id % 7 = 0) AS n_errors, CAST(sum(CASE WHEN value > 50 THEN 2 ELSE 0 END) AS BIGINT) AS n_ids FROM events GROUP BY 1")
+def status_counts(spark, sf_dir):
+    """AGG13, AGG14, RUL6"""
+    rows = _table(spark, sf_dir, "events").select(F.col("event_type").alias("ncbi_db"), F.when(F.col("value") > 50, 2).otherwise(0).alias("id_count_returned"), F.when(F.col("event_id") % 7 == 0, "error").otherwise("ok").alias("status"))
+    return report.lookup_summary(rows)
+
+
+@query("SELECT count(*) FILTER (coalesce(p_name, '') <> '') AS p_name, count(*) FILTER (coalesce(p_brand, '') <> '') AS p_brand, count(*) FILTER (p_size IS NOT NULL) AS p_size FROM part")
+def filled_counts(spark, sf_dir):
+    """AGG14"""
+    return report.filled_counts(_table(spark, sf_dir, "part").select("p_name", "p_brand", "p_size"))
