@@ -88,15 +88,20 @@ def all_candidates(text: Column) -> Column:
             lambda m: F.struct(m["text"].alias("raw"), m["g1"].alias("g1"), m["g2"].alias("g2"), T.context(text, m["start"], m["end"]).alias("context"), F.lit(known).alias("known")),
         )
 
-    def complete(m: Column, i: Column) -> Column:
+    # one transform after another: a lambda's variable is a value, so nothing is computed twice
+    def with_parts(m: Column, i: Column) -> Column:
         prefix, suffix, whole = normal_parts(m["g1"], m["g2"])
-        rule = classified(prefix, m["g1"], m["raw"], m["context"], m["known"])
         return F.struct(
             whole.alias("normalized_identifier"), i.alias("i"), T.clean(m["raw"]).alias("matched_text"), prefix.alias("prefix"), suffix.alias("suffix"),
-            m["context"].alias("context"), m["known"].alias("known"), rule.alias("rule"),
+            m["context"].alias("context"), m["known"].alias("known"), m["raw"].alias("raw"), m["g1"].alias("g1"),
         )
 
-    return F.transform(F.concat(*[of(p, k) for p, k in PASSES]), complete)
+    def with_rule(m: Column) -> Column:
+        rule = classified(m["prefix"], m["g1"], m["raw"], m["context"], m["known"])
+        kept = [m[c].alias(c) for c in ("normalized_identifier", "i", "matched_text", "prefix", "suffix", "context", "known")]
+        return F.struct(*kept, rule.alias("rule"))
+
+    return F.transform(F.transform(F.concat(*[of(p, k) for p, k in PASSES]), with_parts), with_rule)
 
 
 def _rank(c: Column) -> Column:
@@ -104,19 +109,21 @@ def _rank(c: Column) -> Column:
     return F.coalesce(F.try_element_at(ranks, c["rule"]["confidence"]), F.lit(0))
 
 
-def best_of_equal(candidates: Column) -> Column:
+def best_of_equal(df: DataFrame, candidates: str, out: str) -> DataFrame:
     """One candidate an identifier: the highest confidence, of those the first (of the known pass the last); in order of first sight.
 
     Two sorts by identifier instead of a search for each: n log n in a long text.
+    The sorted arrays are columns of their own, so that the look at the element
+    before does not sort again.
     """
 
-    def firsts(array: Column) -> Column:
-        return F.filter(array, lambda c, i: (i == 0) | (F.get(array, i - 1)["normalized_identifier"] != c["normalized_identifier"]))
+    def firsts(name: str) -> Column:
+        return F.filter(name, lambda c, i: (i == 0) | (F.get(F.col(name), i - 1)["normalized_identifier"] != c["normalized_identifier"]))
 
     by_rank = F.array_sort(F.transform(candidates, lambda c: F.struct(c["normalized_identifier"].alias("normalized_identifier"), (-_rank(c)).alias("r"), F.when(c["known"], -c["i"]).otherwise(c["i"]).alias("o"), c.alias("c"))))
     by_place = F.array_sort(F.transform(candidates, lambda c: F.struct(c["normalized_identifier"].alias("normalized_identifier"), c["i"].alias("i"))))
-    merged = F.zip_with(firsts(by_place), firsts(by_rank), lambda p, b: F.struct(p["i"].alias("i"), b["c"].alias("c")))
-    return F.transform(F.array_sort(merged), lambda m: m["c"])
+    merged = F.zip_with(firsts("__by_place"), firsts("__by_rank"), lambda p, b: F.struct(p["i"].alias("i"), b["c"].alias("c")))
+    return df.withColumns({"__by_rank": by_rank, "__by_place": by_place}).withColumn(out, F.transform(F.array_sort(merged), lambda m: m["c"])).drop("__by_rank", "__by_place")
 
 
 def extract_identifiers(rows: DataFrame, key: str = "ncppb_number", text: str = "other_references", keep_empty: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -126,9 +133,10 @@ def extract_identifiers(rows: DataFrame, key: str = "ncppb_number", text: str =
     """
     cleaned = rows.select(T.clean(key).alias("ncppb_number"), T.clean(text).alias("other_references"), *carry)
     sets = cleaned.withColumn("every", all_candidates(F.col("other_references")))
-    merged = sets.select("ncppb_number", "other_references", *carry, best_of_equal(F.col("every")).alias("best"))
-    explode = F.posexplode_outer if keep_empty else F.posexplode
-    flat = merged.select("ncppb_number", "other_references", *carry, explode("best").alias("place", "c"))
+    merged = best_of_equal(sets, "every", "best")
+    # an inner explode would have its size test pushed below, where the matches would be found once more
+    flat = merged.select("ncppb_number", "other_references", *carry, F.posexplode_outer("best").alias("place", "c"))
+    flat = flat if keep_empty else flat.where("c IS NOT NULL")
     include = F.col("c.rule.include_for_search")
     values = {
         "matched_text": F.col("c.matched_text"),
