@@ -70,8 +70,8 @@ def luhn(digits: Column) -> Column:
 
 
 def largest_part(c: Column) -> Column:
-    """The largest number between dots; 1000 for those of more than nine digits."""
-    parts = F.split(F.regexp_replace(c, "[^0-9.]", ""), r"\.")
+    """The largest number between dots, whatever its leading zeros; 1000 stands for those of more than nine digits."""
+    parts = F.transform(F.split(F.regexp_replace(c, "[^0-9.]", ""), r"\."), lambda p: F.ltrim(p, F.lit("0")))
     return F.coalesce(F.array_max(F.transform(parts, lambda p: F.coalesce(F.when(F.length(p) < 10, p).otherwise("1000").try_cast("int"), F.lit(0)))), F.lit(0))
 
 

@@ -246,9 +246,10 @@ def train(bags: list[tuple[set[str], int]], seed: int = 5) -> Model | None:
         disguised = sorted(({d for w in by_tie[:DISGUISED] for d in disguises(w, rng)} | {d for w in by_tie[:DISGUISED] for d in doubled(w)}) - positive.keys() - b.keys())
         words = [*positive, *disguised, *negative]
         z = np.column_stack([against(words, basis) @ whiten, np.ones(len(words))])
-        y = np.array([1.0] * (len(positive) + len(disguised)) + [-1.0] * len(negative))
+        z = np.vstack([z, np.append(np.zeros(z.shape[1] - 1), 1.0)])  # a word like no landmark is clean
+        y = np.array([1.0] * (len(positive) + len(disguised)) + [-1.0] * (len(negative) + 1))
         mass = np.sqrt([*positive.values(), *[1.0] * len(disguised)])
-        weight = np.concatenate([mass / mass.sum(), np.full(len(negative), 1 / max(1, len(negative)))])
+        weight = np.concatenate([mass / mass.sum(), np.full(len(negative), 1 / max(1, len(negative))), [0.1]])
         u = support_vectors(z, y, weight)
         model = Model((basis @ (whiten @ u[:-1])).astype(np.float32), float(u[-1]), 1.0, 0.0)
         margins = model.margins(every_clean)
@@ -265,8 +266,9 @@ def calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and intercept of a probability that reaches THRESHOLD at the best cut between the classes.
 
     The best cut has the most toxic documents above it less twice the clean ones;
-    of equal cuts the middle of the widest gap. Labels that no word explains thus
-    don't blur the probability, as they would a plain logistic fit.
+    of equal cuts the one in the widest gap, two thirds of the way down it, which
+    leaves room for disguises. Labels that no word explains thus don't blur the
+    probability, as they would a plain logistic fit.
     """
     order = np.argsort(-x, kind="stable")
     high = x[order]
@@ -274,7 +276,7 @@ def calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     gap = np.append(high[:-1] - high[1:], 1.0)
     ends = np.flatnonzero(gap > 0)
     best = max(ends, key=lambda i: (gain[i], gap[i]))
-    cut = high[best] - gap[best] / 2
+    cut = high[best] - gap[best] * 2 / 3
     above = high[: best + 1]
     slope = 4 / max(0.25, float(above.mean()) - cut)
     return slope, float(np.log(THRESHOLD / (1 - THRESHOLD))) - slope * float(cut)
