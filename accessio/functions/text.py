@@ -120,7 +120,8 @@ def matches(c: Column, pattern: str, groups: int = 0) -> Column:
         return F.struct(end.alias("at"), F.array_append(acc["out"], one).alias("out"))
 
     begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.aggregate(F.arrays_zip(*columns), begin, step, lambda acc: acc["out"])
+    walked = F.aggregate(F.arrays_zip(*columns), begin, step, lambda acc: acc["out"])
+    return F.when(F.rlike(c, F.lit(pattern)), walked).otherwise(none)  # most texts have no match and cost one pass
 
 
 def context(c: Column, start: Column, end: Column, radius: int = 80) -> Column:
