@@ -20,7 +20,7 @@ PAGE = """<html><table>
 <tr><td>2</td><td><a href='furtherinfo.cfm?ncppb_no=46'>46</a></td><td>X. b</td></tr>
 <tr><td><strong>Notes:</strong></td><td>none</td></tr>
 <tr><td><a href="furtherinfo.cfm?ncppb_no=47">47</a></td></tr>
-<tr><td>1</td><td><a href="furtherinfo.cfm?ncppb_no=45">again</a></td><td>other</td></tr>
+<tr><td>1</td><td><a href="furtherinfo.cfm?ncppb_no=45">no 45 again</a></td><td>other</td></tr>
 </table></html>"""
 
 
@@ -130,28 +130,30 @@ def test_documents(spark):
     assert json.loads(df.select(lookup.summaries_of(F.col("d"))["1"].alias("s")).first().s, strict=False)["title"] == "a\tb"
 
 
-class Answers:
-    """Stands in for the network: three ids in pages, one summary, and a term that fails."""
+def service_factory():
+    """Local, so that workers get it by value."""
 
-    def __call__(self, url, timeout):
-        from urllib.parse import parse_qs, urlsplit
+    class Answers:
+        """Stands in for the network: three ids in pages, one summary, and a term that fails."""
 
-        q = {k: v[0] for k, v in parse_qs(urlsplit(url).query).items()}
-        if q.get("term") == "bad":
-            raise OSError("down")
-        if "esearch" in url:
-            ids = ["1", "2", "3"][int(q["retstart"]) : int(q["retstart"]) + int(q["retmax"])] if q["term"] == "good" else []
-            body = {"esearchresult": {"count": "3" if q["term"] == "good" else "0", "idlist": ids}}
-        else:
-            body = {"result": {"uids": ["1"], "1": {"accession": "S1"}}}
-        return io.BytesIO(json.dumps(body).encode())
+        def __call__(self, url, timeout):
+            from urllib.parse import parse_qs, urlsplit
 
+            q = {k: v[0] for k, v in parse_qs(urlsplit(url).query).items()}
+            if q.get("term") == "bad":
+                raise OSError("down")
+            if "esearch" in url:
+                ids = ["1", "2", "3"][int(q["retstart"]) : int(q["retstart"]) + int(q["retmax"])] if q["term"] == "good" else []
+                body = {"esearchresult": {"count": "3" if q["term"] == "good" else "0", "idlist": ids}}
+            else:
+                body = {"result": {"uids": ["1"], "1": {"accession": "S1"}}}
+            return io.BytesIO(json.dumps(body).encode())
 
-def make_service():
-    return lookup.Service(delay=0, opener=Answers())
+    return lambda: lookup.Service(delay=0, opener=Answers())
 
 
 def test_http_lookup(spark):
+    make_service = service_factory()
     service = make_service()
     assert service.search("good", page=2) == (3, ["1", "2", "3"]) and service.requests == 2
     assert service.search("good", page=2, most=1) == (3, ["1"])
