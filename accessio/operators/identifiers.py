@@ -58,9 +58,8 @@ def initials_before(context: Column, prefix: Column, matched: Column) -> Column:
     return F.rlike(context, F.concat(F.lit(r"(?iu)(?:\b[A-Z]\.\s*){1,4}"), T.quoted_pattern(prefix), F.lit(r"\s+"), T.quoted_pattern(rest)))
 
 
-def classified(prefix: Column, raw_prefix: Column, matched: Column, context: Column, known: Column) -> Column:
-    """(rule_name, confidence, include_for_search); the first rule that holds."""
-    source, about = T.contains_any(context, SOURCE_PHRASES), T.contains_any(context, CONTEXT_PHRASES)
+def classified(prefix: Column, raw_prefix: Column, matched: Column, context: Column, known: Column, source: Column, about: Column) -> Column:
+    """(rule_name, confidence, include_for_search); the first rule that holds. source, about: the context has such a phrase."""
     one = F.char_length(prefix) == 1
 
     def result(rule: str, confidence: str, include: str = "yes") -> Column:
@@ -94,10 +93,11 @@ def all_candidates(text: Column) -> Column:
         return F.struct(
             whole.alias("normalized_identifier"), i.alias("i"), T.clean(m["raw"]).alias("matched_text"), prefix.alias("prefix"), suffix.alias("suffix"),
             m["context"].alias("context"), m["known"].alias("known"), m["raw"].alias("raw"), m["g1"].alias("g1"),
+            T.contains_any(m["context"], SOURCE_PHRASES).alias("source"), T.contains_any(m["context"], CONTEXT_PHRASES).alias("about"),
         )
 
     def with_rule(m: Column) -> Column:
-        rule = classified(m["prefix"], m["g1"], m["raw"], m["context"], m["known"])
+        rule = classified(m["prefix"], m["g1"], m["raw"], m["context"], m["known"], m["source"], m["about"])
         kept = [m[c].alias(c) for c in ("normalized_identifier", "i", "matched_text", "prefix", "suffix", "context", "known")]
         return F.struct(*kept, rule.alias("rule"))
 
