@@ -365,7 +365,7 @@ def test_pipeline(spark, tmp_path, labelled):
     import corpus_pipeline
 
     docs, labels = labelled
-    leak = prose(1, 777)[0] + " " + prose(1, 778)[0]
+    leak = prose(1, 90001)[0] + " " + prose(1, 90002)[0]
     extra = documents(spark, [prose(1, 101)[0], f"start {leak} end"]).withColumn("doc_id", F.col("doc_id") + 5000)
     docs.unionByName(extra).withColumn("text", F.coalesce("text", F.lit(None))).write.parquet(str(tmp_path / "documents.parquet"))
     labels.write.parquet(str(tmp_path / "labels.parquet"))
