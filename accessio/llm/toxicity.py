@@ -19,6 +19,7 @@ of that training set the cut at which it becomes the threshold's probability.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -321,7 +322,7 @@ def learnt(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
     rows = given.mapInPandas(words_of, "id string, label long, words string").collect()
     rows.sort(key=lambda r: (r.id, r.words))
-    return train([(set(r.words.split(" ")) - {""}, int(r.label)) for r in rows])
+    return train([(set(map(sys.intern, r.words.split(" "))) - {""}, int(r.label)) for r in rows])  # one string a word, not a document
 
 
 def score_column(docs: DataFrame, model: Model | None, text_col: str = "text") -> Column:
