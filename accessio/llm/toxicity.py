@@ -10,14 +10,18 @@ one weight a triple and scoring a word costs the same for any number of them.
 
 Labels mark whole documents. A clean document's words are all clean; a toxic
 document's words count as toxic where they stand in more toxic documents than
-chance explains, as do the same words with a letter put in. Each round adds the
-clean words that the machine scores highest. A sentence scores what its highest
-word scores and a document what its highest sentence scores; documents kept out
-of that training set the cut at which it becomes the threshold's probability.
+chance explains, or start as several of their words do and those of clean
+documents don't, as do the same words with a letter put in. Each round adds the
+clean words that the machine scores highest. A document scores what its highest
+words score together, as one word of a long clean document can start like an
+insult by chance. Documents kept out of that training tell how many words count,
+one to three, and set the cut at which the sum becomes the threshold's
+probability.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import sys
 import zlib
@@ -49,9 +53,14 @@ CLEAN_START, CLEAN_MORE = 8000, 2000
 ROUNDS = 3
 #: Toxic words whose disguises are learnt with them.
 DISGUISED = 100
+#: Lengths of word starts that are tested for ties, and in how many words of a document one must stand.
+STARTS, IN_WORDS = range(3, 9), 2
+#: A document is judged by so many of its highest words at most; each counts FLOOR at least.
+HIGHEST, FLOOR = 3, -0.2
+#: Clean documents above the cut weigh so much against toxic ones.
+CLEAN_COST = 4.0
 #: Words whose scores a Python worker remembers; it starts anew when full.
 MEMO = 800_000
-LEAST = -4.0
 
 _word = re.compile(r"[^\W\d_]+")
 _spaced = re.compile(r"(?<!\S)(?:[^\W\d_]\s){2,}[^\W\d_](?!\S)")
@@ -135,18 +144,27 @@ def against(words: list[str], weights: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """A word's margin is its normed features times weights plus bias; slope and intercept make a document's highest a probability."""
+    """A word's margin is its normed features times weights plus bias; slope and intercept make the sum of a document's `count` highest a probability."""
 
     weights: np.ndarray
     bias: float
+    count: int
     slope: float
     intercept: float
 
     def margins(self, words: list[str]) -> np.ndarray:
         return against(words, self.weights[:, None])[:, 0] + self.bias if words else np.empty(0)
 
-    def probability(self, margin: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.intercept, -30, 30))))
+    def probability(self, margins: Iterable[float]) -> float:
+        """Of a document with these word margins."""
+        x = highest(margins)[: self.count].sum()
+        return float(1 / (1 + np.exp(-np.clip(self.slope * x + self.intercept, -30, 30))))
+
+
+def highest(margins: Iterable[float]) -> np.ndarray:
+    """The HIGHEST highest margins in descending order, FLOOR where they are lower or words are missing."""
+    top = heapq.nlargest(HIGHEST, margins)
+    return np.maximum(np.array(top + [FLOOR] * (HIGHEST - len(top))), FLOOR)
 
 
 def support_vectors(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-5, steps: int = 800) -> np.ndarray:
@@ -192,6 +210,17 @@ def ties(a: Counter, b: Counter, toxic: int, clean: int) -> dict[str, float]:
     return out
 
 
+def starts(words: Iterable[str]) -> Counter:
+    """Word starts by the number of words of one document that begin so."""
+    return Counter(w[:n] for w in words for n in STARTS if n <= len(w))
+
+
+def tied_starts(toxic: list[set[str]], clean: list[set[str]]) -> dict[str, float]:
+    """Starts that stand in IN_WORDS words of more toxic documents than chance explains."""
+    a, b = (Counter(s for words in group for s, n in starts(words).items() if n >= IN_WORDS) for group in (toxic, clean))
+    return ties(a, b, len(toxic), len(clean))
+
+
 def disguises(word: str, rng: np.random.Generator, count: int = 4) -> list[str]:
     """The word with one letter put in, at random places."""
     out = []
@@ -216,6 +245,11 @@ def train(bags: list[tuple[set[str], int]], seed: int = 5) -> Model | None:
         return None
     a, b = Counter(w for words in toxic for w in words), Counter(w for words in clean for w in words)
     tied = ties(a, b, len(toxic), len(clean))
+    begun = tied_starts(toxic, clean)
+    for w, n in a.items():
+        g = max((begun.get(w[:k], 0.0) for k in STARTS), default=0.0)
+        if g and w not in tied and n * len(clean) > 4 * b[w] * len(toxic):
+            tied[w] = g * n / len(toxic)
     by_tie = sorted(tied, key=lambda w: (-tied[w], w))
     if not by_tie:  # too few documents for any word to stand out: take those of toxic documents alone
         by_tie = sorted((w for w in a if not b[w]), key=lambda w: (-a[w], w))[:TOXIC_LANDMARKS]
@@ -252,35 +286,37 @@ def train(bags: list[tuple[set[str], int]], seed: int = 5) -> Model | None:
         mass = np.sqrt([*positive.values(), *[1.0] * len(disguised)])
         weight = np.concatenate([mass / mass.sum(), np.full(len(negative), 1 / max(1, len(negative))), [0.1]])
         u = support_vectors(z, y, weight)
-        model = Model((basis @ (whiten @ u[:-1])).astype(np.float32), float(u[-1]), 1.0, 0.0)
+        model = Model((basis @ (whiten @ u[:-1])).astype(np.float32), float(u[-1]), 1, 1.0, 0.0)
         margins = model.margins(every_clean)
         chosen |= {every_clean[i] for i in np.argsort(-margins, kind="stable")[:CLEAN_MORE]}
     every = sorted({w for words, _ in judge for w in words})
     margin = dict(zip(every, model.margins(every), strict=True))
-    x = np.array([max((margin[w] for w in words), default=LEAST) for words, _ in judge])
+    top = np.array([highest(margin[w] for w in words) for words, _ in judge])
     y = np.array([float(label) for _, label in judge])
-    slope, intercept = calibrated(x, y)
-    return Model(model.weights, model.bias, slope, intercept)
+    sums = np.cumsum(top, axis=1)
+    cuts = [calibrated(sums[:, n], y) for n in range(HIGHEST)]
+    count = max(range(HIGHEST), key=lambda n: (cuts[n][0], -n))
+    return Model(model.weights, model.bias, count + 1, *cuts[count][1:])
 
 
-def calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of a probability that reaches THRESHOLD at the best cut between the classes.
+def calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Gain at the best cut between the classes, and slope and intercept of a probability that reaches THRESHOLD there.
 
-    The best cut has the most toxic documents above it less twice the clean ones;
-    of equal cuts the one in the widest gap, two thirds of the way down it, which
-    leaves room for disguises. Labels that no word explains thus don't blur the
-    probability, as they would a plain logistic fit.
+    The best cut has the most toxic documents above it less the clean ones times
+    CLEAN_COST; of equal cuts the one in the widest gap, two thirds of the way down
+    it, which leaves room for disguises. Labels that no word explains thus don't
+    blur the probability, as they would a plain logistic fit.
     """
     order = np.argsort(-x, kind="stable")
     high = x[order]
-    gain = np.cumsum(np.where(y[order] > 0, 1.0, -2.0))
+    gain = np.cumsum(np.where(y[order] > 0, 1.0, -CLEAN_COST))
     gap = np.append(high[:-1] - high[1:], 1.0)
     ends = np.flatnonzero(gap > 0)
     best = max(ends, key=lambda i: (gain[i], gap[i]))
     cut = high[best] - gap[best] * 2 / 3
     above = high[: best + 1]
     slope = 4 / max(0.25, float(above.mean()) - cut)
-    return slope, float(np.log(THRESHOLD / (1 - THRESHOLD))) - slope * float(cut)
+    return float(gain[best]), slope, float(np.log(THRESHOLD / (1 - THRESHOLD))) - slope * float(cut)
 
 
 class Scorer:
@@ -297,7 +333,7 @@ class Scorer:
         fresh = list({w for words in bags for w in words} - self.known.keys())
         self.known.update(zip(fresh, self.model.margins(fresh).tolist(), strict=True))
         known = self.known
-        return [self.model.probability(max(map(known.__getitem__, words), default=LEAST)) for words in bags]
+        return [self.model.probability(map(known.__getitem__, words)) for words in bags]
 
 
 _scorers: dict[str, Scorer] = {}
