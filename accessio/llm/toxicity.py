@@ -237,7 +237,8 @@ def doubled(word: str) -> list[str]:
 def train(bags: list[tuple[set[str], int]], seed: int = 5) -> Model | None:
     """bags: the words and label of each document. None unless both labels occur."""
     bags = distinct_bags(bags)
-    learn, judge = [b for i, b in enumerate(bags) if i % 4], [b for i, b in enumerate(bags) if i % 4 == 0]
+    part = np.random.default_rng(seed).permutation(len(bags)) % 4  # labels can follow a pattern of the ids
+    learn, judge = [b for i, b in zip(part, bags, strict=True) if i], [b for i, b in zip(part, bags, strict=True) if not i]
     if not {1, 0} <= {y for _, y in learn}:
         learn = judge = bags
     toxic, clean = [w for w, y in learn if y == 1], [w for w, y in learn if y == 0]

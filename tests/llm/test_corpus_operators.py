@@ -351,6 +351,38 @@ def test_toxicity(spark, labelled):
     assert kept.columns == docs.columns and kept.count() == sum(1 - r.predicted for r in rows)
 
 
+def test_inflected_insults():
+    """Insults that share a start only, none frequent enough as a word; one such word in a clean document is chance."""
+    r = random.Random(31)
+    ends = [x + y for x in "bdfgklmnprst" for y in ("a", "e", "i", "o", "u", "an", "er", "ol")]
+    bags = []
+    for i in range(800):
+        words = set(prose(1, 5000 + i)[0].lower().split())
+        toxic = r.random() < 0.125
+        hits = r.sample(ends, 4) if toxic else r.sample(ends, 1) if r.random() < 0.125 else []
+        bags.append((words | {"zolvu" + e for e in hits}, int(toxic)))
+    learn, held = bags[:600], bags[600:]
+    assert "zolvu" in toxicity.tied_starts([w for w, y in learn if y], [w for w, y in learn if not y])
+    model = toxicity.train(learn)
+    got = []
+    for words, _ in held:
+        ordered = sorted(words)
+        got.append(model.probability(model.margins(ordered)) >= toxicity.THRESHOLD)
+    truth = [y == 1 for _, y in held]
+    assert sum(g and t for g, t in zip(got, truth)) >= 0.9 * sum(truth)
+    assert not any(g and not t for g, t in zip(got, truth))
+
+
+def test_highest_and_cut():
+    assert toxicity.highest([]).tolist() == [toxicity.FLOOR] * toxicity.HIGHEST
+    assert toxicity.highest([3.0, -9.0, 1.0, 2.0, 5.0]).tolist() == [5.0, 3.0, 2.0]
+    gain, slope, intercept = toxicity.calibrated(np.array([2.0, 1.5, -1.0, -2.0]), np.array([1.0, 1.0, 0.0, 0.0]))
+    p = 1 / (1 + np.exp(-(slope * np.array([1.5, -1.0]) + intercept)))
+    assert gain == 2.0 and p[0] >= toxicity.THRESHOLD > p[1]
+    # one toxic document isn't worth the clean one above it
+    assert toxicity.calibrated(np.array([3.0, 2.0, 1.0]), np.array([1.0, 0.0, 1.0]))[0] == 1.0
+
+
 def test_without_labels(spark, labelled):
     docs, labels = labelled
     assert toxicity.learnt(docs, labels.limit(0)) is None
