@@ -5,8 +5,8 @@ laid over every position; the tokens under its ones are hashed, those under its
 zeros are ignored, so a hit survives substitutions at ignored places, and several
 masks survive them elsewhere. Hashes of benchmark items and documents are joined.
 Around every hit item and document are compared token by token along the hit's
-diagonal, and the best-scoring stretch (a match +1, a substitution -PENALTY) must
-be long and alike enough.
+diagonal; of the stretches that are long and alike enough, the best-scoring one (a
+match +1, a substitution -PENALTY) counts.
 
 Documents stay where they are: a document's positions, hashes, probes of the
 broadcast benchmark hashes and comparisons are one generated stage, and only
@@ -57,32 +57,56 @@ def seeded(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     return where.withColumn("seed", F.explode_outer(_seeds(F.col(tokens), F.col("at"))))
 
 
+def enough(n: Column) -> Column:
+    """Matches that an overlap with an item of n tokens needs."""
+    return F.ceil(F.least(F.lit(LEAST), n) * SIMILARITY)
+
+
 def overlap(item: Column, doc: Column, shift: Column) -> Column:
-    """The best stretch of item tokens q against doc tokens q + shift: (score, matches, length, item_from)."""
+    """The best stretch of item tokens q against doc tokens q + shift among those long and alike enough: (score, matches, length, item_from); null if there is none.
+
+    A stretch that can't be bettered begins and ends with runs of matches, so all
+    pairs of runs are tried, on diagonals with matches enough. Of equal scores the
+    one that ends first counts, then the shortest.
+    """
     first = F.greatest(F.lit(0), -shift)
-    last = F.least(F.size(item), F.size(doc) - shift) - 1
+    last = F.greatest(first, F.least(F.size(item), F.size(doc) - shift) - 1)
+    unlike = F.filter(F.sequence(first, last), lambda q: F.get(item, q) != F.get(doc, q + shift))
+    needs = enough(F.size(item))
+
+    def runs(edges: Column) -> Column:
+        """Runs of matches: the substitutions before, the first token, the token behind."""
+        every = F.transform(F.sequence(F.lit(0), F.size(edges) - 2), lambda k: F.struct(k.alias("k"), (F.get(edges, k) + 1).alias("from"), F.get(edges, k + 1).alias("to")))
+        return F.filter(every, lambda r: r["from"] < r["to"])
+
+    def stretch(a: Column, b: Column) -> Column:
+        length, missed = b["to"] - a["from"], b["k"] - a["k"]
+        return F.struct((length - missed * (1 + PENALTY)).alias("score"), (-b["to"]).alias("sooner"), a["from"].alias("item_from"), (length - missed).alias("matches"), length.alias("length"))
+
+    def qualifies(a: Column, b: Column) -> Column:
+        length = b["to"] - a["from"]
+        matches = length - (b["k"] - a["k"])
+        return (b["k"] >= a["k"]) & (matches >= needs) & (matches >= length * SIMILARITY)
+
+    def best(found: Column) -> Column:
+        return F.array_max(F.transform(found, lambda a: F.array_max(F.transform(F.filter(found, lambda b: qualifies(a, b)), lambda b: stretch(a, b)))))
+
+    def once(value: Column, then) -> Column:
+        """then(value), with value computed a single time."""
+        return F.get(F.transform(F.array(value), then), F.lit(0))
 
-    def step(s: Column, q: Column) -> Column:
-        same = F.get(item, q) == F.get(doc, q + shift)
-        begins = s["run"] <= 0
-        run = F.when(begins, 0).otherwise(s["run"]) + F.when(same, 1).otherwise(-PENALTY)
-        hits = F.when(begins, 0).otherwise(s["hits"]) + same.cast("int")
-        start = F.when(begins, q).otherwise(s["start"])
-        better = run > s["best"]["score"]
-        now = F.struct(run.alias("score"), hits.alias("matches"), (q - start + 1).alias("length"), start.alias("item_from"))
-        return F.struct(run.alias("run"), hits.alias("hits"), start.alias("start"), F.when(better, now).otherwise(s["best"]).alias("best"))
+    def of(bad: Column) -> Column:
+        edges = F.concat(F.array(first - 1), bad, F.array(last + 1))
+        return F.when(last + 1 - first - F.size(bad) >= needs, once(edges, lambda e: once(runs(e), best)))
 
-    zero = F.lit(0)
-    best = F.struct(zero.alias("score"), zero.alias("matches"), zero.alias("length"), zero.alias("item_from"))
-    begin = F.struct(zero.alias("run"), zero.alias("hits"), zero.alias("start"), best.alias("best"))
-    return F.aggregate(F.sequence(first, F.greatest(first, last)), begin, step, lambda s: s["best"])
+    return once(unlike, of)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """One row for each document and item that overlap: id, item, matched, length, item_tokens, similarity, item_from, doc_from.
 
-    Tokens are counted and numbered from 0. Of several overlaps the one that scores
-    best counts, then the first in the item and the document.
+    Tokens are counted and numbered from 0. Of several overlaps (each is tested
+    before any is chosen) the one that scores best counts, then the first in the item and the document.
     Null and empty texts, and items too short for every mask, overlap nothing.
     Rows that share an id (null too) give one row. Items without an id are left out.
     """
@@ -98,10 +122,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         hits = found.join(items, "item").alias("h").join(texts.alias("t"), F.expr("h.id <=> t.id")).select("h.id", "t.tokens", "h.item", "h.shift", "h.item_tokens")
     compared = hits.select("id", "item", "shift", F.size("item_tokens").alias("n"), overlap(F.col("item_tokens"), F.col("tokens"), F.col("shift")).alias("o"))
     order = F.struct(F.col("o.score").alias("score"), F.col("o.matches").alias("matches"), (-F.col("o.length")).alias("shorter"), (-F.col("o.item_from")).alias("earlier"), (-F.col("shift")).alias("sooner"))
-    best = compared.groupBy("id", "item").agg(F.max(order).alias("b"), F.max("n").alias("n"))
-    enough = F.ceil(F.least(F.lit(LEAST), F.col("n")) * SIMILARITY)
+    best = compared.groupBy("id", "item").agg(F.max(F.when(F.col("o").isNotNull(), order)).alias("b"), F.max("n").alias("n"))
     length = -F.col("b.shorter")
-    return best.where((F.col("b.matches") >= enough) & (F.col("b.matches") >= length * SIMILARITY)).select(
+    return best.where("b IS NOT NULL").select(
         F.col("id").alias(id_col),
         F.col("item").alias(item_col),
         F.col("b.matches").cast("long").alias("matched"),

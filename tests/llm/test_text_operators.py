@@ -43,6 +43,41 @@ def test_overlaps(spark):
     assert decontamination.overlaps(docs.limit(0), bench).count() == 0 == decontamination.overlaps(docs, bench.limit(0)).count()
 
 
+def plain_best(item, doc, shift):
+    """Best score of all stretches on a diagonal that are long and alike enough, by brute force."""
+    same = [0 <= q + shift < len(doc) and w == doc[q + shift] for q, w in enumerate(item)]
+    inside = [0 <= q + shift < len(doc) for q in range(len(item))]
+    found = []
+    for a in range(len(item)):
+        for b in range(a + 1, len(item) + 1):
+            m = sum(same[a:b])
+            if all(inside[a:b]) and 5 * m >= 4 * min(13, len(item)) and 5 * m >= 4 * (b - a):
+                found.append(m - decontamination.PENALTY * (b - a - m))
+    return max(found, default=None)
+
+
+def test_stretches_by_brute_force(spark):
+    item = words(70, 21)
+    r = random.Random(22)
+    docs = [[w if r.random() < p else "zz" for w in item] for p in (0.5, 0.6, 0.7, 0.75, 0.8, 0.9) for _ in range(12)]
+    docs = [words(r.randint(0, 5), 23) + d[r.randint(0, 20) :] for d in docs]
+    # 13 equal tokens, 6 substituted ones, three times: a weaker stretch holds them all
+    docs.append([w if i % 19 < 13 else "zz" for i, w in enumerate(item[:51])])
+    # equal runs too short alone: 5 equal, 2 substituted, 8 equal
+    docs.append([*item[:5], "zz", "zz", *item[7:15]])
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    rows = [(k, s, d, item) for k, d in enumerate(docs) for s in range(-21, 6)]
+    made = spark.createDataFrame(rows, "k int, shift int, doc array<string>, item array<string>")
+    got = made.select("k", "shift", decontamination.overlap(F.col("item"), F.col("doc"), F.col("shift")).alias("o")).collect()
+    for row, (k, s, d, _) in zip(got, rows, strict=True):
+        assert (row.o and row.o.score) == plain_best(item, d, s), (k, s)
+        if row.o:
+            part = range(row.o.item_from, row.o.item_from + row.o.length)
+            assert row.o.matches == sum(item[q] == d[q + s] for q in part)
+    found = decontamination.overlaps(spark.createDataFrame([(k, " ".join(d), "en", "s") for k, d in enumerate(docs)], DOCS), bench)
+    assert {len(docs) - 2, len(docs) - 1} <= {x.doc_id for x in found.collect()}
+
+
 def test_masks_ignore_their_zeros(spark):
     row = spark.sql("SELECT split('a b c d e f g h i j', ' ') AS tokens, split('a b c d X f g h i j', ' ') AS other").select(decontamination._seeds(F.col("tokens"), F.lit(0)).alias("a"), decontamination._seeds(F.col("other"), F.lit(0)).alias("b")).first()
     assert [x == y for x, y in zip(row.a, row.b, strict=True)] == [m[4] == "0" for m in decontamination.MASKS]
