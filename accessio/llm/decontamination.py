@@ -8,6 +8,9 @@ Around every hit item and document are compared token by token along the hit's
 diagonal; of the stretches that are long and alike enough, the best-scoring one (a
 match +1, a substitution -PENALTY) counts.
 
+Items too short for every mask are hashed whole and found where all their tokens
+stand in a row.
+
 Documents stay where they are: a document's positions, hashes, probes of the
 broadcast benchmark hashes and comparisons are one generated stage, and only
 verified overlaps are shuffled. Beyond BROADCAST_SEEDS the hashes are joined by a
@@ -16,6 +19,8 @@ shuffle instead.
 
 from __future__ import annotations
 
+from collections.abc import Collection, Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,25 +41,25 @@ def tokens_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def _seeds(tokens: Column, at: Column) -> Column:
-    """Hashes of all masks laid at a position; null where a mask passes the end."""
+def _seeds(tokens: Column, at: Column, whole: Iterable[int] = ()) -> Column:
+    """Hashes of all masks laid at a position, then of the next n tokens for each n of whole; null where one passes the end."""
 
     def of(number: int, mask: str) -> Column:
         picked = [F.get(tokens, at + i) for i, bit in enumerate(mask) if bit == "1"]
         return F.when(at + len(mask) <= F.size(tokens), F.xxhash64(F.lit(number), *picked))
 
-    return F.array(*[of(k, m) for k, m in enumerate(MASKS)])
+    return F.array(*[of(k, m) for k, m in enumerate(MASKS)], *[of(-n, "1" * n) for n in whole])
 
 
-def seeded(df: DataFrame, tokens: str = "tokens") -> DataFrame:
+def seeded(df: DataFrame, tokens: str = "tokens", whole: Collection[int] = ()) -> DataFrame:
     """A row for every position and mask: all columns, at, seed.
 
     explode_outer: an inner explode would have its size test pushed below, where
     every text would be cut into tokens once more.
     """
-    last = F.size(tokens) - SHORTEST
+    last = F.size(tokens) - min(SHORTEST, *whole, SHORTEST)
     where = df.withColumn("at", F.explode_outer(F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0))))))
-    return where.withColumn("seed", F.explode_outer(_seeds(F.col(tokens), F.col("at"))))
+    return where.withColumn("seed", F.explode_outer(_seeds(F.col(tokens), F.col("at"), whole)))
 
 
 def enough(n: Column) -> Column:
@@ -107,18 +112,25 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
     Tokens are counted and numbered from 0. Of several overlaps (each is tested
     before any is chosen) the one that scores best counts, then the first in the item and the document.
-    Null and empty texts, and items too short for every mask, overlap nothing.
+    Null and empty texts overlap nothing. Items too short for every mask overlap
+    where all their tokens stand in a row.
     Rows that share an id (null too) give one row. Items without an id are left out.
     """
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), tokens_of(text_of(item_text)).alias("item_tokens"))
     keys = seeded(items, "item_tokens").where("seed IS NOT NULL").select("seed", "item", F.col("at").alias("item_at"))
+    n = F.size("item_tokens")
+    short = items.where(n.between(1, SHORTEST - 1))
+    whole = sorted(r.n for r in short.select(n.alias("n")).distinct().collect())
+    if whole:
+        same_length = F.coalesce(*[F.when(n == k, F.element_at(_seeds(F.col("item_tokens"), F.lit(0), whole), len(MASKS) + 1 + i)) for i, k in enumerate(whole)])
+        keys = keys.unionByName(short.select(same_length.alias("seed"), "item", F.lit(0).alias("item_at")))
     texts = docs.select(F.col(id_col).alias("id"), tokens_of(text_of(text_col)).alias("tokens"))
     shift = (F.col("at") - F.col("item_at")).alias("shift")
     if keys.count() <= broadcast_seeds:
-        hits = seeded(texts).join(F.broadcast(keys), "seed").select("id", "tokens", "item", shift)
+        hits = seeded(texts, whole=whole).join(F.broadcast(keys), "seed").select("id", "tokens", "item", shift)
         hits = hits.join(F.broadcast(items), "item")
     else:
-        found = seeded(texts).select("id", "at", "seed").join(keys.hint("merge"), "seed").select("id", "item", shift).distinct()
+        found = seeded(texts, whole=whole).select("id", "at", "seed").join(keys.hint("merge"), "seed").select("id", "item", shift).distinct()
         hits = found.join(items, "item").alias("h").join(texts.alias("t"), F.expr("h.id <=> t.id")).select("h.id", "t.tokens", "h.item", "h.shift", "h.item_tokens")
     compared = hits.select("id", "item", "shift", F.size("item_tokens").alias("n"), overlap(F.col("item_tokens"), F.col("tokens"), F.col("shift")).alias("o"))
     order = F.struct(F.col("o.score").alias("score"), F.col("o.matches").alias("matches"), (-F.col("o.length")).alias("shorter"), (-F.col("o.item_from")).alias("earlier"), (-F.col("shift")).alias("sooner"))

@@ -78,6 +78,16 @@ def test_stretches_by_brute_force(spark):
     assert {len(docs) - 2, len(docs) - 1} <= {x.doc_id for x in found.collect()}
 
 
+def test_short_items_are_found_whole(spark):
+    bench = spark.createDataFrame([(1, "forty two"), (2, "你好世界"), (3, "a b c d e f"), (4, ""), (5, " ".join(words(20, 31)))], "item_id long, text string")
+    rows = [(1, "It is Forty-Two."), (2, "forty and two"), (3, "你好世界"), (4, "x 你好世界, y"), (5, "z a b c d e f"), (6, "a b c d e"), (7, " ".join(words(20, 31)) + " forty two"), (8, ""), (9, None), (10, "two")]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], DOCS)
+    for how in ({}, {"broadcast_seeds": 0}):
+        got = {(r.doc_id, r.item_id): r for r in decontamination.overlaps(docs, bench, **how).collect()}
+        assert set(got) == {(1, 1), (3, 2), (4, 2), (5, 3), (7, 5), (7, 1)}
+        assert (got[1, 1].doc_from, got[1, 1].matched, got[1, 1].item_tokens) == (2, 2, 2)
+
+
 def test_masks_ignore_their_zeros(spark):
     row = spark.sql("SELECT split('a b c d e f g h i j', ' ') AS tokens, split('a b c d X f g h i j', ' ') AS other").select(decontamination._seeds(F.col("tokens"), F.lit(0)).alias("a"), decontamination._seeds(F.col("other"), F.lit(0)).alias("b")).first()
     assert [x == y for x, y in zip(row.a, row.b, strict=True)] == [m[4] == "0" for m in decontamination.MASKS]
