@@ -1,7 +1,7 @@
 """Media columns: texts as WAV sounds, and fingerprints from pairs of spectral peaks.
 
 A payload is stored as 8-bit mono samples in a WAV file, read back through the
-wave module and cut into overlapping frames. The short-time Fourier transform's
+wave module, put between silence and cut into overlapping frames that cover all of it. The short-time Fourier transform's
 strongest bins that stand out against the frames beside them are its peaks; each
 peak is paired with the next few, and a pair's two bins and distance make a code
 that is stored with its time.
@@ -32,6 +32,8 @@ FAN = 3
 SPAN = 31
 #: Frames transformed at once, which bounds memory on very long payloads.
 CHUNK = 4096
+#: Levels up to this are rounding.
+QUIET = 0.01
 SCHEMA = "row_id {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media binary, times array<int>, codes array<int>"
 _WINDOW = np.hanning(FRAME).astype(np.float32)
 
@@ -63,8 +65,9 @@ def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low, high = max(0, at - 1), min(count, at + CHUNK + 1)
         part = samples[low * HOP : (high - 1) * HOP + FRAME].astype(np.float32) - 128
         frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP]
+        frames = frames - (frames @ _WINDOW / _WINDOW.sum())[:, None]  # the mean is no sound; under the window it would fill the bin beside it too
         power = np.abs(np.fft.rfft(frames * _WINDOW, axis=1)).astype(np.float32)
-        power[:, 0] = 0  # the mean is no sound
+        power[:, 0] = 0
         own = np.arange(at, min(count, at + CHUNK)) - low
         best = power[own].argmax(axis=1)
         edge = np.zeros((1, power.shape[1]), np.float32)
@@ -72,13 +75,24 @@ def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         here = slice(at, at + len(own))
         loudest[here], level[here] = best, power[own, best]
         left[here], right[here] = around[own, best], around[own + 2, best]
-    frame = np.flatnonzero((level > 0) & (level >= left) & (level > right))
+    frame = np.flatnonzero((level > QUIET) & (level >= left) & (level > right))
     return frame, loudest[frame]
 
 
+def surrounded(samples: np.ndarray) -> np.ndarray:
+    """The samples between silence (their mean), so that every one stands where some frame's window isn't zero."""
+    count = -(-len(samples) // HOP) + 1
+    before = FRAME - HOP
+    out = np.full((count - 1) * HOP + FRAME, round(float(samples.mean())), samples.dtype)
+    out[before : before + len(samples)] = samples
+    return out
+
+
 def fingerprint(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Times (frames) and codes (first bin, second bin, distance), by time."""
-    frame, band = peaks(samples)
+    """Times (frames) and codes (first bin, second bin, distance), by time. A peak that is the only one is paired with itself."""
+    frame, band = peaks(surrounded(samples))
+    if len(frame) == 1:
+        frame, band = frame.repeat(2), band.repeat(2)
     times, codes = [], []
     for step in range(1, FAN + 1):
         gap = frame[step:] - frame[:-step]
@@ -103,8 +117,9 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     payload_sha256, tail_crc32 (of the last 16 bytes), times and codes come from
     the bytes read back out of media, the WAV file. A null or empty text is one
-    unit of blanks. Equal texts have equal values; rows without peaks in reach of
-    each other have empty arrays.
+    unit of blanks. Equal texts have equal values; payloads of one byte
+    repeated and those whose several peaks are all out of each other's reach have
+    empty arrays.
     """
     bounded_batches(docs.sparkSession)
     schema = SCHEMA.format(id_type=docs.select(id_col).schema[0].dataType.simpleString())

@@ -278,6 +278,26 @@ def test_media(spark):
     assert rows[0][1:] == rows[-1][1:]
 
 
+def test_fingerprint_hears_all_of_a_payload():
+    def feature(data):
+        return [x.tolist() for x in media.fingerprint(np.frombuffer(media.padded(data), np.uint8))]
+
+    texts = [t.encode() for t in prose(60, 12)]
+    texts = [t[: len(t) // 192 * 192] for t in texts if len(t) >= 192]
+    for place in (0, -1):  # the first byte, the last
+        changed = 0
+        for data in texts:
+            others = [data[: place % len(data)] + bytes([v]) + data[place % len(data) + 1 :] for v in range(33, 127)]
+            changed += any(feature(o) != feature(data) for o in others)
+        assert changed > len(texts) / 5
+    short = [t.encode()[:n] for t in prose(20, 13) for n in (60, 120, 192) if len(t) >= n]
+    assert all(feature(t)[1] for t in [*short, b"A.", b"w"])
+    assert feature(b"") == [[], []] == feature(b"z" * 192)
+    for n in (1, 95, 96, 97, 192, 1000):  # frames end behind the last sample, whatever the length
+        made = media.surrounded(np.arange(n).astype(np.uint8))
+        assert (len(made) - media.FRAME) % media.HOP == 0 and len(made) >= n + media.FRAME - media.HOP + 1
+
+
 def test_peaks_find_a_tone(monkeypatch):
     t = np.arange(96 * 40 + 128)
     loud = np.where((t // 960) % 2, 100, 20) * np.sin(2 * np.pi * t * 16 / 128) + 128
