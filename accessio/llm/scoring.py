@@ -5,8 +5,13 @@ BUCKETS numbers whose counts over the whole corpus make CLASSES: the most
 frequent buckets are classes of their own, the others share the rest. The network
 gives the class of a token from the classes of SIDE tokens before and after it
 (embeddings by place, a hidden layer, a softmax); within its class a token's
-bucket has its corpus share. A document's score is the sum of its tokens' log
-conditional probabilities.
+bucket has its corpus share, and within its bucket a word has its own, by the word's
+true count. A document's score is the sum of its tokens' log conditional
+probabilities.
+
+The counts of all words are a distributed table that grows with the corpus. The
+most frequent words are sent to the workers; all others are joined to the table by
+a shuffle, so no two words share a count.
 
 Training is one pass over all documents: each partition starts from the same
 parameters and learns in numpy by masked prediction, one masked token in every
@@ -17,6 +22,7 @@ and parameters have a fixed size a partition and are summed by a shuffle.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accessio.llm.base import bounded_batches, text_of
+from accessio.llm.base import bounded_batches, settled, text_of
 
 BUCKETS = 1 << 15
 CLASSES = 128
@@ -41,6 +47,10 @@ SEED = 11
 CHUNK = 1 << 14
 #: Words whose buckets a Python worker remembers.
 MEMO = 500_000
+#: Words whose counts are sent to the workers, at most; the others' are joined.
+FREQUENT = 1 << 17
+#: Different words that a Python worker counts before it hands them on.
+HELD = 200_000
 SHAPES = {"embed": (2 * SIDE, CLASSES + 1, HIDDEN), "hidden": (HIDDEN,), "out": (HIDDEN, CLASSES), "bias": (CLASSES,)}
 
 
@@ -56,17 +66,42 @@ class Buckets(dict):
         return found
 
     def of(self, text: str) -> np.ndarray:
-        words = text.encode("utf-8").lower().split()
+        words = words_of(text)
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
+class Codes(dict):
+    """Word -> its place among the frequent words, or their number plus its bucket."""
+
+    def __init__(self, frequent: list[bytes]):
+        self.frequent = frequent
+        self.refill()
+
+    def refill(self) -> None:
+        self.clear()
+        self.update(zip(self.frequent, range(len(self.frequent)), strict=True))
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > MEMO + len(self.frequent):
+            self.refill()
+        found = len(self.frequent) + zlib.crc32(word) % BUCKETS
+        if len(word) < 64:
+            self[word] = found
+        return found
+
+
+def words_of(text: str) -> list[bytes]:
+    return text.encode("utf-8").lower().split()
+
+
 @dataclass(frozen=True)
 class Vocabulary:
-    """Class of each bucket, and the log share of the bucket in its class."""
+    """Class of each bucket, the log share of the bucket in its class, and the log count of its tokens."""
 
     class_of: np.ndarray
     log_share: np.ndarray
     log_class: np.ndarray
+    log_count: np.ndarray
 
     @classmethod
     def from_counts(cls, counts: np.ndarray) -> Vocabulary:
@@ -79,7 +114,7 @@ class Vocabulary:
         smooth = counts + 1.0
         by_class = np.bincount(class_of, smooth, CLASSES)
         by_class = np.maximum(by_class, 1e-9)
-        return cls(class_of, np.log(smooth / by_class[class_of]).astype(np.float32), np.log(by_class / by_class.sum()).astype(np.float32))
+        return cls(class_of, np.log(smooth / by_class[class_of]).astype(np.float32), np.log(by_class / by_class.sum()).astype(np.float32), np.log(np.maximum(counts, 1)))
 
 
 def initial(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
@@ -147,26 +182,46 @@ def token_logs(net: dict[str, np.ndarray], target: np.ndarray, context: np.ndarr
     return out
 
 
-def count_buckets(texts: DataFrame) -> np.ndarray:
-    """Tokens of every bucket over all texts."""
+def count_words(texts: DataFrame) -> DataFrame:
+    """word, n: the tokens of every word over all texts."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, total = Buckets(), np.zeros(BUCKETS, np.int64)
+        def handed() -> pd.DataFrame:
+            return pd.DataFrame({"word": list(total), "n": np.fromiter(total.values(), np.int64, len(total))})
+
+        total: Counter[bytes] = Counter()
         for batch in batches:
             for text in batch["text"]:
-                total += np.bincount(memo.of(text), minlength=BUCKETS) if len(text) > BUCKETS else 0
-            short = [memo.of(t) for t in batch["text"] if len(t) <= BUCKETS]
-            if short:
-                total += np.bincount(np.concatenate(short), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": at.astype(np.int32), "n": total[at]})
+                total.update(words_of(text))
+                if len(total) > HELD:
+                    yield handed()
+                    total.clear()
+        if total:
+            yield handed()
+
+    return texts.select("text").mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
 
+def bucket_counts(counts: DataFrame) -> np.ndarray:
     out = np.zeros(BUCKETS)
-    for row in texts.select("text").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for row in counts.groupBy((F.crc32("word") % BUCKETS).cast("int").alias("bucket")).agg(F.sum("n").alias("n")).collect():
         out[row.bucket] = row.n
     return out
 
 
+def frequent_words(counts: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """(words, counts) of at most FREQUENT words, none less frequent than one left out."""
+    level = F.floor(F.log2("n") * 8)
+    least, kept = None, 0
+    for row in sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):
+        kept += row.words
+        if kept > FREQUENT:
+            break
+        least = row.level
+    rows = [] if least is None else counts.where(level >= least).collect()
+    return [bytes(r.word) for r in rows], np.array([r.n for r in rows], np.float64)
+
+
 def train(texts: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
     """The network after one pass over all texts, averaged over partitions by masked tokens."""
     start = initial(vocabulary)
@@ -200,23 +255,36 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    vocabulary = Vocabulary.from_counts(count_buckets(texts))
+    counts = settled(count_words(texts))
+    vocabulary = Vocabulary.from_counts(bucket_counts(counts))
     net = train(texts, vocabulary)
-    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, net))
+    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, net, *frequent_words(counts)))
     kind = texts.schema["id"].dataType.simpleString()
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, (words, model) = Buckets(), sent.value
+        known, model, frequent, times = sent.value
+        memo = Codes(frequent)
+        bucket_of = np.concatenate([np.fromiter((zlib.crc32(w) % BUCKETS for w in frequent), np.int64, len(frequent)), np.arange(BUCKETS)])
+        class_of = known.class_of[bucket_of]
+        # without the words' own counts where these are joined
+        share = (known.log_share - known.log_count)[bucket_of] + np.concatenate([np.log(times), np.zeros(BUCKETS)])
         for batch in batches:
-            found = [memo.of(t) for t in batch["text"]]
-            target, context = windows([words.class_of[b] for b in found])
+            found, rare = [], []
+            for text in batch["text"]:
+                words = words_of(text)
+                codes = np.fromiter(map(memo.__getitem__, words), np.int32, len(words))
+                found.append(codes)
+                rare.append([words[k] for k in np.flatnonzero(codes >= len(frequent))])
+            target, context = windows([class_of[c] for c in found])
             every = np.concatenate([*found, np.empty(0, np.int32)])
-            logs = np.concatenate([[0.0], np.cumsum(token_logs(model, target, context) + words.log_share[every], dtype=np.float64)])
-            ends = np.cumsum([len(b) for b in found])
-            n = np.array([len(b) for b in found], np.int64)
-            yield pd.DataFrame({"id": batch["id"], "n_tokens": n, "log_likelihood": np.where(n > 0, logs[ends] - logs[ends - n], 0.0)})
-
-    scored = texts.mapInPandas(score, f"id {kind}, n_tokens long, log_likelihood double")
+            logs = np.concatenate([[0.0], np.cumsum(token_logs(model, target, context) + share[every], dtype=np.float64)])
+            ends = np.cumsum([len(c) for c in found])
+            n = np.array([len(c) for c in found], np.int64)
+            yield pd.DataFrame({"id": batch["id"], "n_tokens": n, "log_likelihood": np.where(n > 0, logs[ends] - logs[ends - n], 0.0), "rare": rare})
+
+    partly = settled(texts.mapInPandas(score, f"id {kind}, n_tokens long, log_likelihood double, rare array<binary>").withColumn("row", F.monotonically_increasing_id()))
+    joined = partly.select("row", F.explode("rare").alias("word")).join(counts.hint("shuffle_hash"), "word").groupBy("row").agg(F.sum(F.log("n")).alias("rest"))
+    scored = partly.drop("rare").join(joined, "row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("rest", F.lit(0.0)))
     return scored.select(
         F.col("id").alias(id_col),
         "n_tokens",

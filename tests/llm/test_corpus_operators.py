@@ -244,6 +244,19 @@ def test_scoring(spark):
     assert scoring.score_documents(documents(spark, texts).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("frequent", [0, 8, 1 << 17])
+def test_words_of_one_bucket_have_their_own_counts(spark, monkeypatch, frequent):
+    by_bucket = defaultdict(list)
+    for k in range(100000):
+        by_bucket[zlib.crc32(f"w{k}".encode()) % scoring.BUCKETS].append(f"w{k}")
+    common, seldom = next(w for w in by_bucket.values() if len(w) > 1)[:2]
+    texts = [common, seldom, *[f"{common} x y"] * 60, "x " * 50, common]
+    monkeypatch.setattr(scoring, "FREQUENT", frequent)
+    rows = scoring.score_documents(documents(spark, texts)).orderBy("doc_id").collect()
+    assert rows[0].log_likelihood - rows[1].log_likelihood == pytest.approx(math.log(62), abs=1e-4)
+    assert rows[0].log_likelihood == pytest.approx(rows[-1].log_likelihood) and len(rows) == len(texts)
+
+
 def test_network_is_normed_and_sees_both_sides():
     counts = np.zeros(scoring.BUCKETS)
     counts[:500] = np.arange(500, 0, -1)
