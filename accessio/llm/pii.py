@@ -46,7 +46,7 @@ WIDE = {
     "card": r"(?<![0-9])[0-9](?:[\x20./-]{0,2}[0-9]){12,18}(?![0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+|00)?\(?[0-9]{2,4}\)?(?:[\x20./-]{1,2}\(?[0-9]{2,4}\)?){2,4}(?![0-9A-Za-z])",
 }
-WIDE_NEEDS = {"email": r"[(\[]at[)\]]|@\x20|\x20dot\x20", "ip": r"[0-9]\x20?\[?\.\]?\x20?[0-9]", "card": r"[0-9][\x20./-]{0,2}[0-9]", "phone": r"[0-9]\)?[\x20./-]"}
+WIDE_NEEDS = {"email": r"[(\[](?:at|dot)[)\]]|@\x20|\x20@|\x20dot\x20|@[A-Za-z0-9.-]*+(?:\x20\.|(?<=\.)\x20[A-Za-z0-9-])", "ip": r"[0-9]\x20?\[?\.\]?\x20?[0-9]", "card": r"[0-9][\x20./-]{0,2}[0-9]", "phone": r"[0-9]\)?[\x20./-]"}
 CUES = {"email": "mail|contact|write", "ip": r"\bip\b|host|server|addr", "card": "card|visa|credit|pay", "phone": r"phone|\btel\b|call|mobile|fax"}
 FEATURES = ("kind", "length", "digits", "letters", "groups", "blanks", "dots", "dashes", "brackets", "plus", "luhn", "largest", "even_groups", "cue", "other_cue", "before", "after")
 CONTEXT = 40
@@ -267,7 +267,7 @@ def sentences(n: int = 3000, seed: int = 7) -> list[tuple[str, list[tuple[int, i
         kind, private = i % 4, i // 4 % 2 == 0
         sep = r.choice([" ", "-", ".", "/"])
         if kind == 0:
-            at, dot = r.choice([("(at)", "."), ("[at]", "[dot]"), (" at ", " dot "), ("(at)", "(dot)"), (" @ ", ".")])
+            at, dot = r.choice([("(at)", "."), ("[at]", "[dot]"), (" at ", " dot "), ("(at)", "(dot)"), (" @ ", "."), ("@", "[dot]"), ("@", "(dot)"), (" @", ".")])
             item, cue = f"{word()}{at}{word()}{dot}{r.choice(['com', 'org', 'net', 'de'])}", ["mail", "contact", "write to"]
             if not private:
                 item = r.choice([f"{word()} @ {word()}. {word()}", f"{word()}@ {word()} . {word()}"])

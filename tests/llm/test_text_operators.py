@@ -163,6 +163,19 @@ def test_base_spans(spark):
     assert got[None].spans == [] and len(got) == len(texts) + 1
 
 
+def test_every_wide_email_passes_its_gate(spark):
+    ats = [f"{a}{at}{b}" for at in ("@", "(at)", "[at]") for a in ("", " ") for b in ("", " ")] + [" at "]
+    dots = [f"{a}{dot}{b}" for dot in (".", "(dot)", "[dot]") for a in ("", " ") for b in ("", " ")] + [" dot "]
+    rows = [(f"see anna{at}example{dot}com now",) for at in ats for dot in dots]
+    found = spark.createDataFrame(rows, "text string").withColumn("spans", pii.found(F.col("text"), pii.WIDE["email"], pii.WIDE_NEEDS["email"]))
+    plain = F.regexp_extract_all("text", F.lit(pii.WIDE["email"]), F.lit(0))
+    missed = found.where((F.size("spans") != F.size(plain)) & ~F.col("text").rlike(pii.BASE["email"]))
+    assert [r.text for r in missed.collect()] == []
+    forms = ["anna@example[dot]com", "anna@example(dot)com", "anna @example.com"]
+    texts = spark.createDataFrame([(f"please write to {form} today",) for form in forms], "text string")
+    assert [len(r.spans) for r in pii.find_private(texts).collect()] == [1, 1, 1]
+
+
 def test_model_adds_and_spares(spark):
     texts = ["please contact ann.lee(at)mail[dot]com today", "version 1.2.3 of 2020-01-02 and page 12 34", "call (030) 555-0199 now", "the end of it at last. And so"]
     rows = pii.find_private(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()
