@@ -332,7 +332,7 @@ def page_links(spark, sf_dir):
 @query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '<[^>]+>', '', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS title,
   CAST(length(regexp_replace(html, '<[^>]+>', '', 'g')) AS BIGINT) AS n_text FROM pages""")
 def page_label_values(spark, sf_dir):
-    """EXP3, SCL29, JN8, FLT5"""
+    """SCL29: title and length of the text. Looking labels up, as catalogue.page_records does (EXP3, JN8, FLT5), is in no query; tests alone cover it."""
     title = T.clean(H.unescape_common(H.without_tags(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1))))
     return _table(spark, sf_dir, "pages").select("page_id", title.alias("title"), _long(F.char_length(F.regexp_replace(H.page_source("html"), "<[^>]+>", ""))).alias("n_text"))
 
