@@ -14,8 +14,8 @@ most frequent words are sent to the workers; all others are joined to the table
 a shuffle, so no two words share a count.
 
 Training is one pass over all documents: each partition starts from the same
-parameters and learns in numpy by masked prediction, one masked token in every
-MASKED; the partitions' parameters are averaged by the tokens they saw. Counts
+parameters and learns in numpy by masked prediction, every token masked once; the
+partitions' parameters are averaged by the tokens they saw. Counts
 and parameters have a fixed size a partition and are summed by a shuffle.
 """
 
@@ -39,7 +39,6 @@ CLASSES = 128
 SINGLE = 96
 SIDE = 2
 HIDDEN = 16
-MASKED = 8
 RATE = 0.1
 STEP = 256
 SEED = 11
@@ -147,6 +146,13 @@ def windows(classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return line[centre], np.stack([line[centre + p] for p in places], axis=1)
 
 
+def lessons(classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens of some documents in the order to learn from, each masked once."""
+    target, context = windows(classes)
+    order = np.random.default_rng(len(target)).permutation(len(target))
+    return target[order], context[order]
+
+
 def forward(net: dict[str, np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hidden layer, log probabilities of the classes)"""
     hidden = np.tanh(sum(net["embed"][p][context[:, p]] for p in range(2 * SIDE)) + net["hidden"])
@@ -223,17 +229,15 @@ def frequent_words(counts: DataFrame) -> tuple[list[bytes], np.ndarray]:
 
 
 def train(texts: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
-    """The network after one pass over all texts, averaged over partitions by masked tokens."""
+    """The network after one pass over all texts, averaged over partitions by tokens."""
     start = initial(vocabulary)
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo, net, seen = Buckets(), {k: v.copy() for k, v in start.items()}, 0
         for batch in batches:
-            target, context = windows([vocabulary.class_of[memo.of(t)] for t in batch["text"]])
-            masked = np.arange(seen % MASKED, len(target), MASKED)
-            masked = np.random.default_rng(len(target)).permutation(masked)
-            learn(net, target[masked], context[masked])
-            seen += len(masked)
+            target, context = lessons([vocabulary.class_of[memo.of(t)] for t in batch["text"]])
+            learn(net, target, context)
+            seen += len(target)
         if seen:
             values = flat(net).astype(np.float64)
             yield pd.DataFrame({"place": np.arange(len(values), dtype=np.int32), "value": values * seen, "weight": float(seen)})

@@ -257,6 +257,13 @@ def test_words_of_one_bucket_have_their_own_counts(spark, monkeypatch, frequent)
     assert rows[0].log_likelihood == pytest.approx(rows[-1].log_likelihood) and len(rows) == len(texts)
 
 
+def test_every_token_is_learnt_from():
+    classes = [np.arange(k, dtype=np.int16) for k in (0, 1, 5, 100)]
+    target, context = scoring.lessons(classes)
+    plain, around = scoring.windows(classes)
+    assert sorted([t, *c] for t, c in zip(target.tolist(), context.tolist(), strict=True)) == sorted([t, *c] for t, c in zip(plain.tolist(), around.tolist(), strict=True))
+
+
 def test_network_is_normed_and_sees_both_sides():
     counts = np.zeros(scoring.BUCKETS)
     counts[:500] = np.arange(500, 0, -1)
