@@ -7,6 +7,7 @@ no-break space and the four separators U+001C to U+001F.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -99,28 +100,34 @@ def contains_any(c: Column, phrases: tuple[str, ...]) -> Column:
     return F.rlike(c, F.lit("(?iu)" + "|".join(re.escape(p) for p in phrases)))
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed a single time."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def matches(c: Column, pattern: str, groups: int = 0) -> Column:
     """All matches as an array of (start, end, text, g1 ..): code points, end exclusive.
 
-    The pieces between matches give the offsets, so a match's text may occur
-    elsewhere too.
+    A text costs one pass for its matches and, if it has any, one for the pieces
+    between them, whose lengths give the offsets. Groups come from each match's
+    own text, so a pattern may look around itself only for what is absent: an end
+    of text must satisfy it as well.
     """
-    pieces = F.split(c, pattern, -1)
-    whole = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    columns = [F.slice(pieces, 1, F.size(whole)).alias("piece"), whole.alias("whole")]
-    columns += [F.regexp_extract_all(c, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in range(1, groups + 1)]
     kind = "".join(f",g{g}:string" for g in range(1, groups + 1))
     none = F.from_json(F.lit("[]"), f"array<struct<start:int,end:int,text:string{kind}>>")
 
     def step(acc: Column, m: Column) -> Column:
         start = acc["at"] + F.char_length(m["piece"])
         end = start + F.char_length(m["whole"])
-        one = F.struct(start.alias("start"), end.alias("end"), m["whole"].alias("text"), *[m[f"g{g}"].alias(f"g{g}") for g in range(1, groups + 1)])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], one).alias("out"))
+        parts = [F.regexp_extract(m["whole"], pattern, g).alias(f"g{g}") for g in range(1, groups + 1)]
+        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), m["whole"].alias("text"), *parts)).alias("out"))
+
+    def walked(whole: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        pairs = F.zip_with(F.slice(F.split(c, pattern, -1), 1, F.size(whole)), whole, lambda p, w: F.struct(p.alias("piece"), w.alias("whole")))
+        return F.when(F.size(whole) > 0, F.aggregate(pairs, begin, step, lambda acc: acc["out"])).otherwise(none)
 
-    begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    walked = F.aggregate(F.arrays_zip(*columns), begin, step, lambda acc: acc["out"])
-    return F.when(F.rlike(c, F.lit(pattern)), walked).otherwise(none)  # most texts have no match and cost one pass
+    return once(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), walked)
 
 
 def context(c: Column, start: Column, end: Column, radius: int = 80) -> Column:

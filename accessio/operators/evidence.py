@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accessio.functions import text as T
-from accessio.operators.relational import first_wins
 from accessio.schema import EVIDENCE
 
 # Scores and the genus in question.
@@ -36,21 +35,33 @@ def score(kind: Column, rule: Column, confidence: Column) -> Column:
 
 
 def build_patterns(identifiers: DataFrame, order: str, with_number: bool = True) -> DataFrame:
-    """ncppb_number, patterns: each strain's patterns in order, the strain's own number first; equal values once."""
-    rows = identifiers.select(T.clean("ncppb_number").alias("ncppb_number"), "normalized_identifier", T.clean("rule_name").alias("rule_name"), T.clean("confidence").alias("confidence"), F.lower(T.clean("include_for_search")).alias("include"), F.col(order).alias("ord"))
+    """ncppb_number, patterns: each strain's patterns in order, the strain's own number first; equal values once.
+
+    One pass over the identifiers: equal values of a strain meet first, so a strain
+    gathers different ones alone; its own number's pattern is made of its key.
+    """
+    strain, value = T.clean("ncppb_number"), F.upper(T.clean("normalized_identifier"))
+    pattern = identifier_pattern(F.col("normalized_identifier"))
+    rule, confidence = T.clean("rule_name"), T.clean("confidence")
+
+    def one(ord_: Column, value: Column, kind: str, pattern: Column, rule: Column, confidence: Column) -> Column:
+        kind = F.lit(kind)
+        parts = {"ord": ord_, "value": value, "identifier_type": kind, "pattern": pattern, "rule_name": rule, "confidence": confidence, "score": score(kind, rule, confidence)}
+        return F.struct(*[c.alias(n) for n, c in parts.items()])
+
     digits = T.first_digits("ncppb_number")
-    numbers = rows.where(digits != "").select(
-        "ncppb_number", F.concat(F.lit("NCPPB "), digits).alias("value"), F.lit("ncppb_number").alias("identifier_type"), number_pattern(digits).alias("pattern"),
-        F.lit("ncppb_number").alias("rule_name"), F.lit("high").alias("confidence"), F.struct(F.lit(0).alias("branch"), "ord").alias("ord"),
-    )
-    others = rows.where((F.col("include") == "yes") & (F.col("ncppb_number") != "")).select(
-        "ncppb_number", F.upper(T.clean("normalized_identifier")).alias("value"), F.lit("other_reference_identifier").alias("identifier_type"), identifier_pattern(F.col("normalized_identifier")).alias("pattern"),
-        "rule_name", "confidence", F.struct(F.lit(1).alias("branch"), "ord").alias("ord"),
-    ).where("pattern IS NOT NULL")
-    every = numbers.unionByName(others) if with_number else others
-    once = first_wins(every, ["ncppb_number", "value"], ["ord"])
-    one = F.struct("ord", "value", "identifier_type", "pattern", "rule_name", "confidence", score(F.col("identifier_type"), F.col("rule_name"), F.col("confidence")).alias("score"))
-    return once.groupBy("ncppb_number").agg(F.array_sort(F.collect_list(one)).alias("patterns"))
+    rows = identifiers.select(strain.alias("ncppb_number"), (F.lower(T.clean("include_for_search")) == "yes").alias("included"), value.alias("value"), pattern.alias("pattern"), rule.alias("rule"), confidence.alias("confidence"), F.col(order).alias("at"))
+    # rows that offer no pattern of their own still tell of their strain
+    rows = rows.withColumn("value", F.when(F.col("included") & (F.col("ncppb_number") != "") & F.col("pattern").isNotNull(), F.col("value")))
+    place = F.struct(F.lit(1).alias("branch"), F.col("at").alias("at"))
+    other = F.when(F.col("value").isNotNull(), one(place, F.col("value"), "other_reference_identifier", F.col("pattern"), F.col("rule"), F.col("confidence")))
+    once = rows.groupBy("ncppb_number", "value").agg(F.min_by(other, F.col("at")).alias("other"), F.min("at").alias("at"))
+    name = F.concat(F.lit("NCPPB "), digits)
+    others = F.array_sort(F.collect_list("other"))
+    strains = once.groupBy("ncppb_number").agg(others.alias("others"), F.min("at").alias("at"))
+    own = one(F.struct(F.lit(0).alias("branch"), F.col("at").alias("at")), name, "ncppb_number", number_pattern(digits), F.lit("ncppb_number"), F.lit("high"))
+    every = F.when(digits != "", F.concat(F.array(own), F.filter("others", lambda x: x["value"] != name))).otherwise(F.col("others")) if with_number else F.col("others")
+    return strains.select("ncppb_number", every.alias("patterns")).where(F.size("patterns") > 0)
 
 
 def metadata_text(rows: DataFrame) -> Column:
