@@ -20,9 +20,9 @@ def distinct_in_order(df: DataFrame, order: str) -> DataFrame:
 
 
 def upsert_by_rank(df: DataFrame, keys: list[str], rank: Column, order: str) -> DataFrame:
-    """Of each key the row of highest rank, of those the first; order is that of the key's first row."""
+    """Of each key the row of highest rank (a number), of those the first; order is that of the key's first row."""
     rest = [c for c in df.columns if c not in (*keys, order)]
-    best = F.max_by(F.struct(*[F.col(c) for c in rest]), F.struct(rank, -F.col(order)))
+    best = F.min_by(F.struct(*[F.col(c) for c in rest]), F.struct(-rank, order))
     return df.groupBy(*keys).agg(best.alias("__row"), F.min(order).alias(order)).select(*[(F.col(c) if c in (*keys, order) else F.col(f"__row.{c}").alias(c)) for c in df.columns])
 
 

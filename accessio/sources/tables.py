@@ -25,9 +25,10 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 def read_table(spark: SparkSession, path: str, na_tokens: bool = False, ordinal: str | None = None) -> DataFrame:
     """A delimited file, all strings, missing cells empty. na_tokens: NA, None, null and the like are missing too.
 
-    ordinal names a column for the rows' order. A file with line breaks inside
-    quotes is read by one task; split large tables into several files, whose order
-    is then that of their names.
+    ordinal names a column for the rows' order: a struct of the file's path and the
+    place in it, so files count in the order of their names, whatever their sizes.
+    Any order parameter of this library takes it. A file with line breaks inside
+    quotes is read by one task; split large tables into several files.
     """
     df = spark.read.options(**_CSV, sep=delimiter(path)).csv(path)
 
@@ -36,7 +37,10 @@ def read_table(spark: SparkSession, path: str, na_tokens: bool = False, ordinal:
         return F.when(c.isin(*NA_TOKENS), "").otherwise(F.coalesce(c, F.lit(""))) if na_tokens else F.coalesce(c, F.lit(""))
 
     out = df.select(*[cell(c).alias(c) for c in df.columns])
-    return out.withColumn(ordinal, F.monotonically_increasing_id()) if ordinal else out
+    if not ordinal:
+        return out
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"))
+    return df.select(*[cell(c).alias(c) for c in df.columns], place.alias(ordinal))
 
 
 def write_table(df: DataFrame, path: str, columns: tuple[str, ...] | None = None, crlf: bool = False) -> None:

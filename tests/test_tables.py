@@ -179,3 +179,45 @@ def test_stream(spark, tmp_path):
     run = stream.writeStream.format("memory").queryName("found").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert {r.rule_name for r in spark.table("found").collect()} == {"known_collection_prefix", "no_identifier_found"}
+
+
+def test_files_count_in_the_order_of_their_names(spark, tmp_path):
+    """Spark takes large files first; a small first one must still come first."""
+    (tmp_path / "t.csv").mkdir()
+    (tmp_path / "t.csv" / "a.csv").write_text("k,v\nx,first\n")
+    (tmp_path / "t.csv" / "b.csv").write_text("k,v\n" + "x,later\n" * 2000)
+    (tmp_path / "t.csv" / "c.csv").write_text("k,v\nx,last\ny,c\n")
+    rows = tables.read_table(spark, str(tmp_path / "t.csv"), ordinal="ord")
+    assert [r.v for r in rows.orderBy("ord").select("v").collect()] == ["first", *["later"] * 2000, "last", "c"]
+    assert {(r.k, r.v) for r in relational.first_wins(rows, ["k"], ["ord"]).collect()} == {("x", "first"), ("y", "c")}
+    ranked = relational.upsert_by_rank(rows, ["k"], F.when(F.col("v") == "last", 2).otherwise(1), "ord")
+    assert {(r.k, r.v) for r in ranked.collect()} == {("x", "last"), ("y", "c")}
+
+
+def test_page_without_closing_tags(spark):
+    """Ends of parents close what is open; rows are told apart by their parents, text by its tags."""
+    page = (
+        "<table><tr><td>1<td>x</td></td><td><a href='?furtherinfo.cfm'>no</a><a href='FurtherInfo.cfm?ncppb_no=7'></a></td><td> A <b>b</b>&amp;c &lt;<!-- y --> d</td>"
+        "<table><tr><td>inner</td></tr></table></tr><!-- x --><tr><td><strong>Notes</strong><strong>Host: </strong></td><b>?</b><td>v1</td><td>v2</td></tr>"
+        "<tr><td><strong>Host:</strong></td></tr></table>"
+    )
+    got = catalogue.records_of(page)
+    assert [(r["ncppb_number"], r["current_name"], r["notes"], r["host"]) for r in got] == [("NCPPB 7", "A b &c < d", "v1", "v1")]
+    assert got[0]["raw_record_text"].endswith("inner Notes Host: ? v1 v2") and catalogue.records_of("") == []
+
+
+def test_replay_takes_repeated_terms_and_ids_once(spark):
+    hits = spark.createDataFrame([("t", "u", 0)], "search_term string, uid string, place int")
+    summaries = spark.createDataFrame([("u", '{"title": "a"}'), ("u", '{"title": "a"}')], "uid string, summary string")
+    errors = spark.createDataFrame([("e", "x"), ("e", "y")], "search_term string, error string")
+    specs = spark.createDataFrame([("n", "s", "i", "p", "x", t) for t in ("t", "e")], ", ".join(f"{c} string" for c in lookup.SPEC))
+    got = sorted((r.search_term, r.title, r.error) for r in lookup.ReplayLookup(hits, summaries, errors).records(specs).collect())
+    assert got == [("e", "", "x"), ("t", "a", "")]
+
+
+def test_requests_are_counted_and_answers_kept(spark, tmp_path):
+    looked = lookup.HttpLookup(service_factory())
+    specs = spark.createDataFrame([("n", "s", "i", "p", "x", t) for t in ("good", "none", "bad", "none")], ", ".join(f"{c} string" for c in lookup.SPEC))
+    out = looked.harvest(specs, str(tmp_path / "raw"), every=2)
+    assert looked.requests == 4 and out.count() == 5 and tuple(out.columns) == RAW_ROWS  # 2 for good, 1 for none, 1 for bad
+    assert looked.harvest(specs, str(tmp_path / "raw")).count() == 5 and looked.requests == 4
