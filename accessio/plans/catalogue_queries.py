@@ -7,13 +7,15 @@ order). Both sides of a comparison build them by the same concatenation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from accessio.functions import html as H
 from accessio.functions import text as T
 from accessio.operators import catalogue, evidence, identifiers, relational, report, terms
-from accessio.sources import lookup
+from accessio.schema import EVIDENCE, MASTER, RAW_ROWS
+from accessio.sources import lookup, tables
+from accessio.sources.tables import scratch
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -135,7 +137,7 @@ def distinct_rows(spark, sf_dir):
 
 @query(r"SELECT c_custkey, c_name FROM customer ORDER BY CAST(regexp_extract(c_name, '(\d+)', 1) AS DOUBLE) DESC NULLS LAST, c_custkey LIMIT 25")
 def numeric_key_sort_topk(spark, sf_dir):
-    """SRT1, LIM1, LIM4"""
+    """LIM1, LIM4"""
     number = F.regexp_extract("c_name", r"(\d+)", 1).try_cast("double")
     return _table(spark, sf_dir, "customer").select("c_custkey", "c_name").orderBy(number.desc_nulls_last(), "c_custkey").limit(25)
 
@@ -202,6 +204,18 @@ def context_window(spark, sf_dir):
     return first.select("doc_id", _long(F.col("m.start")).alias("start_at"), _long(F.col("m.end")).alias("end_at"), T.context(F.col("t"), F.col("m.start"), F.col("m.end")).alias("context"))
 
 
+@query(rf"""WITH t AS (SELECT doc_id, {CLEAN_SQL} AS t FROM documents), m AS (SELECT doc_id, t, string_split(regexp_replace(t, '({GENERAL_RE})', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS parts FROM t),
+u AS (SELECT doc_id, t, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM m),
+w AS (SELECT *, CAST(coalesce(sum(length(replace(part, chr(2), ''))) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_at FROM u)
+SELECT doc_id, CAST(i - 2 AS BIGINT) AS place, split_part(part, chr(2), 1) AS matched, start_at, start_at + strpos(part, chr(2)) - 1 AS end_at,
+  trim(regexp_replace(substr(t, greatest(start_at - 80, 0) + 1, start_at + strpos(part, chr(2)) - 1 + 80 - greatest(start_at - 80, 0)), '\s+', ' ', 'g')) AS context FROM w WHERE i > 1""")
+def context_windows(spark, sf_dir):
+    """SCL20, SCL21, WIN3, EXP5: every match of every document with its offsets and surroundings"""
+    found = _table(spark, sf_dir, "documents").select("doc_id", T.clean(F.translate("text", "_", ":")).alias("t")).withColumn("ms", T.matches(F.col("t"), identifiers.GENERAL, 2))
+    each = found.select("doc_id", "t", F.posexplode_outer("ms").alias("place", "m")).where("m IS NOT NULL")
+    return each.select("doc_id", _long(F.col("place")).alias("place"), F.col("m.text").alias("matched"), _long(F.col("m.start")).alias("start_at"), _long(F.col("m.end")).alias("end_at"), T.context(F.col("t"), F.col("m.start"), F.col("m.end")).alias("context"))
+
+
 _REF_ROWS = f"""WITH refs AS ({REFS}), rows AS (
   SELECT *, 0 AS place, 'ICMP ' || p_partkey AS matched_text, 'ICMP' AS prefix, '' || p_partkey AS suffix, 'known_collection_prefix' AS rule_name, 'high' AS confidence FROM refs
   UNION ALL SELECT *, 1, 'LMG-' || p_size, 'LMG', '' || p_size, 'known_collection_prefix', 'high' FROM refs
@@ -299,11 +313,13 @@ def classify_evidence(spark, sf_dir):
     return _judged(spark, sf_dir).select("ncbi_uid", "evidence_decision", "evidence_class", "evidence_score", "matched_identifier")
 
 
-@query(_JUDGED + " SELECT count(*) FILTER (decision = 'accept') AS accepted, count(*) FILTER (decision <> 'accept') AS reviewed FROM decided")
+@query(_JUDGED + " SELECT ncbi_uid, decision AS evidence_decision, class AS evidence_class, decision = 'accept' AS accepted FROM decided")
 def split_accept_review(spark, sf_dir):
-    """SNK3, SNK4, AGG13"""
-    accept = F.col("evidence_decision") == "accept"
-    return _judged(spark, sf_dir).agg(F.count_if(accept).alias("accepted"), F.count_if(~accept).alias("reviewed"))
+    """SNK2-SNK4, SRC3, SRC4: accepted rows in one table, all others in another, both written and read again"""
+    where = scratch(spark, "split")
+    tables.split_sink(_judged(spark, sf_dir), F.col("evidence_decision") == "accept", f"{where}/accepted.tsv", f"{where}/review.tsv")
+    both = [tables.read_table(spark, f"{where}/{name}.tsv").withColumn("accepted", F.lit(name == "accepted")) for name in ("accepted", "review")]
+    return both[0].unionByName(both[1]).select("ncbi_uid", "evidence_decision", "evidence_class", "accepted")
 
 
 @query(_JUDGED + " SELECT decision AS evidence_decision, class AS evidence_class, count(*) AS n, CAST(grouping(decision, class) AS BIGINT) AS level FROM decided GROUP BY ROLLUP (decision, class)")
@@ -324,7 +340,7 @@ def identifier_summary(spark, sf_dir):
 @query(r"""SELECT page_id, CAST(len(regexp_extract_all(html, '<a\b[^>]*?href\s*=\s*["'']?([^"''\s>]*)[^>]*>(.*?)</a>')) AS BIGINT) AS n_links,
   array_to_string(list_transform(regexp_extract_all(html, '<a\b[^>]*?href\s*=\s*["'']?([^"''\s>]*)[^>]*>(.*?)</a>', 1), lambda x: CASE WHEN starts_with(x, '/') THEN 'https://example.org' || x WHEN regexp_matches(x, '^[a-z]+:') THEN x ELSE 'https://example.org/' || x END), ' ') AS links FROM pages""")
 def page_links(spark, sf_dir):
-    """EXP1, EXP2, SCL30, SCL32, JN10"""
+    """SCL30: addresses of links, made absolute"""
     found = H.links("html")
     return _table(spark, sf_dir, "pages").select("page_id", _long(F.size(found)).alias("n_links"), F.array_join(F.transform(found, lambda x: H.absolute(x["href"], "https://example.org/")), " ").alias("links"))
 
@@ -332,38 +348,81 @@ def page_links(spark, sf_dir):
 @query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '<[^>]+>', '', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS title,
   CAST(length(regexp_replace(html, '<[^>]+>', '', 'g')) AS BIGINT) AS n_text FROM pages""")
 def page_label_values(spark, sf_dir):
-    """SCL29: title and length of the text. Looking labels up, as catalogue.page_records does (EXP3, JN8, FLT5), is in no query; tests alone cover it."""
+    """SCL29: title and length of the text; catalogue_records looks labels up"""
     title = T.clean(H.unescape_common(H.without_tags(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1))))
     return _table(spark, sf_dir, "pages").select("page_id", title.alias("title"), _long(F.char_length(F.regexp_replace(H.page_source("html"), "<[^>]+>", ""))).alias("n_text"))
 
 
-@query("SELECT event_id, CAST(coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER), 0) AS BIGINT) AS k FROM events")
-def json_flatten(spark, sf_dir):
-    """JSN1-JSN3"""
-    parsed = F.from_json("props", "k string", {"allowUnquotedControlChars": "true"})
-    return _table(spark, sf_dir, "events").select("event_id", _long(F.coalesce(parsed["k"].try_cast("int"), F.lit(0))).alias("k"))
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 50 END AS total, CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN '' || user_id ELSE user_id || ' ' || event_id END AS ids FROM events""")
+def search_documents(spark, sf_dir):
+    """JSN1, JSN3, SCL31: total and ids of search documents; none, without a count, with a raw tab in a string"""
+    which = F.col("event_id") % 3
+    one, two = F.concat(F.lit('"'), "user_id", F.lit('"')), F.concat(F.lit('"'), "user_id", F.lit('", "'), "event_id", F.lit('"'))
+    document = F.when(which == 0, "{}").otherwise(
+        F.concat(F.lit('{"header": {"type": "a\tb"}, "esearchresult": {"count": "'), F.col("event_id") % 50, F.lit('", "idlist": ['), F.when(which == 1, one).otherwise(two), F.lit("]}}"))
+    )
+    return _table(spark, sf_dir, "events").select("event_id", lookup.search_result(document).alias("r")).select("event_id", _long(F.col("r.total")).alias("total"), F.array_join("r.ids", " ").alias("ids"))
+
+
+@query("""SELECT event_id, 'A' || event_id AS accession, 'a ' || event_type AS title, '' AS taxonomy, k AS n_summaries FROM (SELECT *, CAST(1 + event_id % 2 AS BIGINT) AS k FROM events)""")
+def summary_documents(spark, sf_dir):
+    """JSN1, JSN2: the summaries of a document by id, one record's fields flattened; a raw line break in a string"""
+    one = F.concat(F.lit('"7": {"accession": "A'), "event_id", F.lit('", "title": "a\n'), "event_type", F.lit('"}'))
+    other = F.when(F.col("event_id") % 2 == 1, ', "8": {"title": "other"}').otherwise("")
+    document = F.concat(F.lit('{"result": {"uids": ["7", "8"], '), one, other, F.lit("}}"))
+    found = _table(spark, sf_dir, "events").select("event_id", lookup.summaries_of(document).alias("m"))
+    flat = {c: x for c, x in zip(RAW_ROWS[6:17], lookup.flattened(F.lit("7"), F.col("m")["7"], exact_xml=False), strict=True)}
+    return found.select("event_id", flat["ncbi_accession"].alias("accession"), flat["title"].alias("title"), flat["taxid"].alias("taxonomy"), _long(F.size("m")).alias("n_summaries"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'strain: ab ' || p_partkey || ' c; host: ' || p_brand WHEN 2 THEN 'attribute: x y' ELSE '' END AS attributes FROM part""")
+def xml_mixed(spark, sf_dir):
+    """XML1-XML3: malformed fragments, mixed content, attributes at any depth, by the element tree"""
+    k = F.col("p_partkey") % 4
+    mixed = F.concat(F.lit('<A><B><Attribute attribute_name="strain">ab<i> '), "p_partkey", F.lit('</i> c</Attribute></B><Attribute harmonized_name="host">'), "p_brand", F.lit("</Attribute></A>"))
+    xml = F.when(k == 0, "<Attribute>open").when(k == 1, mixed).when(k == 2, "<Attribute>x\n <b>y</b></Attribute><Attribute> </Attribute>").otherwise("")
+    return _table(spark, sf_dir, "part").select("p_partkey", lookup.attributes(xml).alias("attributes"))
 
 
 @query("SELECT p_partkey, 'strain: ' || p_partkey || '; host: ' || p_brand || '; attribute: ' || p_size AS attributes FROM part")
 def xml_attributes(spark, sf_dir):
-    """XML1-XML3, SCL17"""
+    """SCL17, XML2, XML3 where values are one run of text, in the JVM"""
     xml = F.concat(F.lit('<Attribute attribute_name="strain" harmonized_name="x">'), "p_partkey", F.lit('</Attribute><Attribute harmonized_name="host">'), "p_brand", F.lit("</Attribute><Attribute> "), "p_size", F.lit(" </Attribute><Attribute/>"))
     return _table(spark, sf_dir, "part").select("p_partkey", lookup.xml_attributes(xml).alias("attributes"))
 
 
-@query("""WITH hits AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn, count(*) OVER (PARTITION BY o_custkey) AS total FROM orders)
-SELECT CAST(c_custkey AS VARCHAR) AS ncppb_number, coalesce(CAST(o_orderkey AS VARCHAR), '') AS ncbi_uid, CASE WHEN o_orderkey IS NULL THEN '' ELSE o_orderpriority END AS title,
-  CAST(coalesce(total, 0) AS VARCHAR) AS id_count_returned, CASE WHEN o_orderkey IS NULL THEN 'no_hit' ELSE 'ok' END AS status
-FROM customer LEFT JOIN (SELECT * FROM hits WHERE rn <= 3) ON c_custkey = o_custkey""")
-def lookup_replay(spark, sf_dir):
-    """SRC6-SRC8, JN6, JN7, LIM3, RUL5, RUL6, EXP7, PRJ7"""
+_LOOKED = """WITH hits AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn, count(*) OVER (PARTITION BY o_custkey) AS total FROM orders)"""
+
+
+def _looked_up(spark, sf_dir, failing: bool) -> DataFrame:
     orders = _table(spark, sf_dir, "orders").dropDuplicates(["o_orderkey"])
     uid = F.col("o_orderkey").cast("string")
     hits = orders.select(F.concat(F.lit("c"), "o_custkey").alias("search_term"), uid.alias("uid"), F.col("o_orderkey").alias("place"))
-    summaries = orders.select(uid.alias("uid"), F.to_json(F.struct(F.col("o_orderpriority").alias("title"))).alias("summary"))
+    summaries = orders.select(uid.alias("uid"), F.to_json(F.struct(F.concat(F.lit("S"), "o_orderkey").alias("accession"), F.col("o_orderpriority").alias("title"))).alias("summary"))
+    term = F.concat(F.lit("c"), "c_custkey").alias("search_term")
+    customers = _table(spark, sf_dir, "customer")
+    errors = customers.where("c_custkey % 10 = 3").select(term, F.lit("timed out").alias("error")) if failing else None
     blank = [F.lit("").alias(c) for c in lookup.SPEC[1:5]]
-    specs = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("ncppb_number"), *blank, F.concat(F.lit("c"), "c_custkey").alias("search_term"))
-    return lookup.ReplayLookup(hits, summaries).records(specs, most=3).select("ncppb_number", "ncbi_uid", "title", "id_count_returned", "status")
+    return lookup.ReplayLookup(hits, summaries, errors).records(customers.select(F.col("c_custkey").cast("string").alias("ncppb_number"), *blank, term), most=3)
+
+
+@query(_LOOKED + """ SELECT CAST(c_custkey AS VARCHAR) AS ncppb_number, coalesce(CAST(o_orderkey AS VARCHAR), '') AS ncbi_uid, CASE WHEN o_orderkey IS NULL THEN '' ELSE o_orderpriority END AS title,
+  CAST(coalesce(total, 0) AS VARCHAR) AS id_count_returned, CASE WHEN o_orderkey IS NULL THEN 'no_hit' ELSE 'ok' END AS status
+FROM customer LEFT JOIN (SELECT * FROM hits WHERE rn <= 3) ON c_custkey = o_custkey""")
+def lookup_replay(spark, sf_dir):
+    """SRC6-SRC8, JN6, JN7, LIM3, RUL6, EXP7, PRJ7"""
+    return _looked_up(spark, sf_dir, False).select("ncppb_number", "ncbi_uid", "title", "id_count_returned", "status")
+
+
+@query(_LOOKED + """ SELECT CAST(c_custkey AS VARCHAR) AS ncppb_number, 'c' || c_custkey AS search_term, 'biosample' AS ncbi_db, CASE WHEN kind = 'ok' THEN CAST(o_orderkey AS VARCHAR) ELSE '' END AS ncbi_uid,
+  CASE WHEN kind = 'ok' THEN 'S' || o_orderkey ELSE '' END AS ncbi_accession, CASE WHEN kind = 'ok' THEN 'https://www.ncbi.nlm.nih.gov/biosample/S' || o_orderkey ELSE '' END AS source_url,
+  CASE WHEN kind = 'ok' THEN o_orderpriority ELSE '' END AS title, CASE WHEN kind = 'ok' THEN o_orderpriority ELSE '' END AS metadata_text,
+  CASE kind WHEN 'error' THEN '' WHEN 'ok' THEN CAST(total AS VARCHAR) ELSE '0' END AS id_count_returned, kind AS status, CASE kind WHEN 'error' THEN 'timed out' ELSE '' END AS error
+FROM (SELECT *, CASE WHEN c_custkey % 10 = 3 THEN 'error' WHEN o_orderkey IS NULL THEN 'no_hit' ELSE 'ok' END AS kind
+  FROM customer LEFT JOIN (SELECT * FROM hits WHERE rn <= 3) ON c_custkey = o_custkey) WHERE kind <> 'error' OR coalesce(rn, 1) = 1""")
+def lookup_errors(spark, sf_dir):
+    """RUL5, RUL6, PRJ7, SCL18: a failed lookup is one row, whatever had been found; hits and lookups without any beside it"""
+    return _looked_up(spark, sf_dir, True).select("ncppb_number", "search_term", "ncbi_db", "ncbi_uid", "ncbi_accession", "source_url", "title", "metadata_text", "id_count_returned", "status", "error")
 
 
 @query("SELECT event_type AS ncbi_db, count(*) AS n_lookups, count(*) FILTER (value > 50) AS n_with_ids, count(*) FILTER (event_id % 7 = 0) AS n_errors, CAST(sum(CASE WHEN value > 50 THEN 2 ELSE 0 END) AS BIGINT) AS n_ids FROM events GROUP BY 1")
@@ -377,3 +436,145 @@ def status_counts(spark, sf_dir):
 def filled_counts(spark, sf_dir):
     """AGG14"""
     return report.filled_counts(_table(spark, sf_dir, "part").select("p_name", "p_brand", "p_size"))
+
+
+# Rules, one case each ------------------------------------------------------------------------------
+
+# A text for each rule, and what it gives: prefix, suffix, matched text, rule, confidence.
+_RULES = """(VALUES (0, 'isolated by X. A ', '', 'A', '', 'A ', 'source_context_single_letter_code', 'low'),
+  (1, 'isolated by J. Smith No ', '', 'NO', '', 'No ', 'source_context_number_label', 'low'),
+  (2, 'this AND ', ' that', 'AND', '', 'AND ', 'stopword_prefix', 'reject'),
+  (3, 'of NBC', '', 'NBC', '', 'NBC', 'known_collection_prefix', 'high'),
+  (4, 'by G. Orian ', '', 'ORIAN', '', 'Orian ', 'person_or_local_reference_code', 'low'),
+  (5, 'accession Xyz ', '', 'XYZ', '', 'Xyz ', 'contextual_reference_code', 'medium'),
+  (6, 'see XS', '/5', 'XS', '/5', 'XS', 'uppercase_general_code', 'medium'),
+  (7, 'see q ', '', 'Q', '', 'q ', 'single_letter_code', 'low'),
+  (8, 'see Xyz-', '', 'XYZ', '', 'Xyz-', 'general_code_candidate', 'low'),
+  (9, 'nothing of note', '', '', '', '', 'no_identifier_found', 'none'))"""
+RULE_TEXTS = f"SELECT p_partkey, before || CASE WHEN k = 9 THEN '' ELSE '' || p_partkey END || behind AS text FROM part JOIN {_RULES} AS t(k, before, behind, prefix, tail, matched, rule, confidence) ON p_partkey % 10 = k"
+
+
+@query(f"""SELECT CAST(p_partkey AS VARCHAR) AS ncppb_number, before || found || behind AS other_references, matched || found || tail AS matched_text, trim(prefix || ' ' || found || tail) AS normalized_identifier,
+  prefix, found || tail AS suffix, rule AS rule_name, confidence, CASE WHEN confidence IN ('reject', 'none') THEN 'no' ELSE 'yes' END AS include_for_search,
+  CASE WHEN confidence IN ('reject', 'none') THEN '' ELSE prefix || '[All Fields] AND ' || found || '[All Fields]' || CASE WHEN tail = '' THEN '' ELSE ' AND 5[All Fields]' END END AS biosample_query,
+  CASE WHEN k = 9 THEN '' ELSE before || found || behind END AS context
+FROM (SELECT *, CASE WHEN k = 9 THEN '' ELSE '' || p_partkey END AS found FROM part JOIN {_RULES} AS t(k, before, behind, prefix, tail, matched, rule, confidence) ON p_partkey % 10 = k)""")
+def identifier_rules(spark, sf_dir):
+    """RUL1 (all nine rules and none), SET6, SCL12, SCL13, SCL22, SCL25, FLT9, EXP6: every column of one text a rule"""
+    k = F.col("p_partkey") % 10
+    before = F.array(*[F.lit(x) for x in ("isolated by X. A ", "isolated by J. Smith No ", "this AND ", "of NBC", "by G. Orian ", "accession Xyz ", "see XS", "see q ", "see Xyz-", "nothing of note")])
+    text = F.concat(F.get(before, k.cast("int")), F.when(k == 9, "").otherwise(F.col("p_partkey").cast("string")), F.when(k == 2, " that").when(k == 6, "/5").otherwise(""))
+    found = identifiers.extract_identifiers(_table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "p_partkey", "text")
+    return found.drop("place")
+
+
+# One record a class of evidence, for the strain of each part.
+_CASES = """(VALUES (0, 'no_hit', '', 'x', 'no_public_data_found', 'no_data', 'no_biosample_candidate', 0, '', 'query_returned_no_biosample_records'),
+  (1, 'error', '', 'x', 'ambiguous', 'review', 'review_query_error', 0, '', 'query_error'),
+  (2, 'ok', 'Xanthomonas citri', 'NCPPB # and NCPPB 99999', 'ambiguous', 'reject', 'reject_conflicting_identifier', 100, 'own', 'conflicting_ncppb_number:99999'),
+  (3, 'ok', 'Pseudomonas', 'strain ICMP #', 'probable_strain_match', 'review', 'review_strong_identifier_non_target_organism', 90, 'icmp', 'strong_identifier_match_non_xanthomonas_organism'),
+  (4, 'ok', 'Pseudomonas', 'isolate B@ x', 'ambiguous', 'reject', 'reject_weak_identifier_non_target_organism', 40, 'b', 'weak_identifier_match_non_xanthomonas_organism'),
+  (5, 'ok', 'Pseudomonas', 'leaf', 'ambiguous', 'reject', 'reject_non_target_taxon', 0, '', 'non_xanthomonas_organism'),
+  (6, 'ok', '', 'ncppb no. 00#', 'strong_strain_match', 'accept', 'confirmed_ncppb_identifier', 100, 'own', ''),
+  (7, 'ok', 'Xanthomonas sp.', '(icmp_#)', 'strong_strain_match', 'accept', 'confirmed_equivalent_collection_identifier', 90, 'icmp', ''),
+  (8, 'ok', 'Xanthomonas', 'B-@', 'probable_strain_match', 'review', 'review_local_or_donor_identifier_only', 40, 'b', 'local_or_donor_identifier_requires_manual_review'),
+  (9, 'ok', 'xanthomonas', 'leaf', 'taxon_level_only', 'review', 'review_taxon_only', 20, '', 'no_exact_strain_identifier_match'),
+  (10, 'ok', '', 'leaf', 'ambiguous', 'review', 'review_no_organism_or_strain_identifier', 0, '', 'no_organism_or_strain_identifier'))
+  AS t(k, status, organism, template, level, decision, class, score, kind, reason)"""
+EVIDENCE_ROWS = f"""SELECT 'NCPPB ' || p_partkey AS ncppb_number, 'biosample' AS ncbi_db, 'u' || p_partkey AS ncbi_uid, 'S' || p_partkey AS ncbi_accession, 'http://x/' || p_partkey AS source_url, p_name AS title, organism,
+  '' || p_size AS taxid, 'other_reference' AS query_source, 'q' || p_partkey AS search_term, replace(replace(template, '#', '' || p_partkey), '@', '' || p_size) AS metadata_text, status, CASE WHEN status = 'error' THEN 'down' ELSE '' END AS error
+FROM part JOIN {_CASES} ON p_partkey % 11 = k"""
+
+
+@query(f"""WITH rows AS ({EVIDENCE_ROWS})
+SELECT r.*, level AS evidence_level, decision AS evidence_decision, class AS evidence_class, CAST(score AS VARCHAR) AS evidence_score,
+  CASE kind WHEN 'own' THEN r.ncppb_number WHEN 'icmp' THEN 'ICMP ' || p_partkey WHEN 'b' THEN 'B ' || p_size ELSE '' END AS matched_identifier,
+  CASE kind WHEN '' THEN '' WHEN 'own' THEN 'ncppb_number' ELSE 'other_reference_identifier' END AS matched_identifier_type,
+  CASE kind WHEN 'own' THEN 'ncppb_number' WHEN 'icmp' THEN 'known_collection_prefix' WHEN 'b' THEN 'source_context_single_letter_code' ELSE '' END AS identifier_rule_name,
+  CASE kind WHEN '' THEN '' WHEN 'b' THEN 'low' ELSE 'high' END AS identifier_confidence, reason AS reject_reason
+FROM rows r JOIN part ON r.ncppb_number = 'NCPPB ' || p_partkey JOIN {_CASES} ON p_partkey % 11 = k""")
+def evidence_classes(spark, sf_dir):
+    """RUL2 (all eleven classes), RUL3, RUL4, PRJ6, SCL23, SCL24, SCL26: every column, row by row"""
+    rows = spark.sql(EVIDENCE_ROWS.replace("FROM part", "FROM {part}"), part=_table(spark, sf_dir, "part"))
+    return evidence.classify_rows(rows, _patterns(spark, sf_dir)).select(*EVIDENCE)
+
+
+# Catalogue pages -----------------------------------------------------------------------------------
+
+
+def catalogue_pages(spark, sf_dir) -> DataFrame:
+    """path, value: pages of ten parts each, a header row with the record's link and a detail row with labels; every second page is a view-source save."""
+    k, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+
+    def detail(label: str, *value) -> list:
+        return [F.lit(f"<tr><td><strong>{label}:</strong></td><td>"), *value, F.lit("</td></tr>\n")]
+
+    record = F.concat(
+        F.lit("<tr><td>"), size, F.lit('</td><td><a href="furtherinfo.cfm?ncppb_no='), k, F.lit('">NCPPB '), k, F.lit("</a></td><td><i>"), F.col("p_name"), F.lit("</i> pv. x"), size, F.lit("</td></tr>\n<tr><td colspan=3><table>"),
+        *detail("Country", F.col("p_brand")), *detail("Other references", F.lit("ICMP "), k, F.lit(",<br>LMG-"), size, F.lit(" &amp; more")), *detail("Notes", F.lit("seen")), *detail("Notes", F.lit("again "), size),
+        *detail("Host", F.lit("")), *detail("Shelf", F.lit("none")), *detail("Sequencing link", F.lit('<a href="/s/'), k, F.lit('">One</a> <a href="http://q/2"></a>')), F.lit("</table></td></tr>\n"),
+    )
+    rows = _table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 10).alias("page"), F.struct("p_partkey", record.alias("html")).alias("r"))
+    whole = rows.groupBy("page").agg(F.array_sort(F.collect_list("r")).alias("rs")).select("page", F.concat(F.lit("<table>\n"), F.array_join(F.transform("rs", lambda r: r["html"]), ""), F.lit("</table>")).alias("html"))
+    escaped = F.replace(F.replace(F.replace("html", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = F.transform(F.split(escaped, "\n"), lambda x: F.concat(F.lit('<tr><td class="line-number"></td><td class="line-content"><span>'), x, F.lit("</span></td></tr>")))
+    return whole.select(F.format_string("page%09d", "page").alias("path"), F.when(F.col("page") % 2 == 1, F.concat(F.lit("<table>"), F.array_join(lines, ""), F.lit("</table>"))).otherwise(F.col("html")).alias("value"))
+
+
+@query("""SELECT 'NCPPB ' || p_partkey AS ncppb_number, 'NCPPB' || p_partkey AS ncppb_number_compact, p_name || ' pv. x' || p_size AS current_name, '' AS name_as_received, '' AS alternative_names, 'pv. x' || p_size AS pathovar, '' AS host, p_brand AS country,
+  'ICMP ' || p_partkey || '; LMG-' || p_size AS other_collection_numbers, 'https://ncppb.fera.co.uk/furtherinfo.cfm?ncppb_no=' || p_partkey AS ncppb_catalogue_url, 'One <https://ncppb.fera.co.uk/s/' || p_partkey || '>; http://q/2' AS catalogue_sequence_links,
+  '' AS sequencing_type, '' AS year_added, '' AS type_strain_of_species, '' AS pathotype_strain, 'ICMP ' || p_partkey || ', LMG-' || p_size || ' & more' AS other_references, 'seen; again ' || p_size AS notes,
+  p_size || ' NCPPB ' || p_partkey || ' ' || p_name || ' pv. x' || p_size || ' Country: ' || p_brand || ' Other references: ICMP ' || p_partkey || ', LMG-' || p_size || ' & more Notes: seen Notes: again ' || p_size || ' Host: Shelf: none Sequencing link: One' AS raw_record_text FROM part""")
+def catalogue_records(spark, sf_dir):
+    """EXP1-EXP3, JN8, JN10, FLT4, FLT5, AGG12, SCL15, SCL27, SCL29, SCL32: records of catalogue pages, view-source saves among them, all 18 columns"""
+    return catalogue.page_records(catalogue_pages(spark, sf_dir)).select(*MASTER)
+
+
+@query("SELECT 'NCPPB ' || p_partkey AS ncppb_number, 'ICMP ' || p_partkey || ', LMG-' || p_size || ' & more' AS other_references FROM part")
+def catalogue_references(spark, sf_dir):
+    """WIN2, EXP1, EXP3, SCL30: of each record's link the text up to the next link"""
+    return catalogue.page_references(catalogue_pages(spark, sf_dir))
+
+
+@query("""SELECT ncppb_number, ncppb_number_compact, current_name, pathovar, country, CAST(row_number() OVER (ORDER BY k NULLS LAST, seen) AS BIGINT) AS place FROM (
+  SELECT *, TRY_CAST(regexp_extract(ncppb_number, '[0-9]+') AS DOUBLE) AS k FROM (
+    SELECT CASE WHEN p_partkey % 7 = 0 THEN 'loan ' || p_type ELSE 'NCPPB ' || p_size END AS ncppb_number, CASE WHEN p_partkey % 7 = 0 THEN 'LOAN' || replace(upper(p_type), ' ', '') ELSE 'NCPPB' || p_size END AS ncppb_number_compact,
+      p_name || ' pv. z' AS current_name, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'pv. z' END AS pathovar, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_brand END AS country, p_partkey AS seen,
+      row_number() OVER (PARTITION BY CASE WHEN p_partkey % 7 = 0 THEN 'loan ' || p_type ELSE 'NCPPB ' || p_size END ORDER BY p_partkey) AS rn FROM part) WHERE rn = 1)""")
+def master_table(spark, sf_dir):
+    """SCL2, SCL3-6, SCL8, SRT1, PRJ1-PRJ5, AGG1: the cleaned master table, first of each number, in numeric order"""
+    given = _table(spark, sf_dir, "part").select(
+        F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit(" loan  "), "p_type")).otherwise(F.concat(F.lit("ncppb no "), "p_size")).alias("Accession  Number"),
+        F.concat(F.lit(" "), "p_name", F.lit(" pv. z")).alias("TAXON"),
+        F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise("nan").alias("pv."),
+        F.when(F.col("p_partkey") % 3 == 0, " NaN ").otherwise(F.col("p_brand")).alias("Origin"),
+        F.col("p_partkey").alias("at"),
+    )
+    done = catalogue.master(given, "at")
+    place = F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))  # the order in which the operator gives its rows
+    return done.withColumn("place", _long(place)).select("ncppb_number", "ncppb_number_compact", "current_name", "pathovar", "country", "place")
+
+
+# Files ---------------------------------------------------------------------------------------------
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, 'say "' || p_name || '", ' || chr(10) || p_brand AS quoted, CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'NA' ELSE p_brand END AS stdlib_cell,
+  CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN '' ELSE p_brand END AS frame_cell, CAST(row_number() OVER (ORDER BY p_partkey) AS BIGINT) AS place FROM part""")
+def table_files(spark, sf_dir):
+    """SRC2-SRC5, SNK1, SNK2, SCL11: a table written and read in both dialects of missing cells, quotes and line breaks in cells, order over files"""
+    cell = F.when(F.col("p_partkey") % 3 == 1, "NA").when(F.col("p_partkey") % 3 == 2, F.col("p_brand"))
+    quoted = F.concat(F.lit('say "'), "p_name", F.lit('", \n'), "p_brand")
+    rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("p_partkey"), quoted.alias("quoted"), cell.alias("cell"), F.col("p_partkey").alias("k"))
+    path = f"{scratch(spark, 'table')}/part.tsv"
+    tables.write_table(rows.repartitionByRange(3, "k").sortWithinPartitions("k"), path, ("p_partkey", "quoted", "cell"))
+    plain = tables.read_table(spark, path, ordinal="ord").withColumnRenamed("cell", "stdlib_cell").withColumn("place", _long(F.row_number().over(Window.orderBy("ord")))).drop("ord")
+    return plain.join(tables.read_table(spark, path, na_tokens=True).select("p_partkey", F.col("cell").alias("frame_cell")), "p_partkey")
+
+
+@query("SELECT page_id, md5(html || chr(10)) AS page, CAST(length(html) + 1 AS BIGINT) AS n FROM pages")
+def page_files(spark, sf_dir):
+    """SRC1, SRC12: whole files as rows; an empty result is an error"""
+    path = f"{scratch(spark, 'pages')}/pages"
+    _table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("value")).repartition(8, "page_id").write.mode("overwrite").partitionBy("page_id").text(path)
+    pages = tables.required(tables.read_pages(spark, path), "pages")
+    return pages.select(F.regexp_extract("path", r"page_id=(\d+)", 1).cast("long").alias("page_id"), F.md5("value").alias("page"), _long(F.char_length("value")).alias("n"))

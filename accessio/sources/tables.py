@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,16 @@ NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 _CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for files of a query's own, under spark.checkpoint.dir, which all executors share; only a local session may go without that setting."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="accessio-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def delimiter(path: str) -> str:
     """Tab for names in .tsv (any case), else comma."""
     return "\t" if str(path).lower().endswith(".tsv") else ","
