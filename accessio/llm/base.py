@@ -28,16 +28,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def settled(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut, in the folder of spark.checkpoint.dir.
 
-    Only a session without that setting and without a folder set by hand (tests
-    on one machine) gets a temporary folder.
+    Only a local session without that setting (tests on one machine) gets a
+    temporary folder; elsewhere executors would not see each other's files, so
+    that is an error.
     """
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "accessio-checkpoints"))
     return df.checkpoint()
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a settled frame that nothing reads any more."""
+    where = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if where.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(where.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(df: DataFrame, name: str, fixed: bool) -> DataFrame:
+    """df with a number for each row, the same whenever it is read.
+
+    fixed: df is a table as its files hold it (or a projection or filter of it),
+    or settled, so its partitions and their order never change; any other frame is
+    settled first, as a shuffle may deal its rows otherwise the next time.
+    """
+    return (df if fixed else settled(df)).withColumn(name, F.monotonically_increasing_id())
+
+
 def carried(df: DataFrame, outputs: tuple[str, ...] | list[str]) -> list[str]:
     """Names of the columns that an operator with these outputs passes on."""
     taken = {c.lower() for c in outputs}

@@ -13,7 +13,7 @@ CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
+    placed = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=8, fixed=True)
     return placed.select("doc_id", *sharding.OUTPUTS)
 
 

@@ -145,7 +145,39 @@ def test_shards(spark):
     assert again == {(r.doc_id, r.shard) for r in rows}
     assert sharding.shard_by_bytes(docs.limit(0)).count() == 0
     one = sharding.shard_by_bytes(documents(spark, ["a"] * 5).withColumn("doc_id", F.lit(1).cast("long"))).collect()
-    assert sorted(r.slot for r in one) == [0, 1, 2, 3, 4] and len({r.shard for r in one}) == 1
+    assert [r.slot for r in one] == [0] * 5 and len({r.shard for r in one}) == 5  # equal rows are spread like others
+
+
+def test_equal_rows_are_split(spark):
+    """A third of all rows and more alike in id and text: every shard takes its share, and so does every task."""
+    rows = [(None, None)] * 4000 + [(i, "t" * (i % 7)) for i in range(600)] + [(7, "copy of one text")] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).withColumns({"__key": F.lit(1), "__range": F.lit("clash")})
+    sharded = sharding.shard_by_bytes(docs)
+    got = sharded.collect()
+    total, count = Counter(), Counter()
+    for r in got:
+        total[r.shard] += r["size"]
+        count[r.shard] += 1
+    assert len(got) == 5000 and sum(total.values()) == sum(len((t or "").encode()) + 1 for _, t in rows)
+    assert set(total) == set(range(8)) and max(total.values()) - min(total.values()) <= 2 * 17
+    for s in total:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(count[s]))
+    assert all(r["__key"] == 1 and r["__range"] == "clash" for r in got)
+    again = sharding.shard_by_bytes(docs.repartition(3).sortWithinPartitions("text")).collect()
+    assert Counter((r.doc_id, r.shard, r.slot) for r in again) == Counter((r.doc_id, r.shard, r.slot) for r in got)
+    # the ranges that tasks sort
+    keyed = spark.createDataFrame([(5, i, 1) for i in range(-3000, 3000)], "__key long, __tie long, __size long").withColumn("__tie", F.xxhash64("__tie"))
+    found, ranges, n = sharding.find_splitters(keyed, 8, 0.0005, 32)
+    per_range = Counter(r.c for r in keyed.select(sharding._splitters_below(found).alias("c")).collect())
+    assert ranges == 32 and n == 6000 and max(per_range.values()) < 2.5 * 6000 / 256
+    assert all(x.rows_below == sum(v for k, v in per_range.items() if k <= i) for i, x in enumerate(found) if found.count(x) == 1)
+
+
+def test_very_long_text_in_a_shard(spark):
+    got = sharding.shard_by_bytes(documents(spark, ["x" * 2_000_000, *["y"] * 50, ""])).collect()
+    assert sorted(r["size"] for r in got)[-1] == 2_000_001 and len(got) == 52
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
 
 
 def test_splitters_are_exact(spark):
