@@ -9,7 +9,8 @@ permutation of that source's block numbers gives for j (a new permutation for
 each pass over the source), and slots and blocks are joined by block number.
 
 The streams' offsets are two-level prefix sums over hashed buckets, so a source
-with a third of all rows is no larger a task than any other.
+with a third of all rows is no larger a task than any other; equal rows are dealt
+to parts first, so neither are they.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from accessio.llm.base import WORD, carried, settled, text_of
+from accessio.llm.base import WORD, numbered, settled, text_of
 
 OUTPUTS = ("size", "source_size", "target", "taken")
 #: Repeating weights of the sources in code point order, null last.
@@ -35,6 +36,9 @@ SEED = 20
 ROUNDS = 10
 #: Rows that a bucket of a stream should hold.
 BUCKET_ROWS = 20_000
+#: Parts that rows alike in id and text are dealt to.
+SUBS = 1024
+GOLDEN = 0.6180339887498949
 
 
 @dataclass(frozen=True)
@@ -136,18 +140,23 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def streams(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, list[Source]]:
+def streams(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", fixed: bool = False) -> tuple[DataFrame, list[Source]]:
     """Every row's place in its source's stream, and the sources.
 
-    Columns: id, idx, size, start (in words) and key, which is XXH64 of id and text.
+    Columns: id, row (its number, see base.numbered), idx, size, start (in words) and
+    key, which is XXH64 of id and text. Streams are in the order of keys, so rows
+    alike in id and text stand together; these are dealt to SUBS parts by their
+    numbers, so a third of all rows alike is no single task.
     """
     spark = docs.sparkSession
     rows = settled(
-        docs.select(
-            F.col(id_col).alias("id"),
-            _tag(F.col(source_col)).alias("tag"),
-            F.xxhash64(F.col(id_col), text_of(text_col)).alias("key"),
-            F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"),
+        numbered(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")), "row", fixed).select(
+            "id",
+            "row",
+            _tag(F.col("source")).alias("tag"),
+            F.xxhash64("id", text_of("text")).alias("key"),
+            F.pmod(F.xxhash64("row"), F.lit(SUBS)).cast("int").alias("sub"),
+            F.regexp_count(text_of("text"), F.lit(WORD)).cast("long").alias("size"),
         )
     )
     sums = rows.groupBy("tag").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
@@ -155,17 +164,21 @@ def streams(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_co
     buckets = max(64, sum(r.n for r in sums) // BUCKET_ROWS)
     values = ",".join(f"({'\'n\'' if s.name is None else _quoted('s' + s.name)},{s.index})" for s in sources) or "('n',0)"
     index = spark.sql(f"SELECT * FROM VALUES {values} AS t(tag, idx)")
-    rows = rows.join(F.broadcast(index), "tag").drop("tag").withColumn("bucket", F.pmod("key", F.lit(buckets)))
-    inside = Window.partitionBy("idx", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.join(F.broadcast(index), "tag").drop("tag")
+    parts = rows.groupBy("idx", "key", "sub").agg(F.sum("size").alias("in_part")).withColumn("bucket", F.pmod("key", F.lit(buckets)))
+    inside = Window.partitionBy("idx", "bucket").orderBy("key", "sub").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy("idx").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        rows.groupBy("idx", "bucket")
-        .agg(F.sum("size").alias("in_bucket"))
+        parts.groupBy("idx", "bucket")
+        .agg(F.sum("in_part").alias("in_bucket"))
         .withColumn("offset", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)))
         .drop("in_bucket")
     )
-    placed = rows.withColumn("upto", F.sum("size").over(inside)).join(offsets, ["idx", "bucket"])
-    return placed.select("id", "idx", "size", "key", (F.col("offset") + F.col("upto") - F.col("size")).alias("start")), sources
+    parts = parts.withColumn("upto", F.sum("in_part").over(inside)).join(offsets, ["idx", "bucket"])
+    begins = parts.select("idx", "key", "sub", (F.col("offset") + F.col("upto") - F.col("in_part")).alias("begin"))
+    within = Window.partitionBy("idx", "key", "sub").orderBy("size", "row").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0))).join(begins.hint("merge"), ["idx", "key", "sub"])  # both sides grow with the corpus
+    return placed.select("id", "row", "idx", "size", "key", (F.col("begin") + F.col("ahead")).alias("start")), sources
 
 
 def fragments(placed: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -178,51 +191,54 @@ def fragments(placed: DataFrame, block: int = BLOCK) -> DataFrame:
     return cut.withColumn("words", high - low)
 
 
-def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """What the mix takes of every row: id, key, size, source_size, target, taken.
-
-    key is XXH64 of id and text. Rows without words are never taken, and neither
-    are sources without words. A null source is a source of its own. Rerunning on
-    the same rows takes the same words.
-    """
+def _taken(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED, **columns) -> DataFrame:
+    """What the mix takes of every row: the columns of streams, source_size, target and taken."""
     spark = docs.sparkSession
-    placed, sources = streams(docs, block, id_col, text_col, source_col)
+    placed, sources = streams(docs, block, **columns)
     placed = settled(placed)
     times = slots(spark, sources, draw(sources, shards, seed), seed).groupBy("idx", "block").agg(F.count(F.lit(1)).alias("times"))
+    of_row = ["id", "row", "idx", "size", "key", "start"]
     taken = (
         fragments(placed, block)
         .join(times.hint("merge"), ["idx", "block"], "left")  # both sides grow with the corpus
-        .groupBy("id", "idx", "size", "key", "start")
+        .groupBy(*of_row)
         .agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
-        .drop("start")
     )
-    empty = placed.where("size = 0").select("id", "idx", "size", "key", F.lit(0).cast("long").alias("taken"))
+    empty = placed.where("size = 0").select(*of_row, F.lit(0).cast("long").alias("taken"))
     values = ",".join(f"({s.index},{s.size}L,double('{s.target!r}'))" for s in sources) or "(0,0L,0D)"
     about = spark.sql(f"SELECT * FROM VALUES {values} AS t(idx, source_size, target)")
-    return (
-        taken.unionByName(empty)
-        .join(F.broadcast(about), "idx")
-        .select(F.col("id").alias(id_col), "key", "size", "source_size", "target", "taken")
-    )
+    return taken.unionByName(empty).join(F.broadcast(about), "idx")
+
 
+def mix(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    """What the mix takes of every row: id, key, size, source_size, target, taken.
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    key is XXH64 of id and text. Rows without words are never taken, and neither
+    are sources without words. A null source is a source of its own. Rerunning on
+    the same rows takes the same words. how: text_col, source_col, block, shards,
+    seed, and fixed (see base.numbered).
+    """
+    return _taken(docs, id_col=id_col, **how).select(F.col("id").alias(id_col), "key", "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, fixed: bool = False, **how) -> DataFrame:
     """The mix as whole documents: each row as often as the mix takes it, in the columns of docs.
 
     A row of which the mix takes x times its words comes floor(x) times, and once
-    more with the chance of the rest, by a hash of the row; 3 times at most.
-    Rows without words have no say in the mix and stay once.
+    more with the chance of the rest, by a hash of its id and text; 3 times at most.
+    For rows alike in both that chance moves on by the golden ratio from one to the
+    next, so together they come as often as the mix takes them together, to a few.
+    Rows without words have no say in the mix and stay once. how: as of mix.
     """
-    decided = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
+    given = docs if fixed else settled(docs)
+    decided = _taken(given, fixed=True, **how)
     share = F.col("taken") / F.col("size")
-    chance = F.pmod(F.xxhash64(F.lit("copy"), "key"), F.lit(1 << 20)) / F.lit(1 << 20)
+    turn = F.pmod(F.xxhash64(F.lit("copy"), "key"), F.lit(1 << 20)) / F.lit(1 << 20) + F.pmod(F.col("start") / F.col("size") * GOLDEN, F.lit(1.0))
+    chance = turn - F.floor(turn)
     copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(share) + (share - F.floor(share) > chance).cast("long"))
-    counts = decided.groupBy(F.col("key").alias("__mixed")).agg(F.max(copies).alias("__copies"))
-    keep = carried(docs, ("__key", "__mixed", "__copies", "__copy"))
-    return (
-        docs.withColumn("__key", F.xxhash64(F.col(id_col), text_of(text_col)))
-        .join(counts, F.col("__key") == F.col("__mixed"))
-        .where("__copies > 0")
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-        .select(*[F.col(c) for c in keep])
-    )
+    counts = decided.select("row", copies.alias("copies")).where("copies > 0")
+    # under names of our own, so that no column of docs clashes
+    inner = [F.col(c).alias(f"in{i}") for i, c in enumerate(docs.columns)]
+    rows = numbered(given.select(*inner), "row", True).join(counts.hint("merge"), "row")
+    each = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return each.select(*[F.col(f"in{i}").alias(c) for i, c in enumerate(docs.columns)])

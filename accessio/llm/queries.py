@@ -18,7 +18,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("key")
+    return mixing.mix(table(spark, sf_dir, "documents"), fixed=True).drop("key")
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

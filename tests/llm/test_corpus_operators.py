@@ -239,6 +239,25 @@ def test_mix(spark):
     assert whole.columns == docs.columns and all(abs(counts[i] - taken[i] / n(text[i])) < 1 for i in taken if n(text[i]))
 
 
+def test_mix_of_equal_rows(spark):
+    """Equal rows come as often as the mix takes them together, those of two sources apart from each other."""
+    filler = prose(200, 71)
+    rows = [(i, t, "big") for i, t in enumerate(filler)] + [(900, "w " * 50, "big")] * 20 + [(901, "v " * 30, "big")] * 30 + [(901, "v " * 30, "small")] * 25 + [(None, None, None)] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"row": F.lit(1), "in0": F.lit(2), "copies": F.lit(3)})
+    decided = mixing.mix(docs, block=16).collect()
+    got = mixing.mixed_documents(docs, block=16)
+    assert len(decided) == len(rows) and got.columns == docs.columns
+    seen = Counter((r.doc_id, r.source) for r in got.collect())
+    assert seen[None, None] == 40
+    sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in ("big", "small")}
+    for key, source in ((900, "big"), (901, "big"), (901, "small")):
+        own = [r for r in decided if r.doc_id == key and r.source_size == sizes[source]]
+        assert len(own) == sum(r[0] == key and r[2] == source for r in rows)
+        assert abs(seen[key, source] - sum(r.taken for r in own) / own[0]["size"]) <= 4
+    again = mixing.mix(docs.repartition(3).sortWithinPartitions("doc_id"), block=16).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, decided))
+
+
 # Tokens ------------------------------------------------------------------------------------------
 
 
