@@ -3,6 +3,7 @@ passages go, sources are mixed to their weights, and the rest is cut into shards
 
 STAGES lists the steps. Each takes (spark, docs, sf_dir) and returns the
 documents that it keeps, in the columns of documents; the last adds its shards.
+docs is a table as its files hold it, so its rows can be numbered.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from accessio.llm import decontamination, mixing, sharding, simhash, toxicity
-from accessio.llm.base import settled, table
+from accessio.llm.base import forget, settled, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,12 +33,12 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    return mixing.mixed_documents(docs)
+    return mixing.mixed_documents(docs, fixed=True)
 
 
 def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their shard and slot."""
-    return sharding.shard_by_bytes(docs)
+    return sharding.shard_by_bytes(docs, fixed=True)
 
 
 STAGES = [
@@ -54,7 +55,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each one's result settled before the next reads it."""
-    docs = table(spark, sf_dir, "documents")
+    docs, held = table(spark, sf_dir, "documents"), []
     for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, settled(docs) if number else docs, sf_dir)
+        if number:
+            docs = settled(docs)
+            for done in held:  # read for the last time
+                forget(done)
+            held = [docs]
+        docs = stage(spark, docs, sf_dir)
     return docs
