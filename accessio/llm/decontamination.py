@@ -11,20 +11,23 @@ match +1, a substitution -PENALTY) counts.
 Items too short for every mask are hashed whole and found where all their tokens
 stand in a row.
 
-Documents stay where they are: a document's positions, hashes, probes of the
-broadcast benchmark hashes and comparisons are one generated stage, and only
-verified overlaps are shuffled. Beyond BROADCAST_SEEDS the hashes are joined by a
-shuffle instead.
+Documents stay where they are: a document's positions, hashes and probes of the
+broadcast benchmark hashes are one generated stage. Of the hits that follow each
+other on a diagonal the first alone goes on, with the stretch of the document that
+the item can reach; these are shuffled, made distinct by document, item and
+diagonal, and each diagonal is compared once. Benchmarks beyond the broadcast
+limits are joined by shuffles instead, with the same results.
 """
 
 from __future__ import annotations
 
 from collections.abc import Collection, Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accessio.llm.base import text_of
+from accessio.llm.base import numbered, settled, text_of
 
 MASKS = ("1111011", "11011011", "1110010111")
 #: Matching tokens that an overlap needs, and its share of matches. Items of fewer
@@ -32,8 +35,12 @@ MASKS = ("1111011", "11011011", "1110010111")
 LEAST = 13
 SIMILARITY = 0.8
 PENALTY = 2
-#: Benchmark hashes (some 40 bytes each) that are broadcast.
+#: Benchmark hashes (some 40 bytes each), bytes of its items and row numbers that are broadcast.
 BROADCAST_SEEDS = 1_000_000
+BROADCAST_BYTES = 64 << 20
+BROADCAST_ROWS = 1_000_000
+#: Parts that each hash is dealt to where hashes are joined by a shuffle, as one may stand in most documents.
+SALTS = 16
 SHORTEST = min(map(len, MASKS))
 
 
@@ -52,14 +59,14 @@ def _seeds(tokens: Column, at: Column, whole: Iterable[int] = ()) -> Column:
 
 
 def seeded(df: DataFrame, tokens: str = "tokens", whole: Collection[int] = ()) -> DataFrame:
-    """A row for every position and mask: all columns, at, seed.
+    """A row for every position and mask: all columns, at, mask, seed.
 
     explode_outer: an inner explode would have its size test pushed below, where
     every text would be cut into tokens once more.
     """
     last = F.size(tokens) - min(SHORTEST, *whole, SHORTEST)
     where = df.withColumn("at", F.explode_outer(F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0))))))
-    return where.withColumn("seed", F.explode_outer(_seeds(F.col(tokens), F.col("at"), whole)))
+    return where.select("*", F.posexplode_outer(_seeds(F.col(tokens), F.col("at"), whole)).alias("mask", "seed"))
 
 
 def enough(n: Column) -> Column:
@@ -107,48 +114,105 @@ def overlap(item: Column, doc: Column, shift: Column) -> Column:
     return once(unlike, of)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
-    """One row for each document and item that overlap: id, item, matched, length, item_tokens, similarity, item_from, doc_from.
+@dataclass(frozen=True)
+class Benchmark:
+    """items: k, item, item_tokens. keys: seed, k, n (the item's tokens), item_at, before (the seed that the mask has one token earlier)."""
 
-    Tokens are counted and numbered from 0. Of several overlaps (each is tested
-    before any is chosen) the one that scores best counts, then the first in the item and the document.
-    Null and empty texts overlap nothing. Items too short for every mask overlap
-    where all their tokens stand in a row.
-    Rows that share an id (null too) give one row. Items without an id are left out.
-    """
-    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), tokens_of(text_of(item_text)).alias("item_tokens"))
-    keys = seeded(items, "item_tokens").where("seed IS NOT NULL").select("seed", "item", F.col("at").alias("item_at"))
+    items: DataFrame
+    keys: DataFrame
+    whole: tuple[int, ...]
+    small: bool
+
+
+def prepared(benchmark: DataFrame, item_col: str, item_text: str, broadcast_seeds: int) -> Benchmark:
+    given = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), tokens_of(text_of(item_text)).alias("item_tokens"))
+    items = settled(given).withColumn("k", F.monotonically_increasing_id())
     n = F.size("item_tokens")
+    before = F.get(_seeds(F.col("item_tokens"), F.col("at") - 1), F.col("mask"))
+    keys = seeded(items, "item_tokens").where("seed IS NOT NULL").select("seed", "k", n.alias("n"), F.col("at").alias("item_at"), F.when(F.col("at") > 0, before).alias("before"))
     short = items.where(n.between(1, SHORTEST - 1))
-    whole = sorted(r.n for r in short.select(n.alias("n")).distinct().collect())
+    whole = tuple(sorted(r.n for r in short.select(n.alias("n")).distinct().collect()))
     if whole:
         same_length = F.coalesce(*[F.when(n == k, F.element_at(_seeds(F.col("item_tokens"), F.lit(0), whole), len(MASKS) + 1 + i)) for i, k in enumerate(whole)])
-        keys = keys.unionByName(short.select(same_length.alias("seed"), "item", F.lit(0).alias("item_at")))
-    texts = docs.select(F.col(id_col).alias("id"), tokens_of(text_of(text_col)).alias("tokens"))
+        keys = keys.unionByName(short.select(same_length.alias("seed"), "k", n.alias("n"), F.lit(0).alias("item_at"), F.lit(None).cast("long").alias("before")))
+    keys = settled(keys)
+    size = items.agg(F.sum(F.octet_length(F.array_join("item_tokens", " "))).alias("b")).first().b or 0
+    return Benchmark(items, keys, whole, keys.count() <= broadcast_seeds and size <= BROADCAST_BYTES)
+
+
+def diagonals(texts: DataFrame, bench: Benchmark) -> DataFrame:
+    """row, k, shift, piece: each diagonal with a hit once, with the document's tokens that the item can reach on it. texts: row, text."""
+    cut = texts.select("row", tokens_of(text_of("text")).alias("tokens"))
     shift = (F.col("at") - F.col("item_at")).alias("shift")
-    if keys.count() <= broadcast_seeds:
-        hits = seeded(texts, whole=whole).join(F.broadcast(keys), "seed").select("id", "tokens", "item", shift)
-        hits = hits.join(F.broadcast(items), "item")
-    else:
-        found = seeded(texts, whole=whole).select("id", "at", "seed").join(keys.hint("merge"), "seed").select("id", "item", shift).distinct()
-        hits = found.join(items, "item").alias("h").join(texts.alias("t"), F.expr("h.id <=> t.id")).select("h.id", "t.tokens", "h.item", "h.shift", "h.item_tokens")
-    compared = hits.select("id", "item", "shift", F.size("item_tokens").alias("n"), overlap(F.col("item_tokens"), F.col("tokens"), F.col("shift")).alias("o"))
+    first = F.greatest(F.col("shift"), F.lit(0))
+    piece = F.slice("tokens", first + 1, F.greatest(F.least(F.col("n") + F.least(F.col("shift"), F.lit(0)), F.size("tokens") - first), F.lit(0)))
+    if bench.small:
+        hits = seeded(cut, whole=bench.whole).join(F.broadcast(bench.keys), "seed")
+        # of hits of one mask in a row the first is enough
+        prior = F.get(_seeds(F.col("tokens"), F.col("at") - 1), F.col("mask"))
+        begun = hits.where(F.col("before").isNull() | (F.col("at") == 0) | (F.col("before") != prior))
+        found = begun.select("row", "k", shift, "n", "tokens").select("row", "k", "shift", piece.alias("piece"))
+        return found.groupBy("row", "k", "shift").agg(F.first("piece").alias("piece"))
+    spread = bench.keys.drop("before").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    probes = seeded(cut, whole=bench.whole).where("seed IS NOT NULL").select("row", "at", "seed", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"))
+    found = probes.join(spread.hint("merge"), ["seed", "salt"]).select("row", "k", shift, "n").distinct()
+    return found.join(cut.hint("merge"), "row").select("row", "k", "shift", piece.alias("piece"))
+
+
+def leaks(texts: DataFrame, bench: Benchmark) -> DataFrame:
+    """row, item, n (the item's tokens) and b, the order of the best overlap of the two: score, matches, shorter, earlier, sooner."""
+    items = F.broadcast(bench.items) if bench.small else bench.items.hint("merge")
+    found = diagonals(texts, bench).join(items, "k")
+    compared = found.select("row", "k", "item", "shift", F.size("item_tokens").alias("n"), overlap(F.col("item_tokens"), F.col("piece"), F.least(F.col("shift"), F.lit(0))).alias("o")).where("o IS NOT NULL")
     order = F.struct(F.col("o.score").alias("score"), F.col("o.matches").alias("matches"), (-F.col("o.length")).alias("shorter"), (-F.col("o.item_from")).alias("earlier"), (-F.col("shift")).alias("sooner"))
-    best = compared.groupBy("id", "item").agg(F.max(F.when(F.col("o").isNotNull(), order)).alias("b"), F.max("n").alias("n"))
+    return compared.groupBy("row", "k", "item", "n").agg(F.max(order).alias("b"))
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_seeds: int = BROADCAST_SEEDS, fixed: bool = False) -> DataFrame:
+    """One row for each document and item that overlap: id, item, matched, length, item_tokens, similarity, item_from, doc_from.
+
+    Tokens are counted and numbered from 0. Of several overlaps (each is tested
+    before any is chosen) the one that scores best counts, then the first in the item and the document.
+    Null and empty texts overlap nothing. Items too short for every mask overlap
+    where all their tokens stand in a row.
+    Rows that share an id (null too) give one row, and so do items. Items without an id
+    are left out. fixed: see base.numbered.
+    """
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = numbered(texts, "row", fixed)
+    found = leaks(rows.select("row", "text"), prepared(benchmark, item_col, item_text, broadcast_seeds))
+    found = settled(found)
+    ids = rows.select("id", "row")
+    named = _by_row(ids, found, found.count(), "inner")
+    order = F.struct("b.score", "b.matches", "b.shorter", "b.earlier", "b.sooner", (-F.col("n")).alias("n"))
+    best = named.groupBy("id", "item").agg(F.max(order).alias("b"))
     length = -F.col("b.shorter")
-    return best.where("b IS NOT NULL").select(
+    return best.select(
         F.col("id").alias(id_col),
         F.col("item").alias(item_col),
         F.col("b.matches").cast("long").alias("matched"),
         length.cast("long").alias("length"),
-        F.col("n").cast("long").alias("item_tokens"),
+        (-F.col("b.n")).cast("long").alias("item_tokens"),
         (F.col("b.matches") / length).alias("similarity"),
         (-F.col("b.earlier")).cast("long").alias("item_from"),
         (-F.col("b.earlier") - F.col("b.sooner")).cast("long").alias("doc_from"),
     )
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents that overlap no benchmark item, with their columns."""
-    found = overlaps(docs, benchmark, id_col, text_col, **how).select(F.col(id_col).alias("__found")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("__found")), "left_anti")
+def _by_row(rows: DataFrame, few: DataFrame, count: int, how: str) -> DataFrame:
+    """rows joined with few by row; few is broadcast if it has no more than BROADCAST_ROWS."""
+    return rows.join(F.broadcast(few) if count <= BROADCAST_ROWS else few.hint("merge"), "row", how)
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_seeds: int = BROADCAST_SEEDS, fixed: bool = False) -> DataFrame:
+    """The documents that overlap no benchmark item, with their columns; each row is judged by its own text, whatever its id.
+
+    Two reads of the documents; texts are not shuffled unless more than
+    BROADCAST_ROWS of them overlap the benchmark.
+    """
+    given = docs if fixed else settled(docs)
+    # under names of our own, so that no column of docs clashes
+    rows = numbered(given.select(*[F.col(c).alias(f"in{i}") for i, c in enumerate(docs.columns)]), "row", True)
+    text = next(f"in{i}" for i, c in enumerate(docs.columns) if c.lower() == text_col.lower())
+    found = settled(leaks(rows.select("row", F.col(text).alias("text")), prepared(benchmark, item_col, item_text, broadcast_seeds)).select("row").distinct())
+    return _by_row(rows, found, found.count(), "left_anti").select(*[F.col(f"in{i}").alias(c) for i, c in enumerate(docs.columns)])

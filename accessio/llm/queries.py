@@ -70,7 +70,7 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), fixed=True)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

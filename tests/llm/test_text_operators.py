@@ -88,6 +88,58 @@ def test_short_items_are_found_whole(spark):
         assert (got[1, 1].doc_from, got[1, 1].matched, got[1, 1].item_tokens) == (2, 2, 2)
 
 
+def plain_hits(item, doc):
+    """Diagonals on which a mask's ones match, or the whole of an item too short for masks."""
+    masks = decontamination.MASKS if len(item) >= decontamination.SHORTEST else ("1" * len(item),) if item else ()
+    found = set()
+    for mask in masks:
+        ones = [i for i, bit in enumerate(mask) if bit == "1"]
+        for q in range(len(item) - len(mask) + 1):
+            for d in range(len(doc) - len(mask) + 1):
+                if all(item[q + i] == doc[d + i] for i in ones):
+                    found.add(d - q)
+    return found
+
+
+def test_overlaps_by_brute_force(spark):
+    """Random texts with repeated and null ids, repeated passages and short items, by both routes."""
+    r = random.Random(77)
+    vocabulary = words(40, 41)
+    items = [(k, [r.choice(vocabulary) for _ in range(r.choice((2, 5, 7, 9, 14, 25)))]) for k in range(12)]
+    items.append((0, items[0][1] + items[3][1]))  # an id again
+    docs = []
+    for k in range(60):
+        text = [r.choice(vocabulary) for _ in range(r.randint(0, 30))]
+        for _ in range(r.randint(0, 3)):
+            _, passage = r.choice(items)
+            part = [w if r.random() > 0.1 else "zz" for w in passage]
+            text += part * r.randint(1, 2) + [r.choice(vocabulary) for _ in range(r.randint(0, 5))]
+        docs.append((r.choice((None, k % 20, k % 20)), text))
+    docs += [docs[5], docs[5], (None, docs[6][1])]
+    want = {}
+    for i, doc in docs:
+        for k, item in items:
+            scores = [s for s in (plain_best(item, doc, d) for d in plain_hits(item, doc)) if s is not None]
+            if scores:
+                want[i, k] = max(*scores, want.get((i, k), max(scores)))
+    frame = spark.createDataFrame([(i, " ".join(t), "en", "s") for i, t in docs], DOCS)
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in items], "item_id long, text string")
+    for how in ({}, {"broadcast_seeds": 0}):
+        got = {(x.doc_id, x.item_id): x.matched - decontamination.PENALTY * (x.length - x.matched) for x in decontamination.overlaps(frame, bench, **how).collect()}
+        assert got == want and len(want) > 30
+        kept = decontamination.decontaminated(frame.withColumn("row", F.lit("clash")), bench, **how)
+        clean = [(i, " ".join(doc)) for i, doc in docs if not any(plain_best(item, doc, d) is not None for _, item in items for d in plain_hits(item, doc))]
+        assert sorted((x.doc_id is None, x.doc_id, x.text) for x in kept.collect()) == sorted((i is None, i, t) for i, t in clean) and kept.columns == [*frame.columns, "row"]
+
+
+def test_a_diagonal_is_compared_once(spark):
+    item = words(300, 51)
+    bench = decontamination.prepared(spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"), "item_id", "text", 1_000_000)
+    texts = spark.createDataFrame([(0, " ".join(w if i % 11 else "zz" for i, w in enumerate(item))), (1, " ".join(item))], "row long, text string")
+    got = decontamination.diagonals(texts, bench).collect()
+    assert sorted((r.row, r.shift, len(r.piece)) for r in got if r.shift == 0) == [(0, 0, 300), (1, 0, 300)]
+
+
 def test_masks_ignore_their_zeros(spark):
     row = spark.sql("SELECT split('a b c d e f g h i j', ' ') AS tokens, split('a b c d X f g h i j', ' ') AS other").select(decontamination._seeds(F.col("tokens"), F.lit(0)).alias("a"), decontamination._seeds(F.col("other"), F.lit(0)).alias("b")).first()
     assert [x == y for x, y in zip(row.a, row.b, strict=True)] == [m[4] == "0" for m in decontamination.MASKS]
