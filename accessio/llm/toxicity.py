@@ -8,15 +8,18 @@ linear support vector machine is trained on those vectors, and since the kernel'
 features are explicit here (triples of 32 letter codes), the landmarks fold into
 one weight a triple and scoring a word costs the same for any number of them.
 
+Words begin with a mark that counts as a letter, so how a word starts has a say
+beside the letters that it has anywhere.
+
 Labels mark whole documents. A clean document's words are all clean; a toxic
 document's words count as toxic where they stand in more toxic documents than
 chance explains, or start as several of their words do and those of clean
 documents don't, as do the same words with a letter put in. Each round adds the
 clean words that the machine scores highest. A document scores what its highest
-words score together, as one word of a long clean document can start like an
-insult by chance. Documents kept out of that training tell how many words count,
-one to three, and set the cut at which the sum becomes the threshold's
-probability.
+words score together, each up to a cap, as one word of a long clean document can
+start like an insult by chance. Machines that have not seen a document judge it:
+their scores of all learning documents tell how many words count, one to three,
+what the cap is, and at which cut the sum becomes the threshold's probability.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -41,24 +44,30 @@ OUTPUTS = ("score", "predicted")
 THRESHOLD = 0.7
 #: Labelled documents of each class that are learnt from, at most; chosen by a hash of their ids.
 SAMPLE = 3000
+#: Characters of each class that are learnt from, at most: documents count in the order of that hash while they fit.
+SAMPLE_CHARS = 32 << 20
 DECAY = 0.6
 LETTERS = 32
 #: Longer words are read in windows of this length that overlap by half.
 WINDOW = 16
-TOXIC_LANDMARKS, CLEAN_LANDMARKS = 64, 24
+TOXIC_LANDMARKS, CLEAN_LANDMARKS = 128, 64
 #: Landmarks are less alike than this.
 APART = 0.8
-#: Clean words that training starts with, and that each round of hard examples adds.
-CLEAN_START, CLEAN_MORE = 8000, 2000
+#: Clean words that training starts with, that each round of hard examples adds, and among which it looks for them.
+CLEAN_START, CLEAN_MORE, CLEAN_POOL = 8000, 2000, 100_000
 ROUNDS = 3
+#: Gradient steps of a round.
+STEPS = 800
+#: Parts of the learning documents, each judged by a machine that learnt from the others.
+PARTS = 4
 #: Toxic words whose disguises are learnt with them.
 DISGUISED = 100
 #: Lengths of word starts that are tested for ties, and in how many words of a document one must stand.
 STARTS, IN_WORDS = range(3, 9), 2
-#: A document is judged by so many of its highest words at most; each counts FLOOR at least.
-HIGHEST, FLOOR = 3, -0.2
+#: A document is judged by so many of its highest words at most; each counts FLOOR at least and one of CAPS at most.
+HIGHEST, FLOOR, CAPS = 3, -0.2, (1.5, 2.0, 3.0)
 #: Clean documents above the cut weigh so much against toxic ones.
-CLEAN_COST = 4.0
+CLEAN_COST = 2.0
 #: Words whose scores a Python worker remembers; it starts anew when full.
 MEMO = 800_000
 
@@ -83,11 +92,19 @@ def units(text: str) -> set[str]:
     return out
 
 
+#: Stands before every word.
+START = "\x02"
+
+
 def codes(words: list[str]) -> np.ndarray:
-    """Letter codes of words of one length: a to z, and six classes of others."""
+    """Letter codes of words of one length: a to z, five classes of others, the mark."""
     points = np.array([list(map(ord, w)) for w in words], dtype=np.int64)
     plain = points - ord("a")
-    return np.where((plain >= 0) & (plain < 26), plain, 26 + points % 6)
+    return np.where((plain >= 0) & (plain < 26), plain, np.where(points == ord(START), 31, 26 + points % 5))
+
+
+def marked(words: Iterable[str]) -> list[str]:
+    return [START + w for w in words]
 
 
 def triples(n: int) -> list[tuple[int, int, int]]:
@@ -144,20 +161,21 @@ def against(words: list[str], weights: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """A word's margin is its normed features times weights plus bias; slope and intercept make the sum of a document's `count` highest a probability."""
+    """A word's margin is its normed features times weights plus bias; slope and intercept make the sum of a document's `count` highest, each up to cap, a probability."""
 
     weights: np.ndarray
     bias: float
     count: int
     slope: float
     intercept: float
+    cap: float = np.inf
 
     def margins(self, words: list[str]) -> np.ndarray:
-        return against(words, self.weights[:, None])[:, 0] + self.bias if words else np.empty(0)
+        return against(marked(words), self.weights[:, None])[:, 0] + self.bias if words else np.empty(0)
 
     def probability(self, margins: Iterable[float]) -> float:
         """Of a document with these word margins."""
-        x = highest(margins)[: self.count].sum()
+        x = np.minimum(highest(margins)[: self.count], self.cap).sum()
         return float(1 / (1 + np.exp(-np.clip(self.slope * x + self.intercept, -30, 30))))
 
 
@@ -167,10 +185,11 @@ def highest(margins: Iterable[float]) -> np.ndarray:
     return np.maximum(np.array(top + [FLOOR] * (HIGHEST - len(top))), FLOOR)
 
 
-def support_vectors(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-5, steps: int = 800) -> np.ndarray:
+def support_vectors(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-5, steps: int = STEPS) -> np.ndarray:
     """A linear machine with squared hinge loss, by accelerated gradient steps; the last column of z is 1."""
-    u = v = np.zeros(z.shape[1])
-    weight = weight / weight.sum()
+    u = v = np.zeros(z.shape[1], z.dtype)
+    weight = (weight / weight.sum()).astype(z.dtype)
+    y = y.astype(z.dtype)
     rate = 1 / (2 * float((weight[:, None] * z * z).sum()) + ridge)
     for t in range(steps):
         slack = np.maximum(0, 1 - y * (z @ v))
@@ -234,14 +253,33 @@ def doubled(word: str) -> list[str]:
     return [(word[: i + 1] + word[i:])[:WINDOW] for i in range(len(word))]
 
 
-def train(bags: list[tuple[set[str], int]], seed: int = 5) -> Model | None:
+Bags = list[tuple[set[str], int]]
+
+
+def train(bags: Bags, seed: int = 5) -> Model | None:
     """bags: the words and label of each document. None unless both labels occur."""
     bags = distinct_bags(bags)
-    part = np.random.default_rng(seed).permutation(len(bags)) % 4  # labels can follow a pattern of the ids
-    learn, judge = [b for i, b in zip(part, bags, strict=True) if i], [b for i, b in zip(part, bags, strict=True) if not i]
-    if not {1, 0} <= {y for _, y in learn}:
-        learn = judge = bags
-    toxic, clean = [w for w, y in learn if y == 1], [w for w, y in learn if y == 0]
+    whole = machine(bags, seed)
+    if whole is None:
+        return None
+    part = np.random.default_rng(seed).permutation(len(bags)) % PARTS  # labels can follow a pattern of the ids
+    top = np.empty((len(bags), HIGHEST))
+    for k in range(PARTS):
+        judge = machine([b for b, i in zip(bags, part, strict=True) if i != k], seed) or whole
+        own = np.flatnonzero(part == k)
+        every = sorted({w for i in own for w in bags[i][0]})
+        margin = dict(zip(every, judge.margins(every).tolist(), strict=True))
+        for i in own:
+            top[i] = highest(margin[w] for w in bags[i][0])
+    y = np.array([float(label) for _, label in bags])
+    cuts = {(cap, n): calibrated(np.minimum(top[:, :n], cap).sum(axis=1), y) for cap in CAPS for n in range(1, HIGHEST + 1)}
+    cap, count = max(cuts, key=lambda c: (cuts[c][0], -c[1], c[0]))
+    return Model(whole.weights, whole.bias, count, *cuts[cap, count][1:], cap)
+
+
+def machine(bags: Bags, seed: int) -> Model | None:
+    """A machine for words, not yet for documents. None unless both labels occur."""
+    toxic, clean = [w for w, y in bags if y == 1], [w for w, y in bags if y == 0]
     if not toxic or not clean:
         return None
     a, b = Counter(w for words in toxic for w in words), Counter(w for words in clean for w in words)
@@ -260,7 +298,7 @@ def train(bags: list[tuple[set[str], int]], seed: int = 5) -> Model | None:
     def add(candidates: list[str], most: int) -> None:
         end = len(landmarks) + most
         for w in candidates[: 4 * most]:
-            e = embedded(w)
+            e = embedded(START + w)
             if len(landmarks) < end and (not landmarks or (e @ basis[:, : len(landmarks)]).max() < APART):
                 basis[:, len(landmarks)] = e
                 landmarks.append(w)
@@ -275,29 +313,23 @@ def train(bags: list[tuple[set[str], int]], seed: int = 5) -> Model | None:
     whiten = vectors[:, good] / np.sqrt(values[good])
     rng = np.random.default_rng(seed)
     every_clean = sorted(b)
-    chosen = {every_clean[i] for i in rng.permutation(len(every_clean))[:CLEAN_START]}
+    order = rng.permutation(len(every_clean))
+    chosen = {every_clean[i] for i in order[:CLEAN_START]}
+    pool = [every_clean[i] for i in order[:CLEAN_POOL]]
     positive = {w: a[w] for w in by_tie}
     for _ in range(ROUNDS):
         negative = sorted(chosen - positive.keys())
         disguised = sorted(({d for w in by_tie[:DISGUISED] for d in disguises(w, rng)} | {d for w in by_tie[:DISGUISED] for d in doubled(w)}) - positive.keys() - b.keys())
         words = [*positive, *disguised, *negative]
-        z = np.column_stack([against(words, basis) @ whiten, np.ones(len(words))])
-        z = np.vstack([z, np.append(np.zeros(z.shape[1] - 1), 1.0)])  # a word like no landmark is clean
+        z = np.column_stack([against(marked(words), basis) @ whiten, np.ones(len(words))])
+        z = np.vstack([z, np.append(np.zeros(z.shape[1] - 1), 1.0)]).astype(np.float32)  # a word like no landmark is clean
         y = np.array([1.0] * (len(positive) + len(disguised)) + [-1.0] * (len(negative) + 1))
         mass = np.sqrt([*positive.values(), *[1.0] * len(disguised)])
         weight = np.concatenate([mass / mass.sum(), np.full(len(negative), 1 / max(1, len(negative))), [0.1]])
         u = support_vectors(z, y, weight)
         model = Model((basis @ (whiten @ u[:-1])).astype(np.float32), float(u[-1]), 1, 1.0, 0.0)
-        margins = model.margins(every_clean)
-        chosen |= {every_clean[i] for i in np.argsort(-margins, kind="stable")[:CLEAN_MORE]}
-    every = sorted({w for words, _ in judge for w in words})
-    margin = dict(zip(every, model.margins(every), strict=True))
-    top = np.array([highest(margin[w] for w in words) for words, _ in judge])
-    y = np.array([float(label) for _, label in judge])
-    sums = np.cumsum(top, axis=1)
-    cuts = [calibrated(sums[:, n], y) for n in range(HIGHEST)]
-    count = max(range(HIGHEST), key=lambda n: (cuts[n][0], -n))
-    return Model(model.weights, model.bias, count + 1, *cuts[count][1:])
+        chosen |= {pool[i] for i in np.argsort(-model.margins(pool), kind="stable")[:CLEAN_MORE]}
+    return model
 
 
 def calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -344,14 +376,18 @@ def learnt(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     """A model from at most `sample` labelled documents of each class.
 
     Documents labelled twice count as toxic if any label says so; labels without
-    an id or value are left out. Of the sample only words reach the driver.
+    an id or value are left out, and of rows that share an id the least text counts.
+    Of the sample only words reach the driver, those of SAMPLE_CHARS characters of
+    each class at most.
     """
     bounded_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
     order = F.xxhash64(F.lit("toxicity"), "id")
     chosen = [known.where(F.col("label") == y).orderBy(order, "id").limit(sample) for y in (0, 1)]
     few = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 x sample rows
-    given = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(few, "id")
+    given = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(few, "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    upto = Window.partitionBy("label").orderBy(order, "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over 2 x sample rows
+    given = given.withColumn("upto", F.sum(F.char_length("text")).over(upto)).where(F.col("upto") <= SAMPLE_CHARS)
 
     def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
