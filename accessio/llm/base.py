@@ -3,8 +3,11 @@
 Rules that hold for every operator of this folder:
 
 * a null text counts as an empty text unless the operator says otherwise;
-* an input column whose name (ignoring case) is one of the operator's outputs is
-  replaced by that output; all other input columns are carried;
+* operators that add columns to rows carry all input columns but those whose name
+  (ignoring case) is one of their outputs, which the output replaces; names used
+  inside never clash with them. Operators that return a table of their own
+  (overlaps, near_duplicates, score_documents, media_column, mix) return the id and
+  their outputs alone;
 * repeated rows are kept and each gets its own result row;
 * an empty table gives an empty result with the same columns.
 """
@@ -59,6 +62,17 @@ def numbered(df: DataFrame, name: str, fixed: bool) -> DataFrame:
     return (df if fixed else settled(df)).withColumn(name, F.monotonically_increasing_id())
 
 
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named in0, in1 .., so that names used inside an operator can't clash with them, and the new name of each (found in any case)."""
+    new = [f"in{i}" for i in range(len(df.columns))]
+    return df.select(*[F.col(c).alias(n) for c, n in zip(df.columns, new, strict=True)]), _AnyCase(zip(map(str.lower, df.columns), new, strict=True))
+
+
+class _AnyCase(dict):
+    def __getitem__(self, name: str) -> str:
+        return super().__getitem__(name.lower())
+
+
 def carried(df: DataFrame, outputs: tuple[str, ...] | list[str]) -> list[str]:
     """Names of the columns that an operator with these outputs passes on."""
     taken = {c.lower() for c in outputs}
@@ -76,7 +90,11 @@ def literal_longs(values: list[int]) -> Column:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of few rows from now on, so that long texts don't pile up in a Python worker."""
+    """Arrow batches of few rows from now on, so that long texts don't pile up in a Python worker.
+
+    This lowers a setting of the whole session, as Spark reads it when a query runs;
+    results don't depend on it. A session that has fewer rows already keeps its own.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, str(rows))

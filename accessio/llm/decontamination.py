@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accessio.llm.base import numbered, settled, text_of
+from accessio.llm.base import numbered, renamed, settled, text_of
 
 MASKS = ("1111011", "11011011", "1110010111")
 #: Matching tokens that an overlap needs, and its share of matches. Items of fewer
@@ -211,8 +211,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     BROADCAST_ROWS of them overlap the benchmark.
     """
     given = docs if fixed else settled(docs)
-    # under names of our own, so that no column of docs clashes
-    rows = numbered(given.select(*[F.col(c).alias(f"in{i}") for i, c in enumerate(docs.columns)]), "row", True)
-    text = next(f"in{i}" for i, c in enumerate(docs.columns) if c.lower() == text_col.lower())
-    found = settled(leaks(rows.select("row", F.col(text).alias("text")), prepared(benchmark, item_col, item_text, broadcast_seeds)).select("row").distinct())
-    return _by_row(rows, found, found.count(), "left_anti").select(*[F.col(f"in{i}").alias(c) for i, c in enumerate(docs.columns)])
+    source, inner = renamed(given)
+    rows = numbered(source, "row", True)
+    found = settled(leaks(rows.select("row", F.col(inner[text_col]).alias("text")), prepared(benchmark, item_col, item_text, broadcast_seeds)).select("row").distinct())
+    return _by_row(rows, found, found.count(), "left_anti").select(*[F.col(inner[c]).alias(c) for c in docs.columns])

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from accessio.llm.base import WORD, numbered, settled, text_of
+from accessio.llm.base import WORD, numbered, renamed, settled, text_of
 
 OUTPUTS = ("size", "source_size", "target", "taken")
 #: Repeating weights of the sources in code point order, null last.
@@ -237,8 +237,7 @@ def mixed_documents(docs: DataFrame, fixed: bool = False, **how) -> DataFrame:
     chance = turn - F.floor(turn)
     copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(share) + (share - F.floor(share) > chance).cast("long"))
     counts = decided.select("row", copies.alias("copies")).where("copies > 0")
-    # under names of our own, so that no column of docs clashes
-    inner = [F.col(c).alias(f"in{i}") for i, c in enumerate(docs.columns)]
-    rows = numbered(given.select(*inner), "row", True).join(counts.hint("merge"), "row")
+    source, inner = renamed(given)
+    rows = numbered(source, "row", True).join(counts.hint("merge"), "row")
     each = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return each.select(*[F.col(f"in{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return each.select(*[F.col(inner[c]).alias(c) for c in docs.columns])

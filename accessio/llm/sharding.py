@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from accessio.llm.base import carried, literal_longs, numbered, settled, text_of
+from accessio.llm.base import carried, literal_longs, numbered, renamed, settled, text_of
 
 OUTPUTS = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 #: Bits that one round of probes tells apart at least; a deeper round adds as many.
@@ -193,10 +193,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, tolerance: float = 0.0005,
     that carries all columns in use.
     """
     keep = carried(docs, OUTPUTS)
-    source = docs.select(*[F.col(c).alias(f"__in{i}") for i, c in enumerate(docs.columns)])  # no name clashes with one of ours
-    inner = dict(zip(docs.columns, source.columns, strict=True))
-    by_name = {c.lower(): i for c, i in inner.items()}
-    id_in, text_in = by_name[id_col.lower()], by_name[text_col.lower()]
+    source, inner = renamed(docs)
+    id_in, text_in = inner[id_col], inner[text_col]
     size = (F.octet_length(text_of(text_in)) + 1).cast("long")
     keyed = numbered(source, "__row", fixed).withColumns({"__key": F.xxhash64(F.col(id_in), text_of(text_in)), "__tie": F.xxhash64("__row", F.lit("tie")), "__size": size})
     splitters, ranges, count = find_splitters(settled(keyed.select("__key", "__tie", "__size")), shards, tolerance, LEAST_RANGES)

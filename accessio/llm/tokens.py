@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from accessio.llm.base import bounded_batches, carried, text_of
+from accessio.llm.base import bounded_batches, carried, renamed, text_of
 
 OUTPUTS = ("n_bytes", "n_tokens", "over_limit")
 #: Fixed value: how byte-level vocabularies of this family cut text before merging.
@@ -113,21 +113,19 @@ class Counter(dict):
         return len(parts) - 1 + sum(sum(map(self.__getitem__, self.pieces(part))) for part in parts)
 
 
-_counters: dict[int, Counter] = {}
+#: The counter of the vocabulary used last in this worker.
+_latest: list[Counter] = []
 
 
 def token_counter(spark: SparkSession, vocabulary: str):
     """A function from a text column to its token counts. The file is read once, on the driver."""
     with open(vocabulary, encoding="utf-8") as file:
         merges: Broadcast[Merges] = spark.sparkContext.broadcast(Merges.from_json(file.read()))
-    key = merges.id if hasattr(merges, "id") else id(merges)
-
     @pandas_udf("long")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = _counters.get(key)
-        if counter is None:
-            _counters.clear()
-            counter = _counters[key] = Counter(merges.value)
+        if not _latest or _latest[0].merges is not merges.value:
+            _latest[:] = [Counter(merges.value)]
+        counter = _latest[0]
         for texts in batches:
             yield pd.Series([counter.count(t) for t in texts], dtype="int64")
 
@@ -142,11 +140,12 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512, text_col: s
     repeated rows are counted each; very long pieces cost n log n.
     """
     bounded_batches(docs.sparkSession)
-    text: Column = text_of(text_col)
-    counted = docs.withColumn("__tokens", token_counter(docs.sparkSession, vocabulary)(text))
+    rows, inner = renamed(docs)
+    text: Column = text_of(inner[text_col])
+    counted = rows.withColumn("tokens", token_counter(docs.sparkSession, vocabulary)(text))
     return counted.select(
-        *[F.col(c) for c in carried(docs, OUTPUTS)],
+        *[F.col(inner[c]).alias(c) for c in carried(docs, OUTPUTS)],
         F.octet_length(text).cast("long").alias("n_bytes"),
-        F.col("__tokens").alias("n_tokens"),
-        (F.col("__tokens") > limit).alias("over_limit"),
+        F.col("tokens").alias("n_tokens"),
+        (F.col("tokens") > limit).alias("over_limit"),
     )

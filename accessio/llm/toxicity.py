@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from accessio.llm.base import bounded_batches, carried, text_of
+from accessio.llm.base import bounded_batches, carried, renamed, text_of
 
 OUTPUTS = ("score", "predicted")
 THRESHOLD = 0.7
@@ -369,7 +369,8 @@ class Scorer:
         return [self.model.probability(map(known.__getitem__, words)) for words in bags]
 
 
-_scorers: dict[str, Scorer] = {}
+#: The scorer of the model used last in this worker.
+_latest: list[Scorer] = []
 
 
 def learnt(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
@@ -402,14 +403,12 @@ def score_column(docs: DataFrame, model: Model | None, text_col: str = "text") -
     if model is None:
         return F.lit(0.0)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    key = str(id(sent))
 
     @pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = _scorers.get(key)
-        if scorer is None or scorer.model is not sent.value:
-            _scorers.clear()
-            scorer = _scorers[key] = Scorer(sent.value)
+        if not _latest or _latest[0].model is not sent.value:
+            _latest[:] = [Scorer(sent.value)]
+        scorer = _latest[0]
         for texts in batches:
             yield pd.Series(scorer.scores(texts), dtype="float64")
 
@@ -423,9 +422,9 @@ def score_toxicity(docs: DataFrame, model: Model | None, text_col: str = "text",
     (no labels of one class) every score is 0. Equal texts have equal scores.
     """
     bounded_batches(docs.sparkSession)
-    scored = docs.withColumn("__score", score_column(docs, model, text_col))
-    keep = [F.col(c) for c in carried(docs, OUTPUTS)]
-    return scored.select(*keep, F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"))
+    rows, inner = renamed(docs)
+    scored = rows.withColumn("score", score_column(rows, model, inner[text_col]))
+    return scored.select(*[F.col(inner[c]).alias(c) for c in carried(docs, OUTPUTS)], "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -436,5 +435,6 @@ def held_out(doc_id: Column) -> Column:
 def without_toxic(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score is under the threshold, with their columns."""
     bounded_batches(docs.sparkSession)
-    scored = docs.withColumn("__score", score_column(docs, model, text_col))
-    return scored.where(F.col("__score") < threshold).select(*[F.col(c) for c in docs.columns])
+    rows, inner = renamed(docs)
+    scored = rows.withColumn("score", score_column(rows, model, inner[text_col]))
+    return scored.where(F.col("score") < threshold).select(*[F.col(inner[c]).alias(c) for c in docs.columns])
