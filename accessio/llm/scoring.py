@@ -1,22 +1,25 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
-Every token is predicted from the tokens on both its sides. Tokens are hashed to
-BUCKETS numbers whose counts over the whole corpus make CLASSES: the most
-frequent buckets are classes of their own, the others share the rest. The network
-gives the class of a token from the classes of SIDE tokens before and after it
-(embeddings by place, a hidden layer, a softmax); within its class a token's
-bucket has its corpus share, and within its bucket a word has its own, by the word's
-true count. A document's score is the sum of its tokens' log conditional
+Every token is predicted from the tokens on both its sides, by a softmax in three
+steps. Words are hashed to BUCKETS numbers whose counts over the whole corpus make
+CLASSES: the most frequent buckets are classes of their own, the others share the
+rest, by mass. The network gives the class of a token from the classes of SIDE
+tokens before and after it (embeddings by place, a hidden layer, a softmax). In a
+shared class a second softmax over the same hidden layer gives one of its PARTS
+parts, most of them one bucket, as they are cut by mass too. Inside a part a bucket
+has its share of the corpus counts, and inside a bucket a word its own, by the
+word's true count. A document's score is the sum of its tokens' log conditional
 probabilities.
 
 The counts of all words are a distributed table that grows with the corpus. The
 most frequent words are sent to the workers; all others are joined to the table by
 a shuffle, so no two words share a count.
 
-Training is one pass over all documents: each partition starts from the same
-parameters and learns in numpy by masked prediction, every token masked once; the
-partitions' parameters are averaged by the tokens they saw. Counts
-and parameters have a fixed size a partition and are summed by a shuffle.
+Training is one pass over all documents in ROUNDS rounds, each over a share of
+them: in a round each partition starts from the same parameters and learns in
+numpy by masked prediction, every token masked once; the partitions' parameters
+are averaged by the tokens they saw, FAN of them at a time in a tree, and the next
+round goes on from the average.
 """
 
 from __future__ import annotations
@@ -37,10 +40,15 @@ BUCKETS = 1 << 15
 CLASSES = 128
 #: Classes that are single buckets.
 SINGLE = 96
+#: Parts that a shared class is cut into.
+PARTS = 128
 SIDE = 2
 HIDDEN = 16
 RATE = 0.1
 STEP = 256
+ROUNDS = 4
+#: Partitions whose parameters are summed at once.
+FAN = 32
 SEED = 11
 #: Tokens scored at once.
 CHUNK = 1 << 14
@@ -50,7 +58,7 @@ MEMO = 500_000
 FREQUENT = 1 << 17
 #: Different words that a Python worker counts before it hands them on.
 HELD = 200_000
-SHAPES = {"embed": (2 * SIDE, CLASSES + 1, HIDDEN), "hidden": (HIDDEN,), "out": (HIDDEN, CLASSES), "bias": (CLASSES,)}
+SHAPES = {"embed": (2 * SIDE, CLASSES + 1, HIDDEN), "hidden": (HIDDEN,), "out": (HIDDEN, CLASSES), "bias": (CLASSES,), "inner": (CLASSES - SINGLE, HIDDEN, PARTS), "inner_bias": (CLASSES - SINGLE, PARTS)}
 
 
 class Buckets(dict):
@@ -95,12 +103,15 @@ def words_of(text: str) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Class of each bucket, the log share of the bucket in its class, and the log count of its tokens."""
+    """Class of each bucket, the log share of the bucket in its class, the log count of its tokens, its part of the class (0 in a class of one bucket), the log share in the part, and that of each part in its class."""
 
     class_of: np.ndarray
     log_share: np.ndarray
     log_class: np.ndarray
     log_count: np.ndarray
+    part_of: np.ndarray
+    log_in_part: np.ndarray
+    log_part: np.ndarray
 
     @classmethod
     def from_counts(cls, counts: np.ndarray) -> Vocabulary:
@@ -113,7 +124,19 @@ class Vocabulary:
         smooth = counts + 1.0
         by_class = np.bincount(class_of, smooth, CLASSES)
         by_class = np.maximum(by_class, 1e-9)
-        return cls(class_of, np.log(smooth / by_class[class_of]).astype(np.float32), np.log(by_class / by_class.sum()).astype(np.float32), np.log(np.maximum(counts, 1)))
+        share = smooth / by_class[class_of]
+        part_of = np.zeros(BUCKETS, np.int16)
+        for c in range(SINGLE, CLASSES):  # by mass, the most frequent first
+            own = rest[class_of[rest] == c]
+            part_of[own] = np.minimum((np.cumsum(share[own]) - share[own] / 2) * PARTS, PARTS - 1).astype(np.int16)
+        part = np.where(class_of < SINGLE, 0, (class_of - SINGLE) * PARTS + part_of)
+        by_part = np.bincount(part[class_of >= SINGLE], share[class_of >= SINGLE], (CLASSES - SINGLE) * PARTS)
+        in_part = np.where(class_of < SINGLE, 1.0, share / np.maximum(by_part, 1e-30)[part])
+        # a part without buckets keeps next to no probability
+        return cls(
+            class_of, np.log(share).astype(np.float32), np.log(by_class / by_class.sum()).astype(np.float32), np.log(np.maximum(counts, 1)),
+            part_of, np.log(in_part).astype(np.float32), np.log(np.maximum(by_part, 1e-12)).astype(np.float32).reshape(CLASSES - SINGLE, PARTS),
+        )
 
 
 def initial(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
@@ -121,6 +144,8 @@ def initial(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
     made = {name: (rng.standard_normal(shape) * 0.1).astype(np.float32) for name, shape in SHAPES.items()}
     made["hidden"][:] = 0
     made["bias"][:] = vocabulary.log_class
+    made["inner"][:] = 0
+    made["inner_bias"][:] = vocabulary.log_part
     return made
 
 
@@ -146,16 +171,24 @@ def windows(classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return line[centre], np.stack([line[centre + p] for p in places], axis=1)
 
 
+def shuffled(n: int) -> np.ndarray:
+    return np.random.default_rng(n).permutation(n)
+
+
 def lessons(classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """All tokens of some documents in the order to learn from, each masked once."""
     target, context = windows(classes)
-    order = np.random.default_rng(len(target)).permutation(len(target))
+    order = shuffled(len(target))
     return target[order], context[order]
 
 
+def hidden_of(net: dict[str, np.ndarray], context: np.ndarray) -> np.ndarray:
+    return np.tanh(sum(net["embed"][p][context[:, p]] for p in range(2 * SIDE)) + net["hidden"])
+
+
 def forward(net: dict[str, np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hidden layer, log probabilities of the classes)"""
-    hidden = np.tanh(sum(net["embed"][p][context[:, p]] for p in range(2 * SIDE)) + net["hidden"])
+    hidden = hidden_of(net, context)
     logits = hidden @ net["out"] + net["bias"]
     logits -= logits.max(axis=1, keepdims=True)
     return hidden, logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
@@ -179,12 +212,45 @@ def learn(net: dict[str, np.ndarray], target: np.ndarray, context: np.ndarray) -
             net["embed"][p] -= 16 * (hot @ back)
 
 
-def token_logs(net: dict[str, np.ndarray], target: np.ndarray, context: np.ndarray) -> np.ndarray:
+def by_class(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(place among the shared classes, tokens of that class), for those that occur."""
+    order = np.argsort(target, kind="stable")
+    ends = np.searchsorted(target[order], np.arange(SINGLE, CLASSES + 1))
+    for c in np.flatnonzero(np.diff(ends)):
+        yield int(c), order[ends[c] : ends[c + 1]]
+
+
+def part_logs(net: dict[str, np.ndarray], c: int, hidden: np.ndarray) -> np.ndarray:
+    """Log probabilities of a shared class's parts."""
+    logits = hidden @ net["inner"][c] + net["inner_bias"][c]
+    logits -= logits.max(axis=1, keepdims=True)
+    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+
+
+def learn_parts(net: dict[str, np.ndarray], target: np.ndarray, part: np.ndarray, context: np.ndarray) -> None:
+    """One pass of gradient steps of the second softmax over the given tokens, in place; the hidden layer is the first one's."""
+    for c, own in by_class(target):
+        for at in range(0, len(own), STEP):
+            mine = own[at : at + STEP]
+            hidden = hidden_of(net, context[mine])
+            wrong = np.exp(part_logs(net, c, hidden))
+            wrong[np.arange(len(mine)), part[mine]] -= 1
+            wrong *= 16 * RATE / STEP
+            net["inner"][c] -= hidden.T @ wrong
+            net["inner_bias"][c] -= wrong.sum(axis=0)
+
+
+def token_logs(net: dict[str, np.ndarray], target: np.ndarray, context: np.ndarray, part: np.ndarray | None = None) -> np.ndarray:
+    """Log probabilities of tokens' classes, and of their parts if given."""
     out = np.empty(len(target), np.float32)
     for at in range(0, len(target), CHUNK):
-        part = slice(at, at + CHUNK)
-        t = target[part]
-        out[part] = forward(net, context[part])[1][np.arange(len(t)), t]
+        here = slice(at, at + CHUNK)
+        t = target[here]
+        hidden, logs = forward(net, context[here])
+        out[here] = logs[np.arange(len(t)), t]
+        if part is not None:
+            for c, own in by_class(t):
+                out[at + own] += part_logs(net, c, hidden[own])[np.arange(len(own)), part[here][own]]
     return out
 
 
@@ -228,25 +294,57 @@ def frequent_words(counts: DataFrame) -> tuple[list[bytes], np.ndarray]:
     return [bytes(r.word) for r in rows], np.array([r.n for r in rows], np.float64)
 
 
-def train(texts: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
-    """The network after one pass over all texts, averaged over partitions by tokens."""
-    start = initial(vocabulary)
+def summed(learnt: DataFrame) -> tuple[np.ndarray, float] | None:
+    """The sums of values (arrays of doubles, as bytes) and weight over all rows, FAN partitions at a time."""
 
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, net, seen = Buckets(), {k: v.copy() for k, v in start.items()}, 0
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, weight = None, 0.0
         for batch in batches:
-            target, context = lessons([vocabulary.class_of[memo.of(t)] for t in batch["text"]])
-            learn(net, target, context)
-            seen += len(target)
-        if seen:
-            values = flat(net).astype(np.float64)
-            yield pd.DataFrame({"place": np.arange(len(values), dtype=np.int32), "value": values * seen, "weight": float(seen)})
+            for values, w in zip(batch["values"], batch["weight"], strict=True):
+                own = np.frombuffer(values, np.float64)
+                total, weight = own.copy() if total is None else total + own, weight + w
+        if total is not None:
+            yield pd.DataFrame({"values": [total.tobytes()], "weight": [weight]})
 
-    sums = texts.select("text").mapInPandas(fit, "place int, value double, weight double").groupBy("place").agg((F.sum("value") / F.sum("weight")).alias("value"))
-    values = flat(start).astype(np.float64)
-    for row in sums.collect():
-        values[row.place] = row.value
-    return shaped(values)
+    left = learnt.rdd.getNumPartitions()
+    while left > 1:
+        left = -(-left // FAN)
+        learnt = learnt.repartition(left).mapInPandas(add, "values binary, weight double")
+    rows = learnt.collect()
+    return (sum(np.frombuffer(r["values"], np.float64) for r in rows), sum(r["weight"] for r in rows)) if rows else None
+
+
+def train(texts: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
+    """The network after one pass over all texts, in ROUNDS rounds over the texts that a hash deals to each."""
+    net = initial(vocabulary)
+    for number in range(ROUNDS):
+        sent = texts.sparkSession.sparkContext.broadcast((vocabulary, net))
+
+        def fit(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            known, start = sent.value
+            memo, own, seen = Buckets(), {k: v.copy() for k, v in start.items()}, 0
+            for batch in batches:
+                buckets = [memo.of(t) for t in batch["text"]]
+                target, context = lessons([known.class_of[b] for b in buckets])
+                learn(own, target, context)
+                part = known.part_of[np.concatenate([*buckets, np.empty(0, np.int32)])]
+                learn_parts(own, target, part[shuffled(len(part))], context)
+                seen += len(target)
+            if seen:
+                yield pd.DataFrame({"values": [(flat(own).astype(np.float64) * seen).tobytes()], "weight": [float(seen)]})
+
+        dealt = texts.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == number)
+        found = summed(dealt.select("text").mapInPandas(fit, "values binary, weight double"))
+        net = net if found is None else shaped(found[0] / found[1])
+        sent.unpersist()
+    return net
+
+
+def learnt(texts: DataFrame) -> tuple[Vocabulary, dict[str, np.ndarray], DataFrame]:
+    """Vocabulary, network and word counts of a corpus. texts: text."""
+    counts = settled(count_words(texts))
+    vocabulary = Vocabulary.from_counts(bucket_counts(counts))
+    return vocabulary, train(texts, vocabulary), counts
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,9 +357,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    counts = settled(count_words(texts))
-    vocabulary = Vocabulary.from_counts(bucket_counts(counts))
-    net = train(texts, vocabulary)
+    vocabulary, net, counts = learnt(texts)
     sent = docs.sparkSession.sparkContext.broadcast((vocabulary, net, *frequent_words(counts)))
     kind = texts.schema["id"].dataType.simpleString()
 
@@ -269,9 +365,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         known, model, frequent, times = sent.value
         memo = Codes(frequent)
         bucket_of = np.concatenate([np.fromiter((zlib.crc32(w) % BUCKETS for w in frequent), np.int64, len(frequent)), np.arange(BUCKETS)])
-        class_of = known.class_of[bucket_of]
+        class_of, part_of = known.class_of[bucket_of], known.part_of[bucket_of]
         # without the words' own counts where these are joined
-        share = (known.log_share - known.log_count)[bucket_of] + np.concatenate([np.log(times), np.zeros(BUCKETS)])
+        share = (known.log_in_part - known.log_count)[bucket_of] + np.concatenate([np.log(times), np.zeros(BUCKETS)])
         for batch in batches:
             found, rare = [], []
             for text in batch["text"]:
@@ -281,7 +377,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 rare.append([words[k] for k in np.flatnonzero(codes >= len(frequent))])
             target, context = windows([class_of[c] for c in found])
             every = np.concatenate([*found, np.empty(0, np.int32)])
-            logs = np.concatenate([[0.0], np.cumsum(token_logs(model, target, context) + share[every], dtype=np.float64)])
+            logs = np.concatenate([[0.0], np.cumsum(token_logs(model, target, context, part_of[every]) + share[every], dtype=np.float64)])
             ends = np.cumsum([len(c) for c in found])
             n = np.array([len(c) for c in found], np.int64)
             yield pd.DataFrame({"id": batch["id"], "n_tokens": n, "log_likelihood": np.where(n > 0, logs[ends] - logs[ends - n], 0.0), "rare": rare})

@@ -308,6 +308,71 @@ def test_words_of_one_bucket_have_their_own_counts(spark, monkeypatch, frequent)
     assert rows[0].log_likelihood == pytest.approx(rows[-1].log_likelihood) and len(rows) == len(texts)
 
 
+@pytest.mark.parametrize("frequent", [0, 20, 1 << 17])
+def test_scores_by_brute_force(spark, monkeypatch, frequent):
+    """Each document's score is the sum, token by token, of the log shares of class, part, bucket and word."""
+    monkeypatch.setattr(scoring, "FREQUENT", frequent)
+    texts = [*prose(30, 61), "", None, "Alone", "the cat sat\ton\x0bthe mat " * 4000, *["the end of it"] * 8]
+    docs = documents(spark, texts)
+    vocabulary, net, counted = scoring.learnt(docs.select(F.coalesce("text", F.lit("")).alias("text")))
+    counts = {bytes(r.word): r.n for r in counted.collect()}
+    words = [(t or "").lower().encode().split() for t in texts]
+    assert counts == Counter(w for ws in words for w in ws)
+    by_bucket = Counter()
+    for w, n in counts.items():
+        by_bucket[zlib.crc32(w) % scoring.BUCKETS] += n
+    net = {k: v.astype(np.float64) for k, v in net.items()}
+
+    def log_softmax(x):
+        return x - x.max() - np.log(np.exp(x - x.max()).sum())
+
+    def score(ws):
+        buckets = [zlib.crc32(w) % scoring.BUCKETS for w in ws]
+        classes = [scoring.CLASSES] * scoring.SIDE + [int(vocabulary.class_of[b]) for b in buckets] + [scoring.CLASSES] * scoring.SIDE
+        total = 0.0
+        for i, (w, b) in enumerate(zip(ws, buckets, strict=True)):
+            around = classes[i : i + scoring.SIDE] + classes[i + scoring.SIDE + 1 : i + 2 * scoring.SIDE + 1]
+            hidden = np.tanh(sum(net["embed"][p][c] for p, c in enumerate(around)) + net["hidden"])
+            c = classes[i + scoring.SIDE]
+            total += log_softmax(hidden @ net["out"] + net["bias"])[c]
+            if c >= scoring.SINGLE:
+                c -= scoring.SINGLE
+                total += log_softmax(hidden @ net["inner"][c] + net["inner_bias"][c])[vocabulary.part_of[b]]
+            total += vocabulary.log_in_part[b] + math.log(counts[w] / by_bucket[b])
+        return total
+
+    rows = {r.doc_id: r for r in scoring.score_documents(docs).collect()}
+    for i, ws in enumerate(words):
+        assert rows[i].n_tokens == len(ws) and rows[i].log_likelihood == pytest.approx(score(ws), rel=1e-4, abs=1e-3)
+
+
+def test_parts_are_normed_and_learnt():
+    counts = np.zeros(scoring.BUCKETS)
+    counts[:3000] = np.arange(3000, 0, -1)
+    vocabulary = scoring.Vocabulary.from_counts(counts)
+    shared = vocabulary.class_of >= scoring.SINGLE
+    place = (vocabulary.class_of[shared] - scoring.SINGLE) * scoring.PARTS + vocabulary.part_of[shared]
+    sums = np.bincount(place, np.exp(vocabulary.log_in_part[shared]))
+    assert sums[np.unique(place)] == pytest.approx(1, abs=1e-3) and np.exp(vocabulary.log_part).sum(axis=1) == pytest.approx(1, abs=1e-3)
+    assert (vocabulary.log_in_part[~shared] == 0).all()
+    r = np.random.default_rng(4)
+    target = r.integers(scoring.SINGLE, scoring.SINGLE + 3, 600).astype(np.int16)
+    context = r.integers(0, 5, (600, 2 * scoring.SIDE)).astype(np.int16)
+    part = (context[:, 0] * 7 % scoring.PARTS).astype(np.int16)  # the context tells the part
+    net = scoring.initial(vocabulary)
+    before = scoring.token_logs(net, target, context, part).sum()
+    for _ in range(60):
+        scoring.learn_parts(net, target, part, context)
+    assert scoring.token_logs(net, target, context, part).sum() > before + 200
+
+
+def test_sums_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "FAN", 2)
+    rows = spark.range(23, numPartitions=7).rdd.map(lambda r: (bytearray(np.array([r.id, 1.0]).tobytes()), 2.0)).toDF("values binary, weight double")
+    values, weight = scoring.summed(rows)
+    assert values.tolist() == [253.0, 23.0] and weight == 46.0 and scoring.summed(rows.limit(0)) is None
+
+
 def test_every_token_is_learnt_from():
     classes = [np.arange(k, dtype=np.int16) for k in (0, 1, 5, 100)]
     target, context = scoring.lessons(classes)
