@@ -47,11 +47,11 @@ HIDDEN = 16
 RATE = 0.1
 STEP = 256
 ROUNDS = 4
-#: Partitions whose parameters are summed at once.
-FAN = 32
+#: Partitions whose parameters are averaged at once.
+FAN = 16
 SEED = 11
-#: Tokens scored at once.
-CHUNK = 1 << 14
+#: Tokens scored at once, and those whose classes' probabilities are.
+CHUNK, BLOCK = 1 << 14, 1 << 10
 #: Words whose buckets a Python worker remembers.
 MEMO = 500_000
 #: Words whose counts are sent to the workers, at most; the others' are joined.
@@ -183,33 +183,67 @@ def lessons(classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hidden_of(net: dict[str, np.ndarray], context: np.ndarray) -> np.ndarray:
-    return np.tanh(sum(net["embed"][p][context[:, p]] for p in range(2 * SIDE)) + net["hidden"])
+    return np.tanh(sum(net["embed"][p].take(context[:, p], axis=0) for p in range(2 * SIDE)) + net["hidden"])
+
+
+#: Logits up to this size need no shift before they are exponentiated.
+SAFE = 60.0
+
+
+def highest(weights: np.ndarray, bias: np.ndarray) -> float:
+    """A bound of the logits that any hidden layer gives, as it lies between -1 and 1."""
+    return float((np.abs(weights).sum(axis=0) + np.abs(bias)).max())
+
+
+def scaled(logits: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """(exponentials of logits less a shift, their sums, the shift), by row."""
+    top = 0.0 if bound < SAFE else logits.max(axis=1)
+    weights = np.exp(logits if bound < SAFE else logits - top[:, None])
+    return weights, weights @ np.ones(weights.shape[1], weights.dtype), top
 
 
 def forward(net: dict[str, np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hidden layer, log probabilities of the classes)"""
     hidden = hidden_of(net, context)
     logits = hidden @ net["out"] + net["bias"]
-    logits -= logits.max(axis=1, keepdims=True)
-    return hidden, logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    _, total, top = scaled(logits, highest(net["out"], net["bias"]))
+    return hidden, logits - (top + np.log(total))[:, None]
+
+
+def chosen_logs(logits: np.ndarray, chosen: np.ndarray, bound: float) -> np.ndarray:
+    """The log probability of one column a row."""
+    _, total, top = scaled(logits, bound)
+    return logits[np.arange(len(chosen)), chosen] - top - np.log(total)
+
+
+def errors(logits: np.ndarray, chosen: np.ndarray, bound: float) -> np.ndarray:
+    """The gradient of the rows' negative log probabilities by their logits, times RATE."""
+    weights, total, _ = scaled(logits, bound)
+    weights *= (RATE / STEP * 16 / total)[:, None]
+    weights[np.arange(len(chosen)), chosen] -= RATE / STEP * 16
+    return weights
 
 
 def learn(net: dict[str, np.ndarray], target: np.ndarray, context: np.ndarray) -> None:
     """One pass of gradient steps over the given tokens, in place."""
+    hot = np.zeros((2 * SIDE, CLASSES + 1, STEP), np.float32)  # the context's classes, by place
+    ones = np.ones(STEP, np.float32)
     for at in range(0, len(target), STEP):
         t, c = target[at : at + STEP], context[at : at + STEP]
-        hidden, logs = forward(net, c)
-        wrong = np.exp(logs)
-        wrong[np.arange(len(t)), t] -= 1
-        wrong *= RATE / STEP
+        n = len(t)
+        if at % (64 * STEP) == 0:  # a step changes it by next to nothing
+            bound = highest(net["out"], net["bias"]) + 1
+        hidden = hidden_of(net, c)
+        wrong = errors(hidden @ net["out"] + net["bias"], t, bound)
         back = (wrong @ net["out"].T) * (1 - hidden**2)
-        net["out"] -= 16 * (hidden.T @ wrong)
-        net["bias"] -= 16 * wrong.sum(axis=0)
-        net["hidden"] -= 16 * back.sum(axis=0)
+        net["out"] -= hidden.T @ wrong
+        net["bias"] -= ones[:n] @ wrong
+        net["hidden"] -= ones[:n] @ back
+        column = np.arange(n)
         for p in range(2 * SIDE):
-            hot = np.zeros((CLASSES + 1, len(t)), np.float32)
-            hot[c[:, p], np.arange(len(t))] = 1
-            net["embed"][p] -= 16 * (hot @ back)
+            hot[p, c[:, p], column] = 1
+            net["embed"][p] -= hot[p, :, :n] @ back
+            hot[p, c[:, p], column] = 0
 
 
 def by_class(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -220,22 +254,18 @@ def by_class(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(c), order[ends[c] : ends[c + 1]]
 
 
-def part_logs(net: dict[str, np.ndarray], c: int, hidden: np.ndarray) -> np.ndarray:
-    """Log probabilities of a shared class's parts."""
-    logits = hidden @ net["inner"][c] + net["inner_bias"][c]
-    logits -= logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+def part_logits(net: dict[str, np.ndarray], c: int, hidden: np.ndarray) -> np.ndarray:
+    return hidden @ net["inner"][c] + net["inner_bias"][c]
 
 
 def learn_parts(net: dict[str, np.ndarray], target: np.ndarray, part: np.ndarray, context: np.ndarray) -> None:
     """One pass of gradient steps of the second softmax over the given tokens, in place; the hidden layer is the first one's."""
     for c, own in by_class(target):
+        every, chosen = hidden_of(net, context[own]), part[own]
+        bound = highest(net["inner"][c], net["inner_bias"][c])
         for at in range(0, len(own), STEP):
-            mine = own[at : at + STEP]
-            hidden = hidden_of(net, context[mine])
-            wrong = np.exp(part_logs(net, c, hidden))
-            wrong[np.arange(len(mine)), part[mine]] -= 1
-            wrong *= 16 * RATE / STEP
+            hidden = every[at : at + STEP]
+            wrong = errors(part_logits(net, c, hidden), chosen[at : at + STEP], bound + 1 + at / STEP / 64)
             net["inner"][c] -= hidden.T @ wrong
             net["inner_bias"][c] -= wrong.sum(axis=0)
 
@@ -243,14 +273,18 @@ def learn_parts(net: dict[str, np.ndarray], target: np.ndarray, part: np.ndarray
 def token_logs(net: dict[str, np.ndarray], target: np.ndarray, context: np.ndarray, part: np.ndarray | None = None) -> np.ndarray:
     """Log probabilities of tokens' classes, and of their parts if given."""
     out = np.empty(len(target), np.float32)
+    bound, inner = highest(net["out"], net["bias"]), [highest(w, b) for w, b in zip(net["inner"], net["inner_bias"], strict=True)]
     for at in range(0, len(target), CHUNK):
         here = slice(at, at + CHUNK)
-        t = target[here]
-        hidden, logs = forward(net, context[here])
-        out[here] = logs[np.arange(len(t)), t]
+        t, own = target[here], out[here]
+        hidden = hidden_of(net, context[here])
+        for low in range(0, len(t), BLOCK):
+            block = slice(low, low + BLOCK)
+            own[block] = chosen_logs(hidden[block] @ net["out"] + net["bias"], t[block], bound)
         if part is not None:
-            for c, own in by_class(t):
-                out[at + own] += part_logs(net, c, hidden[own])[np.arange(len(own)), part[here][own]]
+            chosen = part[here]
+            for c, mine in by_class(t):
+                own[mine] += chosen_logs(part_logits(net, c, hidden[mine]), chosen[mine], inner[c])
     return out
 
 
@@ -294,24 +328,24 @@ def frequent_words(counts: DataFrame) -> tuple[list[bytes], np.ndarray]:
     return [bytes(r.word) for r in rows], np.array([r.n for r in rows], np.float64)
 
 
-def summed(learnt: DataFrame) -> tuple[np.ndarray, float] | None:
-    """The sums of values (arrays of doubles, as bytes) and weight over all rows, FAN partitions at a time."""
+def averaged(learnt: DataFrame) -> np.ndarray | None:
+    """The mean of values (arrays of floats, as bytes) by weight over all rows, FAN partitions at a time; null without rows."""
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def mean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, weight = None, 0.0
         for batch in batches:
             for values, w in zip(batch["values"], batch["weight"], strict=True):
-                own = np.frombuffer(values, np.float64)
-                total, weight = own.copy() if total is None else total + own, weight + w
+                own = np.frombuffer(values, np.float32) * np.float64(w)
+                total, weight = own if total is None else total + own, weight + w
         if total is not None:
-            yield pd.DataFrame({"values": [total.tobytes()], "weight": [weight]})
+            yield pd.DataFrame({"values": [(total / weight).astype(np.float32).tobytes()], "weight": [weight]})
 
     left = learnt.rdd.getNumPartitions()
     while left > 1:
         left = -(-left // FAN)
-        learnt = learnt.repartition(left).mapInPandas(add, "values binary, weight double")
-    rows = learnt.collect()
-    return (sum(np.frombuffer(r["values"], np.float64) for r in rows), sum(r["weight"] for r in rows)) if rows else None
+        learnt = learnt.repartition(left).mapInPandas(mean, "values binary, weight double")
+    found = learnt.collect()
+    return np.frombuffer(found[0]["values"], np.float32) if found else None
 
 
 def train(texts: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
@@ -331,11 +365,11 @@ def train(texts: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
                 learn_parts(own, target, part[shuffled(len(part))], context)
                 seen += len(target)
             if seen:
-                yield pd.DataFrame({"values": [(flat(own).astype(np.float64) * seen).tobytes()], "weight": [float(seen)]})
+                yield pd.DataFrame({"values": [flat(own).astype(np.float32).tobytes()], "weight": [float(seen)]})
 
         dealt = texts.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == number)
-        found = summed(dealt.select("text").mapInPandas(fit, "values binary, weight double"))
-        net = net if found is None else shaped(found[0] / found[1])
+        found = averaged(dealt.select("text").mapInPandas(fit, "values binary, weight double"))
+        net = net if found is None else shaped(found)
         sent.unpersist()
     return net
 

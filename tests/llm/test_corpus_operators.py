@@ -366,11 +366,11 @@ def test_parts_are_normed_and_learnt():
     assert scoring.token_logs(net, target, context, part).sum() > before + 200
 
 
-def test_sums_in_a_tree(spark, monkeypatch):
+def test_averages_in_a_tree(spark, monkeypatch):
     monkeypatch.setattr(scoring, "FAN", 2)
-    rows = spark.range(23, numPartitions=7).rdd.map(lambda r: (bytearray(np.array([r.id, 1.0]).tobytes()), 2.0)).toDF("values binary, weight double")
-    values, weight = scoring.summed(rows)
-    assert values.tolist() == [253.0, 23.0] and weight == 46.0 and scoring.summed(rows.limit(0)) is None
+    rows = spark.range(23, numPartitions=7).rdd.map(lambda r: (bytearray(np.array([r.id, 1.0], np.float32).tobytes()), float(r.id))).toDF("values binary, weight double")
+    assert scoring.averaged(rows).tolist() == pytest.approx([sum(k * k for k in range(23)) / sum(range(23)), 1.0])
+    assert scoring.averaged(rows.limit(0)) is None
 
 
 def test_every_token_is_learnt_from():
