@@ -62,6 +62,15 @@ def numbered(df: DataFrame, name: str, fixed: bool) -> DataFrame:
     return (df if fixed else settled(df)).withColumn(name, F.monotonically_increasing_id())
 
 
+#: Row numbers that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
+
+
+def by_row(rows: DataFrame, few: DataFrame, how: str) -> DataFrame:
+    """rows joined with a settled frame by `row`, which is broadcast if it has no more than BROADCAST_ROWS."""
+    return rows.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few.hint("merge"), "row", how)
+
+
 def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """df with its columns named in0, in1 .., so that names used inside an operator can't clash with them, and the new name of each (found in any case)."""
     new = [f"in{i}" for i in range(len(df.columns))]

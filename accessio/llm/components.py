@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accessio.llm.base import settled
+from accessio.llm.base import forget, settled
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def components(links: DataFrame) -> DataFrame:
     stars = settled(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     while True:
-        stars = settled(_small_star(_large_star(stars)))
+        last, stars = stars, settled(_small_star(_large_star(stars)))
+        forget(last)
         now = stars.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if now == before:
             return stars.select(F.col("u").alias("vertex"), F.col("v").alias("root"))

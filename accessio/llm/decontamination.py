@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accessio.llm.base import numbered, renamed, settled, text_of
+from accessio.llm.base import by_row, numbered, renamed, settled, text_of
 
 MASKS = ("1111011", "11011011", "1110010111")
 #: Matching tokens that an overlap needs, and its share of matches. Items of fewer
@@ -35,10 +35,9 @@ MASKS = ("1111011", "11011011", "1110010111")
 LEAST = 13
 SIMILARITY = 0.8
 PENALTY = 2
-#: Benchmark hashes (some 40 bytes each), bytes of its items and row numbers that are broadcast.
+#: Benchmark hashes (some 40 bytes each) and bytes of its items that are broadcast.
 BROADCAST_SEEDS = 1_000_000
 BROADCAST_BYTES = 64 << 20
-BROADCAST_ROWS = 1_000_000
 #: Parts that each hash is dealt to where hashes are joined by a shuffle, as one may stand in most documents.
 SALTS = 16
 SHORTEST = min(map(len, MASKS))
@@ -181,9 +180,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = numbered(texts, "row", fixed)
     found = leaks(rows.select("row", "text"), prepared(benchmark, item_col, item_text, broadcast_seeds))
-    found = settled(found)
-    ids = rows.select("id", "row")
-    named = _by_row(ids, found, found.count(), "inner")
+    named = by_row(rows.select("id", "row"), settled(found), "inner")
     order = F.struct("b.score", "b.matches", "b.shorter", "b.earlier", "b.sooner", (-F.col("n")).alias("n"))
     best = named.groupBy("id", "item").agg(F.max(order).alias("b"))
     length = -F.col("b.shorter")
@@ -199,19 +196,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     )
 
 
-def _by_row(rows: DataFrame, few: DataFrame, count: int, how: str) -> DataFrame:
-    """rows joined with few by row; few is broadcast if it has no more than BROADCAST_ROWS."""
-    return rows.join(F.broadcast(few) if count <= BROADCAST_ROWS else few.hint("merge"), "row", how)
-
-
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_seeds: int = BROADCAST_SEEDS, fixed: bool = False) -> DataFrame:
     """The documents that overlap no benchmark item, with their columns; each row is judged by its own text, whatever its id.
 
-    Two reads of the documents; texts are not shuffled unless more than
-    BROADCAST_ROWS of them overlap the benchmark.
+    Two reads of the documents; texts are not shuffled unless more of them overlap
+    the benchmark than base.BROADCAST_ROWS.
     """
     given = docs if fixed else settled(docs)
     source, inner = renamed(given)
     rows = numbered(source, "row", True)
     found = settled(leaks(rows.select("row", F.col(inner[text_col]).alias("text")), prepared(benchmark, item_col, item_text, broadcast_seeds)).select("row").distinct())
-    return _by_row(rows, found, found.count(), "left_anti").select(*[F.col(inner[c]).alias(c) for c in docs.columns])
+    return by_row(rows, found, "left_anti").select(*[F.col(inner[c]).alias(c) for c in docs.columns])

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from accessio.llm.base import bounded_batches, carried, settled, text_of
+from accessio.llm.base import bounded_batches, by_row, numbered, renamed, settled, text_of
 from accessio.llm.components import components
 
 BITS = 64
@@ -258,18 +258,18 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None) -> DataFrame:
     """id, fingerprint (16 hex digits), component_id, component_fp, row_key: one row a document.
 
     component_id is the smallest id of the component, nulls aside; component_fp
     its smallest fingerprint, which names it even where all ids are null; row_key
-    the XXH64 of id and text. Null and empty texts have fingerprint 0 and link
+    the XXH64 of id and text, or the key given. Null and empty texts have fingerprint 0 and link
     like any other; texts of fewer than three words count as one shingle. Repeated
     rows are kept.
     """
     bounded_batches(docs.sparkSession)
     text = text_of(text_col)
-    marked = settled(docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("row_key"), fingerprints(text).alias("fp")))
+    marked = settled(docs.select(F.col(id_col).alias("id"), (F.xxhash64(F.col(id_col), text) if key is None else key).alias("row_key"), fingerprints(text).alias("fp")))
     nodes = settled(marked.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(links(nodes, nodes.count()))
     rooted = nodes.join(roots, nodes["fp"] == roots["vertex"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -284,12 +284,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component: the one of smallest id, nulls last; of rows alike in id and text one."""
-    groups = near_duplicates(docs, id_col, text_col)
-    order = F.struct(F.col(id_col).isNull().alias("nameless"), F.col(id_col).alias("id"), F.col("row_key").alias("key"))
-    first = groups.groupBy("component_fp").agg(F.min(order).alias("first")).select(F.col("first.key").alias("__first"))
-    keep = carried(docs, ("__key", "__first"))
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col), text_of(text_col)))
-    kept = keyed.join(first, F.col("__key") == F.col("__first"), "left_semi")
-    return kept.dropDuplicates(["__key"]).select(*[F.col(c) for c in keep])
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fixed: bool = False) -> DataFrame:
+    """One document of each component, with its columns: the one of smallest id, nulls last; of rows alike in id and text one.
+
+    fixed: see base.numbered. Two reads of the documents; texts are not shuffled
+    unless more rows go than base.BROADCAST_ROWS.
+    """
+    source, inner = renamed(docs if fixed else settled(docs))
+    rows = numbered(source, "row", True)
+    own = inner[id_col]
+    key = F.struct(F.xxhash64(F.col(own), text_of(inner[text_col])).alias("hash"), F.col("row"))  # the hash makes the choice the same for any partitions
+    groups = near_duplicates(rows, own, inner[text_col], key)
+    order = F.struct(F.col(own).isNull().alias("nameless"), F.col(own).alias("id"), F.col("row_key").alias("key"))
+    first = groups.groupBy("component_fp").agg(F.min(order).alias("first"))
+    others = groups.join(first, "component_fp").where(F.col("row_key.row") != F.col("first.key.row")).select(F.col("row_key.row").alias("row"))
+    return by_row(rows, settled(others), "left_anti").select(*[F.col(inner[c]).alias(c) for c in docs.columns])

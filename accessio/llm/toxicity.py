@@ -395,8 +395,12 @@ def learnt(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
             yield pd.DataFrame({"id": batch["id"].astype(str), "label": batch["label"].astype("int64"), "words": [" ".join(sorted(units(t))) for t in batch["text"]]})
 
     rows = given.mapInPandas(words_of, "id string, label long, words string").collect()
-    rows.sort(key=lambda r: (r.id, r.words))
-    return train([(set(map(sys.intern, r.words.split(" "))) - {""}, int(r.label)) for r in rows])  # one string a word, not a document
+    rows.sort(key=lambda r: (r.id, r.words), reverse=True)
+    bags = []
+    while rows:  # a row's text goes as its words come
+        row = rows.pop()
+        bags.append((set(map(sys.intern, row.words.split(" "))) - {""}, int(row.label)))  # one string a word, not a document
+    return train(bags)
 
 
 def score_column(docs: DataFrame, model: Model | None, text_col: str = "text") -> Column:

@@ -573,3 +573,36 @@ def test_pipeline(spark, tmp_path, labelled):
     assert whole.count() == before.count() and {"shard", "slot"} <= set(whole.columns)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "mixing", "sharding"]
     assert os.path.exists(corpus_pipeline.__file__)
+
+
+def test_forgotten_files_are_gone(spark):
+    from accessio.llm import base
+
+    df = base.settled(spark.range(10))
+    where = df._jdf.queryExecution().logical().rdd().getCheckpointFile().get()
+    folder = where.removeprefix("file:")
+    assert os.path.isdir(folder) and df.count() == 10
+    base.forget(df)
+    assert not os.path.exists(folder)
+
+
+def test_pipeline_stages_take_odd_tables(spark, tmp_path, labelled):
+    """Empty tables, null ids and texts, repeated rows and extra columns with inner names, through every stage."""
+    import corpus_pipeline
+
+    docs, labels = labelled
+    odd = [(None, None), (None, ""), (1, "w " * 30000), (1, "w " * 30000), (2, "a text of some words"), (2, "a text of some words"), (3, None)]
+    made = spark.createDataFrame([(i, t, "en", None, 1, "x", "y") for i, t in odd], "doc_id long, text string, lang string, source string, n_chars long, row string, `__key` string")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, table in (("odd", made), ("none", made.limit(0))):
+        sf = tmp_path / name
+        table.write.parquet(str(sf / "documents.parquet"))
+        for t in ("labels", "benchmark"):
+            spark.read.parquet(str(tmp_path / f"{t}.parquet")).write.parquet(str(sf / f"{t}.parquet"))
+        before = spark.read.parquet(str(sf / "documents.parquet"))
+        for stage_name, stage in corpus_pipeline.STAGES:
+            stage(spark, before, str(sf)).write.parquet(str(sf / stage_name))
+            before = spark.read.parquet(str(sf / stage_name))
+            assert before.columns[: len(made.columns)] == made.columns
+        assert corpus_pipeline.run(spark, str(sf)).count() == before.count() and (before.count() > 0) == (name == "odd")
