@@ -297,5 +297,6 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = near_duplicates(rows, own, inner[text_col], key)
     order = F.struct(F.col(own).isNull().alias("nameless"), F.col(own).alias("id"), F.col("row_key").alias("key"))
     first = groups.groupBy("component_fp").agg(F.min(order).alias("first"))
-    others = groups.join(first, "component_fp").where(F.col("row_key.row") != F.col("first.key.row")).select(F.col("row_key.row").alias("row"))
+    # by row, not by component, which may hold a third of all rows
+    others = groups.select(F.col("row_key.row").alias("row")).join(first.select(F.col("first.key.row").alias("row")), "row", "left_anti")
     return by_row(rows, settled(others), "left_anti").select(*[F.col(inner[c]).alias(c) for c in docs.columns])
