@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accessio.llm import chat, decontamination, media, mixing, pii, scoring, sharding, simhash, tokens, toxicity
+from accessio.llm import chat, decontamination, media, minhash, mixing, pii, scoring, sharding, simhash, tokens, toxicity
 from accessio.llm.base import table
 
 #: A conversation that holds control strings; added to the table.
@@ -88,6 +88,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), fixed=True)
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_simhash": op2_simhash,
@@ -99,6 +103,7 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op13_minhash": op13_minhash,
 }
 
 ORACLES = {
