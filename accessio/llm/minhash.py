@@ -8,16 +8,21 @@ value it is given. One shingle's values hit different places, so estimates vary
 than with independent hashes; and once every place holds less than k, no shingle's
 k-th draw can matter, so long documents stop after a draw or two a shingle.
 
-ROWS places in a row make a band. Classes alike in a band form a bucket. Links are
-searched in two rounds, so that a bucket of any size costs in proportion to it:
-
-* all classes of a bucket are compared with one of them (several, if the bucket spans
-  tasks), on their full sets; links make components;
-* buckets whose classes are then in more than one component have those of smaller
-  components compared with all classes of other ones.
+ROWS places in a row make a band. Classes alike in a band form a bucket, whose first
+class is its hub. Links are searched in two rounds, so that a bucket of any size costs
+in proportion to it:
+
+* all classes of a bucket are compared with its hub, on their full sets; links make
+  components;
+* two classes of a bucket that are in different components then differ by what each
+  differs from the hub: |x ^ y| = |x ^ h| + |y ^ h| - 2 |(x ^ h) & (y ^ h)|. One of them
+  isn't linked to the hub, so it differs much from it, and a link asks for many shared
+  differences. Rare ones come first in each class's differences; a pair that links
+  must share one among the first few of both (prefix filter), far enough in front
+  (position filter). Pairs that do are compared on their full sets.
 
 Pairs within a component are never made; what a bucket's classes would link beyond
-is in the component already. Two classes at similarity 0.8 share no band with
+is in the component already. No pair of a bucket is lost; two classes at similarity 0.8 share no band with
 probability (1 - 0.8^4)^40 = 7e-10.
 """
 
@@ -28,7 +33,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -138,7 +144,7 @@ def _sets(text: Column) -> Column:
 
 
 def stars(bands: DataFrame) -> DataFrame:
-    """key, u, nu, v, nv, slice: each class of a bucket with the bucket's first one in its task, and the first ones of neighbouring tasks.
+    """u, nu, v, nv, slice: every hub with each other class of its buckets, once.
 
     bands: key, node, n. One exchange by ranges of (key, node), which cuts large
     buckets; slice numbers the thousands of a task's part of a bucket.
@@ -146,7 +152,7 @@ def stars(bands: DataFrame) -> DataFrame:
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key = first = None
-        before, opened = 0, True
+        before, opened, part = 0, True, TaskContext.get().partitionId() << 32
         for batch in batches:
             if not len(batch):
                 continue
@@ -159,41 +165,43 @@ def stars(bands: DataFrame) -> DataFrame:
                 head = run == 0
                 u, nu = np.where(head, first[0], u), np.where(head, first[1], nu)
                 place = place + before * head
-            else:
-                before = 0
             edge = np.zeros(len(keys), bool)
             if opened:
                 edge[0], opened = True, False
             others = (u != nodes) | edge
-            yield pd.DataFrame({"key": keys, "u": u, "nu": nu, "v": nodes, "nv": sizes, "slice": place // SLICE, "edge": edge})[others]
+            yield pd.DataFrame({"key": keys, "u": u, "nu": nu, "v": nodes, "nv": sizes, "slice": part + place // SLICE, "edge": edge})[others]
             before = int(place[-1]) + 1
             key, first = keys[-1], (u[-1], nu[-1])
         if first is not None:
-            yield pd.DataFrame({"key": [key], "u": [first[0]], "nu": [first[1]], "v": [first[0]], "nv": [first[1]], "slice": [0], "edge": [True]})
+            yield pd.DataFrame({"key": [key], "u": [first[0]], "nu": [first[1]], "v": [first[0]], "nv": [first[1]], "slice": [part], "edge": [True]})
 
     parted = bands.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
     found = settled(parted.mapInPandas(of, "key long, u long, nu long, v long, nv long, slice long, edge boolean"))
-    # the first classes at the edges of tasks: two rows a task
-    order = Window.partitionBy("key").orderBy("u")
-    edges = found.where("edge").select("key", "u", "nu").distinct()
-    chained = edges.select("key", F.lag("u").over(order).alias("u"), F.lag("nu").over(order).alias("nu"), F.col("u").alias("v"), F.col("nu").alias("nv"), F.lit(0).cast("long").alias("slice")).where("u IS NOT NULL")
-    return found.where("u != v").drop("edge").unionByName(chained)
+    # buckets at the edges of tasks, two a task at most: the first class of all is the hub in every task
+    hubs = found.where("edge").groupBy("key").agg(F.min(F.struct("u", "nu")).alias("hub"))
+    whole = found.join(F.broadcast(settled(hubs)), "key", "left").withColumns({c: F.coalesce(f"hub.{c}", c) for c in ("u", "nu")})
+    return whole.where("u != v").groupBy("u", "nu", "v", "nv").agg(F.min("slice").alias("slice"))
 
 
 def _near_sizes(a: str, b: str) -> Column:
     return (100 * F.least(a, b)) >= (SIMILARITY * F.greatest(a, b))
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """u, v: the pairs (u, v, slice; distinct) whose full sets are similar enough.
+def _met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v, slice; distinct) with both sets, own and theirs.
 
     A slice of u's partners meets a copy of u's set, so no set has more than a slice's pairs in one place.
     """
     theirs = pairs.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("theirs")), "v")
     own = pairs.select("u", "slice").distinct().join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("own")), "u")
+    return theirs.join(own, ["u", "slice"])
+
+
+def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """u, v: the pairs whose full sets are similar enough."""
     both = F.size(F.array_intersect("own", "theirs"))
     every = F.size("own") + F.size("theirs") - both
-    return theirs.join(own, ["u", "slice"]).where(100 * both >= SIMILARITY * every).select("u", "v")
+    return _met(pairs, sets).where(100 * both >= SIMILARITY * every).select("u", "v")
 
 
 def with_key(rows: DataFrame, few: DataFrame, keys: list[str], spread: Column, how: str = "inner") -> DataFrame:
@@ -204,28 +212,54 @@ def with_key(rows: DataFrame, few: DataFrame, keys: list[str], spread: Column, h
     return rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), [*keys, "salt"], how).drop("salt")
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    return rows.where(_near_sizes("nu", "nv")).groupBy("u", "v").agg(F.min("slice").alias("slice"))
+#: Sets x and y are similar enough just if MORE * |x ^ y| <= LESS * (|x| + |y|).
+LESS, MORE = 100 - SIMILARITY, 100 + SIMILARITY
+
+
+def _differences(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """u, v, nu, nv, root, nd, unique, shared: how v differs from its hub u.
+
+    nd: differences; unique: those of no other class at this hub; shared: the rest,
+    the rarest first. A shingle that v lacks is told from one it adds by its bits.
+    """
+    added, lacking = F.array_except("theirs", "own"), F.transform(F.array_except("own", "theirs"), lambda x: F.bitwise_not(x))
+    apart = settled(_met(groups, sets).select("u", "v", "nu", "nv", "root", F.concat(added, lacking).alias("d")))
+    tokens = apart.select("u", "v", F.explode("d").alias("token"))
+    common = tokens.groupBy("u", "token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    sorted_ = tokens.join(common, ["u", "token"]).groupBy("u", "v").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "token"))), lambda x: x["token"]).alias("shared"))
+    # both sides hold a row for each pair
+    return apart.select("u", "v", "nu", "nv", "root", F.size("d").alias("nd")).join(sorted_, ["u", "v"]).withColumn("unique", F.col("nd") - F.size("shared"))
 
 
-def _rest(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """u, v, slice: pairs from different components that share a bucket of more than two classes.
+def _rest(pairs: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """u, v, slice: pairs of classes with a common hub, from different components, that may be similar enough.
 
-    met: the stars; roots: vertex, root. Per bucket the largest component's classes
-    are only compared with the others, so the work is the others' number times the
-    bucket's.
+    pairs: the stars; roots: vertex, root.
     """
-    members = met.select("key", F.col("u").alias("node"), F.col("nu").alias("n")).unionByName(met.select("key", F.col("v").alias("node"), F.col("nv").alias("n"))).distinct()
-    rooted = settled(members.join(roots, members["node"] == roots["vertex"], "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")))
-    mixed_keys = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("size > 2 AND low != high").select("key", "size")
-    inside = settled(with_key(rooted, settled(mixed_keys), ["key"], F.col("node")))
-    largest = inside.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("main"))
-    held = settled(with_key(inside, settled(largest), ["key"], F.col("node")))
-    slices = F.floor((F.col("size") - 1) / SLICE)
-    few = held.where("root != main").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.explode(F.sequence(F.lit(0).cast("long"), slices)).alias("slice"))
-    every = held.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "main", F.pmod(F.xxhash64("node"), slices + 1).alias("slice"))
-    crossed = few.join(every, ["key", "slice"]).where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))) & _near_sizes("na", "nb"))
-    return crossed.groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.min("slice").alias("slice"))
+    rooted = settled(pairs.join(roots, pairs["v"] == roots["vertex"], "left").select("u", "nu", "v", "nv", "slice", F.coalesce("root", "v").alias("root")))
+    several = rooted.groupBy("u").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("u")
+    each = _differences(with_key(rooted, settled(several), ["u"], F.col("v")), sets)
+    tied = MORE * F.col("nd") <= LESS * (F.col("nu") + F.col("nv"))
+    # y is at most nv / similarity large, and no further from the hub than a link
+    near = ~tied & (MORE * F.col("nd") <= LESS * (F.col("nv") + F.col("nu") + 2 * F.ceil(100 * F.col("nv") / SIMILARITY)))
+
+    def prefix(shared: Column) -> Column:
+        """How many of the first differences must hold one that is shared, if so many (in units of 1 / 2 MORE) are."""
+        return F.col("nd") - F.greatest(F.lit(1), F.ceil(shared / (2 * MORE) - 1e-9)) + 1
+
+    half = prefix(MORE * F.col("nd") + LESS * (F.col("nu") - F.col("nv")))  # whoever it meets, one of both isn't linked to the hub
+    longer = prefix(MORE * F.col("nd") - LESS * (F.col("nv") + F.col("nu")) + MORE - LESS)  # against one that is
+    sized = each.withColumns({"tied": tied, "half": half, "most": F.when(near, F.greatest(half, longer)).otherwise(half)})
+    first = F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.col("most") - F.col("unique")).cast("int"))
+    placed = settled(sized.select("u", "v", "nv", "root", "nd", "tied", "half", "unique", F.posexplode(first).alias("place", "token")).withColumn("place", F.col("place") + F.col("unique")).drop("unique"))
+    x = placed.where("NOT tied").select("u", "token", *[F.col(c).alias(f"x_{c}") for c in ("v", "nv", "root", "nd", "half", "place")])
+    y = placed.where("place < half").select("u", "token", *[F.col(c).alias(f"y_{c}") for c in ("v", "nv", "root", "nd", "tied", "place")])
+    once = F.col("y_tied") | ((F.col("x_place") < F.col("x_half")) & (F.col("x_v") < F.col("y_v")))
+    still = F.least(F.col("x_nd") - F.col("x_place"), F.col("y_nd") - F.col("y_place"))
+    enough = 2 * MORE * still >= MORE * (F.col("x_nd") + F.col("y_nd")) - LESS * (F.col("x_nv") + F.col("y_nv"))
+    found = settled(x.join(y, ["u", "token"]).where((F.col("x_root") != F.col("y_root")) & once & enough & _near_sizes("x_nv", "y_nv")).select(F.least("x_v", "y_v").alias("u"), F.greatest("x_v", "y_v").alias("v")).distinct())
+    counts = settled(found.groupBy("u").agg(F.floor((F.count(F.lit(1)) - 1) / SLICE).alias("slices")))
+    return with_key(found, counts, ["u"], F.col("v")).select("u", "v", F.pmod(F.xxhash64("v"), F.col("slices") + 1).alias("slice"))
 
 
 def _groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -234,14 +268,11 @@ def _groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     marked = settled(rows.select("row", "id", _signed(F.col("text")).alias("set")).select("row", "id", "set.*"))
     ranked = F.struct(F.col("id").isNull().alias("nameless"), F.col("id").alias("id"), F.col("row").alias("row"))
     classes = settled(marked.where("n > 0").groupBy("d0", "d1").agg(F.min("row").alias("node"), F.min(ranked).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    met = settled(stars(classes.select(F.explode("keys").alias("key"), "node", "n")))
-    wanted = settled(met.select(F.col("u").alias("row")).unionByName(met.select(F.col("v").alias("row"))).distinct())
+    pairs = settled(stars(classes.select(F.explode("keys").alias("key"), "node", "n")))
+    wanted = settled(pairs.select(F.col("u").alias("row")).unionByName(pairs.select(F.col("v").alias("row"))).distinct())
     sets = settled(by_row(rows.select("row", "text"), wanted, "left_semi").select(F.col("row").alias("node"), _sets(F.col("text")).alias("shingles")))
-    pairs = settled(_pairs(met))
-    links = settled(linked(pairs, sets))
-    tried = pairs.select(F.col("u").alias("low"), F.col("v").alias("high"))
-    rest = _rest(met, components(links)).join(tried, (F.least("u", "v") == F.col("low")) & (F.greatest("u", "v") == F.col("high")), "left_anti")
-    more = settled(linked(settled(rest), sets))
+    links = settled(linked(pairs.where(_near_sizes("nu", "nv")), sets))
+    more = settled(linked(settled(_rest(pairs, components(links), sets)), sets))
     found = components(links.unionByName(more))
     roots = found.unionByName(found.select(F.col("root").alias("vertex"), "root").distinct())
     rooted = classes.join(roots, classes["node"] == roots["vertex"], "left").select("d0", "d1", "first", "copies", F.coalesce("root", "node").alias("root"), (F.col("root").isNotNull() | (F.col("copies") > 1)).alias("several"))
