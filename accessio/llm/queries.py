@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accessio.llm import chat, decontamination, media, minhash, mixing, pii, scoring, sharding, simhash, tokens, toxicity
+from accessio.llm import alignment, chat, decontamination, media, minhash, mixing, pii, resampling, scoring, sharding, simhash, tokens, toxicity
 from accessio.llm.base import table
 
 #: A conversation that holds control strings; added to the table.
@@ -88,6 +88,16 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), fixed=True)
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), fixed=True)
+
+
 def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), fixed=True)
 
@@ -103,6 +113,8 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op11_alignment": op11_alignment,
+    "op12_resampling": op12_resampling,
     "op13_minhash": op13_minhash,
 }
 

@@ -1,13 +1,19 @@
 """SuperMinHash groups, importance resampling, token alignment: against brute force."""
 
+import hashlib
+import json
+import math
 import random
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from accessio.llm import minhash
+from accessio.llm import alignment, minhash, resampling
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -124,3 +130,155 @@ def test_signatures_estimate_similarity():
         errors.append((minhash.signature(a) == minhash.signature(b)).mean() - 160 / 240)
     # independent hashes would have a variance of J (1 - J) / places
     assert abs(np.mean(errors)) < 0.01 and np.var(errors) < 0.95 * (2 / 9) / minhash.PLACES
+
+
+# Importance resampling ---------------------------------------------------------------------------
+
+
+def plain_buckets(text):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(text or ""))
+    return w, [zlib.crc32(" ".join(w[i : i + k]).encode()) % 10000 for k in (1, 2, 3) for i in range(len(w) - k + 1)]
+
+
+def plain_draw(rows, target):
+    s, t = Counter(), Counter()
+    for _, text in rows:
+        s.update(plain_buckets(text)[1])
+    for text in target:
+        t.update(plain_buckets(text)[1])
+    n_s, n_t = sum(s.values()), sum(t.values())
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (n_s + 10000) / ((s[b] + 1) * (n_t + 10000)))) for b in range(10000)]
+    out = []
+    for place, (i, text) in enumerate(rows):
+        words, found = plain_buckets(text)
+        h = int(hashlib.sha256(f"42:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[b] for b in found)
+        out.append([i, len(found), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, len(words), place])
+    able = sorted((r for r in out if r[5] >= 20), key=lambda r: (-r[3], r[0] is None, r[0], r[6]))
+    for rank, r in enumerate(able[: 5 * len(able) // 100], 1):
+        r[4] = rank
+    return sorted((tuple(r[:5]) for r in out), key=str)
+
+
+def draw_rows():
+    texts = [*prose(300, 11, 120), "", None, "   ", "É1é ß" * 40, "w" * 200 + " and " * 30, ("x" * 70 + " y ") * 25, "a-b_c\x7f1 " * 30, "one two", "solo"]
+    rows = [(3 * i - 200, t) for i, t in enumerate(texts)]
+    return [*rows, *[rows[7]] * 80, *[(None, texts[8])] * 3, (-(2**60), texts[9])]
+
+
+TARGET = [*prose(20, 12, 40), None, ""]
+
+
+@pytest.mark.parametrize("digit", [12, 3])
+def test_resampling(spark, digit, monkeypatch):
+    monkeypatch.setattr(resampling, "DIGIT", digit)
+    monkeypatch.setattr(resampling, "CHUNK", 50)
+    rows = draw_rows()
+    docs = documents(spark, rows).coalesce(3).withColumn("Rank", F.lit(1)).withColumn("n", F.lit(2)).withColumn("p0", F.lit(2))
+    target = spark.createDataFrame([(i, t) for i, t in enumerate(TARGET)], "item_id long, text string")
+    got = resampling.resample(docs, target).collect()
+    assert sorted((tuple(r) for r in got), key=str) == plain_draw(rows, TARGET)
+    assert got[0].asDict().keys() == {"doc_id", "n_features", "weight", "score", "rank"}
+
+
+def test_resampling_of_little(spark):
+    target = spark.createDataFrame([], "text string")
+    docs = documents(spark, [(1, "a few words"), (None, None)])
+    assert sorted((tuple(r)[:2] for r in resampling.resample(docs, target).collect()), key=str) == [(1, 6), (None, 0)]
+    assert resampling.resample(docs.limit(0), target).count() == 0
+
+
+def test_kth_key(spark):
+    r = random.Random(3)
+    keys = sorted({(r.randrange(5), r.randrange(1 << 30), r.randrange(2)) for _ in range(500)})
+    frame = spark.createDataFrame(r.sample(keys, len(keys)), "p0 long, p1 long, p2 long")
+    for k in (1, 2, 250, 499, len(keys)):
+        path = resampling.kth_key(frame, k, [3, 30, 1])
+        assert sorted(map(tuple, frame.where(resampling.up_to(path)).collect())) == keys[:k]
+
+
+def test_joined_checksums():
+    words = [b"a", b"word", bytes(range(128, 192)), b"x" * 64, b"z"]
+    for text in (b" ".join(words), b"one", b"", b"x" * 65 + b" b c d"):
+        found = sorted(np.concatenate([np.empty(0, np.uint32), *resampling.buckets(text.decode("latin-1"))]).tolist())
+        assert found == sorted(plain_buckets(text.decode("latin-1"))[1])
+
+
+# Alignment of two tokenizers ---------------------------------------------------------------------
+
+FIRST, SECOND = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+
+
+def plain_alignment(rows):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a_side = Tokenizer.from_file(FIRST)
+    a_side.encode_special_tokens = True
+    b_side = sentencepiece.SentencePieceProcessor(model_file=SECOND)
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(c): c for c in printable} | {chr(256 + k): c for k, c in enumerate(c for c in range(256) if c not in printable)}
+    vocabulary = {i: p for p, i in json.load(open(FIRST))["model"]["vocab"].items()}
+    cut, count = [], Counter()
+    for _, text in rows:
+        groups, links = [], []
+        if text:
+            a = [(i, bytes(byte[c] for c in vocabulary[i])) for i in a_side.encode(" " + text, add_special_tokens=False).ids]
+            b = [(i, bytes([int(p[3:5], 16)]) if b_side.is_byte(i) else p.replace("\u2581", " ").encode()) for i in b_side.encode(text) for p in [b_side.id_to_piece(i)]]
+            if b"".join(p for _, p in a) == b"".join(p for _, p in b) == (" " + text).encode():
+                spans = [[], []]
+                for side, span in zip((a, b), spans):
+                    at = 0
+                    for i, p in side:
+                        span.append((i, at, at + len(p)))
+                        at += len(p)
+                links = [(i, j) for i, s, e in spans[0] for j, t, f in spans[1] if s < f and t < e] if len(spans[0]) < 400 else merged(*spans)
+                begin = 0
+                for end in sorted({e for *_, e in spans[0]} & {e for *_, e in spans[1]}):
+                    groups.append([[i for i, s, e in span if begin <= s and e <= end] for span in spans])
+                    begin = end
+        cut.append((groups, links))
+        count.update(links)
+    best = Counter()
+    for (_, j), n in count.items():
+        best[j] = max(best[j], n)
+    out = []
+    for (i, _), (groups, links) in zip(rows, cut):
+        written = ";".join("|".join(",".join(map(str, side)) for side in g) for g in groups)
+        out.append((i, sum(len(g[0]) for g in groups), sum(len(g[1]) for g in groups), len(groups), len(links), sum(count[k] == best[k[1]] for k in links), sum(count[k] for k in links), hashlib.sha256(written.encode()).hexdigest() if groups else ""))
+    return sorted(out, key=str), count, best
+
+
+def merged(a, b):
+    out, k = [], 0
+    for i, s, e in a:
+        while b[k][2] <= s:
+            k += 1
+        m = k
+        while m < len(b) and b[m][1] < e:
+            out.append((i, b[m][0]))
+            m += 1
+    return out
+
+
+def align_rows():
+    texts = [*prose(40, 21), *prose(3, 22), "", None, " ", "\n\n\ta  b", "Größe naïve 数据 🙂 <|endoftext|> <s></s> <0x41>", "bl\u2581ock", "a\x00b\u00a0c\u2028d", "don't we'll 3.14 §§", "x" * 700, "\r\n" * 50, "ﬁ Å ① e\u0301", " ".join(prose(12, 23))]
+    return [(i if i != 5 else None, t) for i, t in enumerate([*texts, *texts[:3]])]
+
+
+def test_alignment(spark, monkeypatch):
+    rows = align_rows()
+    docs = documents(spark, rows).repartition(3).withColumn("Stripe", F.lit(1)).withColumn("n_a", F.lit(1))
+    want, count, best = plain_alignment(rows)
+    got = alignment.align(docs, FIRST, SECOND).collect()
+    assert sorted((tuple(r) for r in got), key=str) == [(i, *r) for i, *r in want]
+    assert list(got[0].asDict()) == ["doc_id", *alignment.OUTPUTS]
+    pairs = {(r.a, r.b): (r.n, r.best) for r in alignment.pair_counts(docs, FIRST, SECOND).collect()}
+    assert pairs == {k: (n, n == best[k[1]]) for k, n in count.items()}
+    assert alignment.align(docs.limit(0), FIRST, SECOND).count() == 0
+    assert {tuple(r)[1:] for r in alignment.align(docs.where("text IS NULL"), FIRST, SECOND).collect()} == {(0, 0, 0, 0, 0, 0, "")}
+
+
+def test_packed_links():
+    code, doc, links = np.array([0, 0, 5, 10**9]), np.array([1, 2, 0, 511]), np.array([1, 2**40, 3, 4])
+    assert [x.tolist() for x in alignment.unpacked(alignment.packed(code, doc, links))] == [code.tolist(), doc.tolist(), links.tolist()]
