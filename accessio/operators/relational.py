@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from accessio.sources.tables import scratch
+
 
 def first_wins(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """Of each key the row that comes first; ends of partial sums, so hot keys cost no more than others."""
@@ -38,11 +40,29 @@ def of_first_keys(df: DataFrame, key: str, n: int, order: str, skip_blank: bool
     return df.join(first_keys(df, key, n, order, skip_blank), key, "left_semi") if n > 0 else df
 
 
-def numeric_order(key: str) -> Column:
+def numeric_order(key: str, downwards: bool = False) -> Column:
     """Sort key: the first run of digits as a number, rows without digits last."""
-    return F.regexp_extract(key, r"(\d+)", 1).try_cast("double").asc_nulls_last()
+    number = F.regexp_extract(key, r"(\d+)", 1).try_cast("double")
+    return number.desc_nulls_last() if downwards else number.asc_nulls_last()
 
 
 def with_values(df: DataFrame, name: str, values: tuple[str, ...]) -> DataFrame:
     """Every row once for each value, without a join."""
     return df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+
+
+def with_places(df: DataFrame, order: list[Column | str], name: str = "place") -> DataFrame:
+    """df with each row's place, 0, 1, 2 .., in the given order; rows equal in it are placed in any order.
+
+    The rows are sorted by ranges and written once, under spark.checkpoint.dir; a
+    row's place is its place in its range and the earlier ranges' rows, of which
+    there is one count a range. No task sees more than a range.
+    """
+    spark, path = df.sparkSession, f"{scratch(df.sparkSession, 'places')}/rows"
+    ranged = df.orderBy(*order).withColumns({"__range": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    ranged.write.parquet(path)
+    placed = spark.read.parquet(path)
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("__range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
+    return placed.join(F.broadcast(before), "__range").select(*df.columns, (F.col("__before") + F.col("__at")).alias(name))

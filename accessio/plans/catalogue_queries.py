@@ -7,15 +7,18 @@ order). Both sides of a comparison build them by the same concatenation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from accessio.functions import html as H
 from accessio.functions import text as T
 from accessio.operators import catalogue, evidence, identifiers, relational, report, terms
+from accessio.operators.stored import UpsertTable
 from accessio.schema import EVIDENCE, MASTER, RAW_ROWS
-from accessio.sources import lookup, tables
+from accessio.sources import lookup, paged, tables
+from accessio.sources.split import read_split_table
 from accessio.sources.tables import scratch
+from accessio.streaming.first import current, first_wins_stream
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -137,9 +140,8 @@ def distinct_rows(spark, sf_dir):
 
 @query(r"SELECT c_custkey, c_name FROM customer ORDER BY CAST(regexp_extract(c_name, '(\d+)', 1) AS DOUBLE) DESC NULLS LAST, c_custkey LIMIT 25")
 def numeric_key_sort_topk(spark, sf_dir):
-    """LIM1, LIM4"""
-    number = F.regexp_extract("c_name", r"(\d+)", 1).try_cast("double")
-    return _table(spark, sf_dir, "customer").select("c_custkey", "c_name").orderBy(number.desc_nulls_last(), "c_custkey").limit(25)
+    """LIM1, LIM4, SRT1"""
+    return _table(spark, sf_dir, "customer").select("c_custkey", "c_name").orderBy(relational.numeric_order("c_name", downwards=True), "c_custkey").limit(25)
 
 
 @query("SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 ORDER BY min(o_orderkey) LIMIT 40) GROUP BY 1")
@@ -154,13 +156,50 @@ def cross_join_dbs(spark, sf_dir):
     return relational.with_values(_table(spark, sf_dir, "nation").select("n_name"), "ncbi_db", terms.DATABASES)
 
 
-@query("""SELECT user_id, arg_max(event_type, rank * 10000000000 - event_id) AS event_type, arg_max(event_id, rank * 10000000000 - event_id) AS kept_id, min(event_id) AS first_id
-FROM (SELECT *, CASE event_type WHEN 'purchase' THEN 4 WHEN 'click' THEN 3 WHEN 'view' THEN 2 ELSE 0 END AS rank FROM events) GROUP BY user_id""")
-def upsert_by_rank(spark, sf_dir):
-    """AGG6, AGG7, SRT2, JN9"""
+_UPSERT = """SELECT user_id, arg_max(event_type, rank * 10000000000 - event_id) AS event_type, arg_max(event_id, rank * 10000000000 - event_id) AS kept_id, min(event_id) AS first_id
+FROM (SELECT *, CASE event_type WHEN 'purchase' THEN 4 WHEN 'click' THEN 3 WHEN 'view' THEN 2 ELSE 0 END AS rank FROM events) GROUP BY user_id"""
+
+
+def _ranked_events(spark, sf_dir) -> tuple[DataFrame, Column]:
     ranks = F.create_map(*[x for k, v in {"purchase": 4, "click": 3, "view": 2}.items() for x in (F.lit(k), F.lit(v))])
     rows = _table(spark, sf_dir, "events").select("user_id", "event_type", F.col("event_id").alias("kept_id"), F.col("event_id").alias("first_id"))
-    return relational.upsert_by_rank(rows, ["user_id"], F.coalesce(F.try_element_at(ranks, F.col("event_type")), F.lit(0)), "first_id")
+    return rows, F.coalesce(F.try_element_at(ranks, F.col("event_type")), F.lit(0))
+
+
+@query(_UPSERT)
+def upsert_by_rank(spark, sf_dir):
+    """AGG6, AGG7, SRT2, JN9"""
+    rows, rank = _ranked_events(spark, sf_dir)
+    return relational.upsert_by_rank(rows, ["user_id"], rank, "first_id")
+
+
+@query(_UPSERT)
+def upsert_increments(spark, sf_dir):
+    """AGG6, AGG7 into a stored table: four increments merged one after the other give what one batch gives"""
+    rows, rank = _ranked_events(spark, sf_dir)
+    stored = UpsertTable(spark, f"{scratch(spark, 'upsert')}/events", ["user_id"], "first_id", buckets=16)
+    for part in range(4):
+        stored.merge(rows.where(F.pmod(F.xxhash64("kept_id"), F.lit(4)) == part), rank)
+    return stored.rows().select(*rows.columns)
+
+
+@query("SELECT user_id, event_type, min(event_id) AS event_id, arg_min(value, event_id) AS value FROM events GROUP BY user_id, event_type")
+def first_wins_changes(spark, sf_dir):
+    """AGG1, AGG3, WIN1 on a stream: first of each key by order, in micro-batches of any order, with a restart in between; what stands after all changes"""
+    root, keys = scratch(spark, "stream"), ["user_id", "event_type"]
+    rows = _table(spark, sf_dir, "events").select(*keys, "event_id", "value")
+    part = F.pmod(F.xxhash64("event_id"), F.lit(6))
+
+    def kept(changes: DataFrame, number: int) -> None:
+        changes.write.mode("overwrite").parquet(f"{root}/changes/batch={number}")
+
+    for run in range(2):  # the second goes on from the first's checkpoint
+        for k in range(3 * run, 3 * run + 3):
+            rows.where(part == k).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+        changes = first_wins_stream(stream, keys, "event_id")
+        changes.writeStream.outputMode("update").foreachBatch(kept).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return current(spark.read.parquet(f"{root}/changes").drop("batch"), keys)
 
 
 # Terms and identifiers -----------------------------------------------------------------------------
@@ -306,22 +345,45 @@ def conflict_numbers(spark, sf_dir):
     return _table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(found, ";").alias("conflicts"))
 
 
-@query(_JUDGED + """ SELECT ncbi_uid, decision AS evidence_decision, class AS evidence_class, CAST(score AS VARCHAR) AS evidence_score,
-  CASE WHEN class IN ('review_taxon_only', 'reject_non_target_taxon', 'review_no_organism_or_strain_identifier') THEN '' ELSE best END AS matched_identifier FROM decided""")
+_CLASSIFIED = _JUDGED + """ SELECT ncbi_uid, decision AS evidence_decision, class AS evidence_class, CAST(score AS VARCHAR) AS evidence_score,
+  CASE WHEN class IN ('review_taxon_only', 'reject_non_target_taxon', 'review_no_organism_or_strain_identifier') THEN '' ELSE best END AS matched_identifier FROM decided"""
+
+
+@query(_CLASSIFIED)
 def classify_evidence(spark, sf_dir):
     """RUL2-RUL4, JN1, JN2, FLT6, PRJ6"""
     return _judged(spark, sf_dir).select("ncbi_uid", "evidence_decision", "evidence_class", "evidence_score", "matched_identifier")
 
 
+@query(_CLASSIFIED)
+def classify_indexed(spark, sf_dir):
+    """JN1, JN2, FLT7, AGG7: the same by an inverted index of the patterns, joined with the texts by strain and token"""
+    found = identifiers.extract_identifiers(refs(spark, sf_dir), carry=("p_partkey",))
+    index = evidence.pattern_index(found.withColumn("ord", F.col("p_partkey") * 1000 + F.col("place")), "ord")
+    return evidence.classify_indexed(raw(spark, sf_dir), index).select("ncbi_uid", "evidence_decision", "evidence_class", "evidence_score", "matched_identifier")
+
+
 @query(_JUDGED + " SELECT ncbi_uid, decision AS evidence_decision, class AS evidence_class, decision = 'accept' AS accepted FROM decided")
 def split_accept_review(spark, sf_dir):
-    """SNK2-SNK4, SRC3, SRC4: accepted rows in one table, all others in another, both written and read again"""
+    """SNK2, SNK3, SRC3, SRC4: accepted rows in one table, all others in another, both written and read again"""
     where = scratch(spark, "split")
     tables.split_sink(_judged(spark, sf_dir), F.col("evidence_decision") == "accept", f"{where}/accepted.tsv", f"{where}/review.tsv")
     both = [tables.read_table(spark, f"{where}/{name}.tsv").withColumn("accepted", F.lit(name == "accepted")) for name in ("accepted", "review")]
     return both[0].unionByName(both[1]).select("ncbi_uid", "evidence_decision", "evidence_class", "accepted")
 
 
+@query(_JUDGED + """ SELECT count(*) AS rows, count(*) FILTER (decision = 'accept') AS accepted, count(*) FILTER (decision = 'review') AS review, count(*) FILTER (decision = 'reject') AS rejected,
+  count(*) FILTER (decision = 'no_data') AS no_data, count(*) FILTER (score >= 90) AS strong FROM decided""")
+def run_metrics(spark, sf_dir):
+    """SNK4, AGG13: the counts that a run observes while it writes its table, without another pass"""
+    decided = lambda d: F.col("evidence_decision") == d
+    rows, seen = tables.observed(
+        _judged(spark, sf_dir), "evidence", accepted=decided("accept"), review=decided("review"), rejected=decided("reject"), no_data=decided("no_data"), strong=F.col("evidence_score").cast("int") >= 90
+    )
+    tables.write_table(rows, f"{scratch(spark, 'metrics')}/evidence.tsv", EVIDENCE)
+    return spark.createDataFrame([seen.get])
+
+
 @query(_JUDGED + " SELECT decision AS evidence_decision, class AS evidence_class, count(*) AS n, CAST(grouping(decision, class) AS BIGINT) AS level FROM decided GROUP BY ROLLUP (decision, class)")
 def audit_rollup(spark, sf_dir):
     """AGG14"""
@@ -421,10 +483,66 @@ def lookup_replay(spark, sf_dir):
 FROM (SELECT *, CASE WHEN c_custkey % 10 = 3 THEN 'error' WHEN o_orderkey IS NULL THEN 'no_hit' ELSE 'ok' END AS kind
   FROM customer LEFT JOIN (SELECT * FROM hits WHERE rn <= 3) ON c_custkey = o_custkey) WHERE kind <> 'error' OR coalesce(rn, 1) = 1""")
 def lookup_errors(spark, sf_dir):
-    """RUL5, RUL6, PRJ7, SCL18: a failed lookup is one row, whatever had been found; hits and lookups without any beside it"""
+    """RUL5, RUL6, PRJ7: a failed lookup is one row, whatever had been found; hits and lookups without any beside it"""
     return _looked_up(spark, sf_dir, True).select("ncppb_number", "search_term", "ncbi_db", "ncbi_uid", "ncbi_accession", "source_url", "title", "metadata_text", "id_count_returned", "status", "error")
 
 
+def _search_answers(hits: DataFrame, totals: DataFrame, page: int, most: int) -> DataFrame:
+    """request, answer: the documents of the first `most` hits (search_term, uid, place from 0), a page each, and of searches without any. totals: search_term, total."""
+    pages = hits.where(F.col("place") < most).groupBy("search_term", (F.floor(F.col("place") / page) * page).alias("start")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "uid"))), lambda x: x["uid"]).alias("ids"))
+    every = totals.join(pages, "search_term", "left").select("search_term", "total", F.coalesce("start", F.lit(0)).alias("start"), F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
+    sized = every.withColumn("size", F.least(F.lit(page), F.lit(most) - F.col("start")).cast("int"))
+    body = F.to_json(F.struct(F.struct(F.col("total").cast("string").alias("count"), F.col("ids").alias("idlist")).alias("esearchresult")))
+    return sized.select(paged.search_request(F.lit("biosample"), F.col("search_term"), F.col("start"), F.col("size")).alias("request"), body.alias("answer"))
+
+
+@query("""WITH hits AS (SELECT 'nation ' || c_nationkey AS search_term, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS place, 'u' || c_custkey AS uid, count(*) OVER (PARTITION BY c_nationkey) AS total FROM customer)
+SELECT search_term, CAST(place AS BIGINT) AS place, uid, CAST(total AS BIGINT) AS total FROM hits WHERE place < 50 AND search_term NOT IN ('nation 3', 'nation 4')""")
+def paged_search(spark, sf_dir):
+    """SRC6, SRC7, SRC9: searches answered page by page, pages read by several tasks; a filter on terms keeps others from being asked for"""
+    customers = _table(spark, sf_dir, "customer")
+    term = F.concat(F.lit("nation "), "c_nationkey").alias("search_term")
+    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
+    hits = customers.select(term, F.concat(F.lit("u"), "c_custkey").alias("uid"), place.alias("place"))
+    nations = _table(spark, sf_dir, "nation").select(F.concat(F.lit("nation "), "n_nationkey").alias("search_term"))
+    totals = nations.join(hits.groupBy("search_term").agg(F.count(F.lit(1)).alias("total")), "search_term", "left").fillna(0)
+    counts = totals.select(paged.search_request(F.lit("biosample"), F.col("search_term"), F.lit(0), F.lit(0)).alias("request"), F.to_json(F.struct(F.struct(F.col("total").cast("string").alias("count"), F.array().cast("array<string>").alias("idlist")).alias("esearchresult"))).alias("answer"))
+    folder = f"{scratch(spark, 'answers')}/searches"
+    asked = totals.where(~F.col("search_term").isin("nation 3", "nation 4"))  # asking for the others would fail
+    paged.record_answers(_search_answers(hits, asked, 15, 50).unionByName(counts.where(~F.col("request").rlike("nation [34][|]"))), folder)
+    terms = [r.search_term for r in nations.collect()]  # the 25 nations
+    found = paged.paged_search(spark, lambda: lookup.Service(delay=0, opener=paged.Recorded(folder)), terms, page=15, most=50)
+    return found.where(F.col("search_term").isin([t for t in terms if t not in ("nation 3", "nation 4")]))
+
+
+@query(_LOOKED + """ SELECT CAST(c_custkey AS VARCHAR) AS ncppb_number, CASE WHEN kind = 'ok' THEN CAST(o_orderkey AS VARCHAR) ELSE '' END AS ncbi_uid, CASE WHEN kind = 'ok' THEN o_orderpriority ELSE '' END AS title,
+  CASE kind WHEN 'error' THEN '' WHEN 'ok' THEN CAST(total AS VARCHAR) ELSE '0' END AS id_count_returned, kind AS status, CAST(CASE WHEN kind = 'error' THEN 3 WHEN c_custkey % 10 = 3 THEN 2 ELSE 1 END AS BIGINT) AS attempts
+FROM (SELECT *, CASE WHEN c_custkey % 10 = 7 THEN 'error' WHEN o_orderkey IS NULL THEN 'no_hit' ELSE 'ok' END AS kind
+  FROM customer LEFT JOIN (SELECT * FROM hits WHERE rn <= 3) ON c_custkey = o_custkey) WHERE kind <> 'error' OR coalesce(rn, 1) = 1""")
+def lookup_retries(spark, sf_dir):
+    """SRC6-SRC9, JN7, RUL5, RUL6: lookups over several tasks with pages and batches of two; a service that has no answer for some terms at first, and never for others, which end as dead letters after three attempts"""
+    orders, customers = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer")
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    hits = orders.select("o_custkey", F.concat(F.lit("c"), "o_custkey").alias("search_term"), F.col("o_orderkey").cast("string").alias("uid"), place.alias("place"), "o_orderpriority")
+    totals = customers.select(F.concat(F.lit("c"), "c_custkey").alias("search_term"), "c_custkey").join(hits.groupBy("search_term").agg(F.count(F.lit(1)).alias("total")), "search_term", "left").fillna(0)
+    two = hits.where("place < 3").groupBy("search_term", F.floor(F.col("place") / 2).alias("part")).agg(F.array_sort(F.collect_list(F.struct("place", "uid", F.col("o_orderpriority").alias("title")))).alias("rs"))
+    ids = F.transform("rs", lambda r: r["uid"])
+    each = F.map_from_entries(F.transform("rs", lambda r: F.struct(r["uid"], F.to_json(F.struct(r["title"].alias("title"))))))
+    body = F.concat(F.lit('{"result": {"uids": '), F.to_json(ids), F.lit(", "), F.array_join(F.transform(F.map_entries(each), lambda e: F.concat(F.lit('"'), e["key"], F.lit('": '), e["value"])), ", "), F.lit("}}"))
+    summaries = two.select(paged.summary_request(F.lit("biosample"), F.array_join(ids, ",")).alias("request"), body.alias("answer"))
+    rest = F.regexp_extract("search_term", r"(\d+)", 1).cast("long") % 10
+    root = scratch(spark, "service")
+    specs = customers.select(F.col("c_custkey").cast("string").alias("ncppb_number"), *[F.lit("").alias(c) for c in lookup.SPEC[1:5]], F.concat(F.lit("c"), "c_custkey").alias("search_term"))
+    for state, known in (("at first", ~rest.isin(3, 7)), ("later", rest != 7)):
+        # a page of two, then what is left of three; a search without hits is one empty page
+        paged.record_answers(_search_answers(hits.drop("o_custkey", "o_orderpriority"), totals.where(known).select("search_term", "total"), 2, 3).unionByName(summaries), f"{root}/{state}")
+    log = lookup.AttemptLog(spark, f"{root}/log")
+    for state, attempts in (("at first", 1), ("later", 3)):
+        looked = lookup.HttpLookup(lambda folder=f"{root}/{state}": lookup.Service(delay=0, opener=paged.Recorded(folder)), page=2, most=3, batch=2, tasks=4)
+        found = looked.harvest(specs, log.path, every=5000, attempts=attempts, wait=0.0)
+    return found.join(log.state().select("ncppb_number", _long(F.col("attempts")).alias("attempts")), "ncppb_number").select("ncppb_number", "ncbi_uid", "title", "id_count_returned", "status", "attempts")
+
+
 @query("SELECT event_type AS ncbi_db, count(*) AS n_lookups, count(*) FILTER (value > 50) AS n_with_ids, count(*) FILTER (event_id % 7 = 0) AS n_errors, CAST(sum(CASE WHEN value > 50 THEN 2 ELSE 0 END) AS BIGINT) AS n_ids FROM events GROUP BY 1")
 def status_counts(spark, sf_dir):
     """AGG13, AGG14, RUL6"""
@@ -530,6 +648,25 @@ def catalogue_records(spark, sf_dir):
     return catalogue.page_records(catalogue_pages(spark, sf_dir)).select(*MASTER)
 
 
+@query("""SELECT 'NCPPB ' || p_partkey AS ncppb_number, p_name AS current_name, CASE p_partkey % 4 WHEN 0 THEN 'seen; later' WHEN 1 THEN 'seen again ' || p_size WHEN 2 THEN 'seen; again ' || p_size ELSE '' END AS notes, p_brand AS host FROM part WHERE p_partkey % 3 <> 0""")
+def catalogue_edges(spark, sf_dir):
+    """FLT4, AGG12, SCL27, FLT5: record rows of two cells give no record; a label met again replaces what it is part of, is appended else, and doesn't count if empty"""
+    k, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+
+    def notes(*values) -> Column:
+        return F.concat(*[x for v in values for x in (F.lit("<tr><td><strong>Notes:</strong></td><td>"), v, F.lit("</td></tr>"))])
+
+    again = F.concat(F.lit("seen again "), size)
+    met = F.when(F.col("p_partkey") % 4 == 0, notes(again, F.lit("seen"), F.lit("later"))).when(F.col("p_partkey") % 4 == 1, notes(again, F.lit(" "))).when(F.col("p_partkey") % 4 == 2, notes(F.lit("seen"), F.concat(F.lit("again "), size))).otherwise(notes(F.lit("")))
+    third = F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.concat(F.lit("<td>"), F.col("p_name"), F.lit("</td>")))
+    html = F.concat(
+        F.lit("<table><tr><td>"), size, F.lit('</td><td><a href="furtherinfo.cfm?ncppb_no='), k, F.lit('">NCPPB '), k, F.lit("</a></td>"), third, F.lit("</tr><tr><td colspan=3><table>"), met,
+        F.lit("<tr><td><strong>Host:</strong></td><td>"), F.col("p_brand"), F.lit("</td></tr></table></td></tr></table>"),
+    )
+    pages = _table(spark, sf_dir, "part").select(F.format_string("page%09d", "p_partkey").alias("path"), html.alias("value"))
+    return catalogue.page_records(pages).select("ncppb_number", "current_name", "notes", "host")
+
+
 @query("SELECT 'NCPPB ' || p_partkey AS ncppb_number, 'ICMP ' || p_partkey || ', LMG-' || p_size || ' & more' AS other_references FROM part")
 def catalogue_references(spark, sf_dir):
     """WIN2, EXP1, EXP3, SCL30: of each record's link the text up to the next link"""
@@ -550,9 +687,8 @@ def master_table(spark, sf_dir):
         F.when(F.col("p_partkey") % 3 == 0, " NaN ").otherwise(F.col("p_brand")).alias("Origin"),
         F.col("p_partkey").alias("at"),
     )
-    done = catalogue.master(given, "at")
-    place = F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))  # the order in which the operator gives its rows
-    return done.withColumn("place", _long(place)).select("ncppb_number", "ncppb_number_compact", "current_name", "pathovar", "country", "place")
+    done = catalogue.master(given, "at", place="place").withColumn("place", F.col("place") + 1)
+    return done.select("ncppb_number", "ncppb_number_compact", "current_name", "pathovar", "country", "place")
 
 
 # Files ---------------------------------------------------------------------------------------------
@@ -567,10 +703,23 @@ def table_files(spark, sf_dir):
     rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("p_partkey"), quoted.alias("quoted"), cell.alias("cell"), F.col("p_partkey").alias("k"))
     path = f"{scratch(spark, 'table')}/part.tsv"
     tables.write_table(rows.repartitionByRange(3, "k").sortWithinPartitions("k"), path, ("p_partkey", "quoted", "cell"))
-    plain = tables.read_table(spark, path, ordinal="ord").withColumnRenamed("cell", "stdlib_cell").withColumn("place", _long(F.row_number().over(Window.orderBy("ord")))).drop("ord")
+    plain = relational.with_places(tables.read_table(spark, path, ordinal="ord").withColumnRenamed("cell", "stdlib_cell"), ["ord"]).withColumn("place", F.col("place") + 1).drop("ord")
     return plain.join(tables.read_table(spark, path, na_tokens=True).select("p_partkey", F.col("cell").alias("frame_cell")), "p_partkey")
 
 
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, 'say "' || o_orderpriority || '", ' || chr(10) || o_orderstatus AS quoted, CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'NA' ELSE o_orderstatus END AS cell,
+  CAST(row_number() OVER (ORDER BY o_orderkey) AS BIGINT) AS place FROM orders""")
+def split_table_file(spark, sf_dir):
+    """SRC4, SRC5: one large file with line breaks inside quotes, read in chunks by many tasks; rows in the order of the file"""
+    cell = F.when(F.col("o_orderkey") % 3 == 1, "NA").when(F.col("o_orderkey") % 3 == 2, F.col("o_orderstatus"))
+    quoted = F.concat(F.lit('say "'), "o_orderpriority", F.lit('", \n'), "o_orderstatus")
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("key"), quoted.alias("quoted"), cell.alias("cell"))
+    path = f"{scratch(spark, 'table')}/orders.csv"
+    tables.write_table(rows.repartitionByRange(1, "o_orderkey").sortWithinPartitions("o_orderkey"), path, ("key", "quoted", "cell"), crlf=True)
+    read = read_split_table(spark, path, ordinal="ord")
+    return relational.with_places(read, ["ord"]).select(F.col("key").alias("o_orderkey"), "quoted", "cell", (F.col("place") + 1).alias("place"))
+
+
 @query("SELECT page_id, md5(html || chr(10)) AS page, CAST(length(html) + 1 AS BIGINT) AS n FROM pages")
 def page_files(spark, sf_dir):
     """SRC1, SRC12: whole files as rows; an empty result is an error"""
@@ -578,3 +727,18 @@ def page_files(spark, sf_dir):
     _table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("value")).repartition(8, "page_id").write.mode("overwrite").partitionBy("page_id").text(path)
     pages = tables.required(tables.read_pages(spark, path), "pages")
     return pages.select(F.regexp_extract("path", r"page_id=(\d+)", 1).cast("long").alias("page_id"), F.md5("value").alias("page"), _long(F.char_length("value")).alias("n"))
+
+
+@query("""SELECT r_name, CASE WHEN n = 0 THEN 'no customers of ' || r_name || ' found' ELSE '' || n END AS outcome FROM (
+  SELECT r_name, count(c_custkey) FILTER (c_nationkey % 2 = r_regionkey % 2 AND r_regionkey <> 3) AS n FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1)""")
+def required_rows(spark, sf_dir):
+    """SRC12: rows that must be there are counted, or the run ends in an error that names them; one run a region"""
+    nations, customers = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "customer")
+    outcomes = []
+    for region in _table(spark, sf_dir, "region").collect():  # five
+        own = customers.join(nations.where(F.col("n_regionkey") == region.r_regionkey), F.col("c_nationkey") == F.col("n_nationkey")).where((F.col("c_nationkey") % 2 == region.r_regionkey % 2) & F.lit(region.r_regionkey != 3))
+        try:
+            outcomes.append((region.r_name, str(tables.required(own, f"customers of {region.r_name}").count())))
+        except ValueError as problem:
+            outcomes.append((region.r_name, str(problem)))
+    return spark.createDataFrame(outcomes, "r_name string, outcome string")

@@ -12,7 +12,7 @@ from accessio.schema import conform
 
 #: Cells that a data-frame CSV reader takes for missing.
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
-_CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
+CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -41,9 +41,9 @@ def read_table(spark: SparkSession, path: str, na_tokens: bool = False, ordinal:
     ordinal names a column for the rows' order: a struct of the file's path and the
     place in it, so files count in the order of their names, whatever their sizes.
     Any order parameter of this library takes it. A file with line breaks inside
-    quotes is read by one task; split large tables into several files.
+    quotes is read by one task; for a large one see split.read_split_table.
     """
-    df = spark.read.options(**_CSV, sep=delimiter(path)).csv(path)
+    df = spark.read.options(**CSV, sep=delimiter(path)).csv(path)
 
     def cell(name: str) -> Column:
         c = F.col(f"`{name}`")
