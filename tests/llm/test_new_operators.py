@@ -282,3 +282,14 @@ def test_alignment(spark, monkeypatch):
 def test_packed_links():
     code, doc, links = np.array([0, 0, 5, 10**9]), np.array([1, 2, 0, 511]), np.array([1, 2**40, 3, 4])
     assert [x.tolist() for x in alignment.unpacked(alignment.packed(code, doc, links))] == [code.tolist(), doc.tolist(), links.tolist()]
+
+
+def test_quick_cuts_are_the_librarys():
+    cutters = alignment.Cutters(tuple(open(p, "rb").read() for p in (FIRST, SECOND)))
+    points = [chr(c) for c in range(0, 0x30000, 7) if not 0xD800 <= c <= 0xDFFF]
+    for at in range(0, len(points), 500):
+        text = "".join(f"a{c}b {c}1{c}. {c}{c} x" for c in points[at : at + 500])
+        assert cutters.quick.encode_ordinary(text) == cutters.first.encode(text, add_special_tokens=False).ids
+    for text in ("x" + " " * 1_000_000 + "y", "\n" * 99_999, "ab" * 200_000):  # the first breaks the quick one
+        a, b, size = cutters.cut(text)
+        assert a.tolist() == cutters.first.encode(" " + text, add_special_tokens=False).ids and size == len(text) + 1
