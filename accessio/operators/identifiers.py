@@ -57,12 +57,13 @@ def initials_before(context: Column, prefix: Column, matched: Column) -> Column:
     """Initials, the prefix, white space and what the match has after its first blank (or all of it)."""
     at = F.instr(matched, " ")
     rest = F.when(at > 0, F.substr(matched, at + 1)).otherwise(matched)
-    return F.rlike(context, F.concat(F.lit(r"(?iu)(?:\b[A-Z]\.\s*){1,4}"), T.quoted_pattern(prefix), F.lit(r"\s+"), T.quoted_pattern(rest)))
+    return F.contains(context, F.lit(".")) & F.rlike(context, F.concat(F.lit(r"(?iu)(?:\b[A-Z]\.\s*){1,4}"), T.quoted_pattern(prefix), F.lit(r"\s+"), T.quoted_pattern(rest)))
 
 
-def classified(prefix: Column, raw_prefix: Column, matched: Column, context: Column, known: Column, source: Column, about: Column) -> Column:
-    """(rule_name, confidence, include_for_search); the first rule that holds. source, about: the context has such a phrase."""
+def classified(prefix: Column, raw_prefix: Column, matched: Column, context: Column, known: Column) -> Column:
+    """(rule_name, confidence, include_for_search); the first rule that holds. The context is searched only by rules that come to be asked."""
     one = F.char_length(prefix) == 1
+    source, about = T.contains_any(context, SOURCE_PHRASES), T.contains_any(context, CONTEXT_PHRASES)
 
     def result(rule: str, confidence: str, include: str = "yes") -> Column:
         return F.struct(F.lit(rule).alias("rule_name"), F.lit(confidence).alias("confidence"), F.lit(include).alias("include_for_search"))
@@ -80,30 +81,44 @@ def classified(prefix: Column, raw_prefix: Column, matched: Column, context: Col
     )
 
 
+# In a cleaned text a match has a digit in its last word, and begins two words before that at most: a prefix, and
+# a mark that stands alone. Zones are such words together; between two of them stand words without digits.
+_BARE, _NUMBERED = "[^ 0-9]++ ", "[^ 0-9]*+[0-9][^ ]*+"
+ZONE = f"(?<![^ ])(?:{_BARE}){{0,2}}{_NUMBERED}(?: (?:{_BARE}){{0,2}}{_NUMBERED})*+"
+
+
 def all_candidates(text: Column) -> Column:
-    """Every match of every pass, in order, as an array of structs."""
+    """Every match of every pass over a cleaned text, in order, as an array of structs; but none whose identifier the known pass has too, which outranks it.
+
+    One scan of the text finds its zones; the passes look at these alone, and rules
+    are asked for what is left of their matches.
+    """
 
-    def of(pattern: str, known: bool) -> Column:
-        return F.transform(
-            T.matches(text, pattern, 2),
-            lambda m: F.struct(m["text"].alias("raw"), m["g1"].alias("g1"), m["g2"].alias("g2"), T.context(text, m["start"], m["end"]).alias("context"), F.lit(known).alias("known")),
-        )
+    def of(zones: Column, pattern: str, known: bool) -> Column:
+        def shifted(z: Column) -> Column:
+            return F.transform(T.matches(z["text"], pattern, 2), lambda m: F.struct(m["text"].alias("raw"), m["g1"].alias("g1"), m["g2"].alias("g2"), (z["start"] + m["start"]).alias("start"), (z["start"] + m["end"]).alias("end"), F.lit(known).alias("known")))
+
+        return F.flatten(F.transform(zones, shifted))
 
     # one transform after another: a lambda's variable is a value, so nothing is computed twice
     def with_parts(m: Column, i: Column) -> Column:
         prefix, suffix, whole = normal_parts(m["g1"], m["g2"])
-        return F.struct(
-            whole.alias("normalized_identifier"), i.alias("i"), T.clean(m["raw"]).alias("matched_text"), prefix.alias("prefix"), suffix.alias("suffix"),
-            m["context"].alias("context"), m["known"].alias("known"), m["raw"].alias("raw"), m["g1"].alias("g1"),
-            T.contains_any(m["context"], SOURCE_PHRASES).alias("source"), T.contains_any(m["context"], CONTEXT_PHRASES).alias("about"),
-        )
+        return F.struct(whole.alias("normalized_identifier"), i.alias("i"), prefix.alias("prefix"), suffix.alias("suffix"), *[m[c].alias(c) for c in ("start", "end", "known", "raw", "g1")])
+
+    def outranked(every: Column) -> Column:
+        names = F.transform(F.filter(every, lambda m: m["known"]), lambda m: m["normalized_identifier"])
+        return T.once(names, lambda known: F.filter(every, lambda m: m["known"] | ~F.array_contains(known, m["normalized_identifier"])))
+
+    def with_context(m: Column) -> Column:
+        return F.struct(*[m[c].alias(c) for c in ("normalized_identifier", "i", "prefix", "suffix", "known", "raw", "g1")], T.context(text, m["start"], m["end"]).alias("context"))
 
     def with_rule(m: Column) -> Column:
-        rule = classified(m["prefix"], m["g1"], m["raw"], m["context"], m["known"], m["source"], m["about"])
-        kept = [m[c].alias(c) for c in ("normalized_identifier", "i", "matched_text", "prefix", "suffix", "context", "known")]
-        return F.struct(*kept, rule.alias("rule"))
+        rule = classified(m["prefix"], m["g1"], m["raw"], m["context"], m["known"])
+        return F.struct(m["normalized_identifier"].alias("normalized_identifier"), m["i"].alias("i"), T.clean(m["raw"]).alias("matched_text"), *[m[c].alias(c) for c in ("prefix", "suffix", "context", "known")], rule.alias("rule"))
 
-    return F.transform(F.transform(F.concat(*[of(p, k) for p, k in PASSES]), with_parts), with_rule)
+    every = T.once(T.matches(text, ZONE), lambda zones: F.concat(*[of(zones, p, k) for p, k in PASSES]))
+    left = T.once(F.transform(every, with_parts), outranked)
+    return F.transform(F.transform(left, with_context), with_rule)
 
 
 def _rank(c: Column) -> Column:

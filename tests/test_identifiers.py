@@ -76,3 +76,18 @@ def test_empty_rows_switch_and_partitions(spark):
     a = sorted(map(tuple, extract_identifiers(df.repartition(1)).collect()))
     b = sorted(map(tuple, extract_identifiers(df.repartition(7)).collect()))
     assert a == b
+
+
+def test_zones_hold_all_matches(spark, monkeypatch):
+    """The passes over zones find what they find over whole texts."""
+    import random
+
+    r = random.Random(7)
+    parts = ["ICMP", "LMG", "icmp", "ISPAVE-B", "B", "no", "the", "source", "of", "Brown", "A.", "-", ":", "_", "/", ".", ",", ";", "(", ")", "12", "7", "0034", "5a", "ſ", "é", "x1y", "1/ab/2", "ab-cd-3", " ", " ", " ", " ", "  "]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(40))) for _ in range(1500)]
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "ncppb_number string, other_references string").cache()
+    by_zone = sorted(map(tuple, identifiers.extract_identifiers(rows).collect()))
+    monkeypatch.setattr(identifiers, "ZONE", "(?s).+")
+    assert sorted(map(tuple, identifiers.extract_identifiers(rows).collect())) == by_zone
+    assert sum(x[2] != "" for x in by_zone) > 1500
+    rows.unpersist()
