@@ -2,6 +2,7 @@
 
 import pytest
 
+from accessio.operators import identifiers
 from accessio.operators.identifiers import extract_identifiers
 from accessio.schema import IDENTIFIERS
 
