@@ -16,10 +16,12 @@ most frequent words are sent to the workers; all others are joined to the table
 a shuffle, so no two words share a count.
 
 Training is one pass over all documents in ROUNDS rounds, each over a share of
-them: in a round each partition starts from the same parameters and learns in
-numpy by masked prediction, every token masked once; the partitions' parameters
-are averaged by the tokens they saw, FAN of them at a time in a tree, and the next
-round goes on from the average.
+them. A hash of id and text deals documents to rounds and, inside a round, to shards
+of about SHARD tokens: in a round each shard starts from the same parameters and
+learns in numpy by masked prediction, its documents in the order of that hash and
+every token masked once; the shards' parameters are averaged by the tokens they saw,
+FAN of them at a time in a tree, and the next round goes on from the average. So
+what is learnt follows from the documents alone, not from how a table is split.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from accessio.llm.base import bounded_batches, settled, text_of
 
@@ -47,7 +50,11 @@ HIDDEN = 16
 RATE = 0.1
 STEP = 256
 ROUNDS = 4
-#: Partitions whose parameters are averaged at once.
+#: Tokens that learn one after another, about; more input makes more shards.
+SHARD = 1 << 21
+#: Tokens whose order is drawn at once.
+LESSON = 1 << 17
+#: Shards whose parameters are averaged at once.
 FAN = 16
 SEED = 11
 #: Tokens scored at once, and those whose classes' probabilities are.
@@ -329,56 +336,84 @@ def frequent_words(counts: DataFrame) -> tuple[list[bytes], np.ndarray]:
 
 
 def averaged(learnt: DataFrame) -> np.ndarray | None:
-    """The mean of values (arrays of floats, as bytes) by weight over all rows, FAN partitions at a time; null without rows."""
+    """The mean of values (arrays of floats, as bytes) by weight over all shards, FAN at a time, in the order of their numbers; null without rows."""
+
+    def mean(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("shard")
+        weight = float(rows["weight"].sum())
+        total = sum(np.frombuffer(v, np.float32) * np.float64(w) for v, w in zip(rows["values"], rows["weight"], strict=True))
+        return pd.DataFrame({"shard": rows["shard"].iloc[:1] // FAN, "values": [(total / weight).astype(np.float32).tobytes()], "weight": [weight]})
+
+    learnt = settled(learnt)
+    left = learnt.agg(F.max("shard")).first()[0]
+    while left:
+        learnt, left = learnt.groupBy(F.floor(F.col("shard") / FAN)).applyInPandas(mean, "shard long, values binary, weight double"), left // FAN
+    found = learnt.collect()  # one row
+    return np.frombuffer(found[0]["values"], np.float32) if found else None
+
+
+def coded(texts: DataFrame, tokens: int) -> DataFrame:
+    """round, shard, key, codes: the documents' buckets, dealt out and in the order in which each shard learns them. texts: id, text."""
+    shards = max(1, round(tokens / ROUNDS / SHARD))
+    key = F.xxhash64("id", "text")
 
-    def mean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, weight = None, 0.0
+    @pandas_udf("binary")
+    def codes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        memo = Buckets()
         for batch in batches:
-            for values, w in zip(batch["values"], batch["weight"], strict=True):
-                own = np.frombuffer(values, np.float32) * np.float64(w)
-                total, weight = own if total is None else total + own, weight + w
-        if total is not None:
-            yield pd.DataFrame({"values": [(total / weight).astype(np.float32).tobytes()], "weight": [weight]})
-
-    left = learnt.rdd.getNumPartitions()
-    while left > 1:
-        left = -(-left // FAN)
-        learnt = learnt.repartition(left).mapInPandas(mean, "values binary, weight double")
-    found = learnt.collect()
-    return np.frombuffer(found[0]["values"], np.float32) if found else None
+            yield pd.Series([memo.of(t).astype("<u2").tobytes() for t in batch])
+
+    dealt = texts.select(key.alias("key"), F.pmod("key", F.lit(ROUNDS)).cast("int").alias("round"), F.pmod(F.shiftright("key", 8), F.lit(shards)).alias("shard"), codes(F.col("text")).alias("codes"))
+    return dealt.where(F.octet_length("codes") > 0).repartition("round", "shard").sortWithinPartitions("round", "shard", "key", "codes")
 
 
-def train(texts: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
-    """The network after one pass over all texts, in ROUNDS rounds over the texts that a hash deals to each."""
-    net = initial(vocabulary)
+def train(texts: DataFrame, vocabulary: Vocabulary, tokens: int) -> dict[str, np.ndarray]:
+    """The network after one pass over all texts. texts: id, text; tokens: how many there are."""
+    net, dealt = initial(vocabulary), settled(coded(texts, tokens))
     for number in range(ROUNDS):
         sent = texts.sparkSession.sparkContext.broadcast((vocabulary, net))
 
         def fit(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             known, start = sent.value
-            memo, own, seen = Buckets(), {k: v.copy() for k, v in start.items()}, 0
-            for batch in batches:
-                buckets = [memo.of(t) for t in batch["text"]]
-                target, context = lessons([known.class_of[b] for b in buckets])
+            shard, own, seen, held, size = None, None, 0, [], 0
+
+            def lesson() -> None:
+                target, context = lessons([known.class_of[b] for b in held])
                 learn(own, target, context)
-                part = known.part_of[np.concatenate([*buckets, np.empty(0, np.int32)])]
+                part = known.part_of[np.concatenate(held)]
                 learn_parts(own, target, part[shuffled(len(part))], context)
-                seen += len(target)
-            if seen:
-                yield pd.DataFrame({"values": [flat(own).astype(np.float32).tobytes()], "weight": [float(seen)]})
 
-        dealt = texts.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == number)
-        found = averaged(dealt.select("text").mapInPandas(fit, "values binary, weight double"))
+            def ended() -> pd.DataFrame:
+                if held:
+                    lesson()
+                return pd.DataFrame({"shard": [shard], "values": [flat(own).astype(np.float32).tobytes()], "weight": [float(seen)]})
+
+            for batch in batches:
+                for s, codes in zip(batch["shard"], batch["codes"], strict=True):
+                    if s != shard:
+                        if shard is not None:
+                            yield ended()
+                        shard, own, seen, held, size = s, {k: v.copy() for k, v in start.items()}, 0, [], 0
+                    held.append(np.frombuffer(codes, "<u2").astype(np.int32))
+                    size, seen = size + len(held[-1]), seen + len(held[-1])
+                    if size >= LESSON:
+                        lesson()
+                        held, size = [], 0
+            if shard is not None:
+                yield ended()
+
+        found = averaged(dealt.where(F.col("round") == number).select("shard", "codes").mapInPandas(fit, "shard long, values binary, weight double"))
         net = net if found is None else shaped(found)
         sent.unpersist()
     return net
 
 
 def learnt(texts: DataFrame) -> tuple[Vocabulary, dict[str, np.ndarray], DataFrame]:
-    """Vocabulary, network and word counts of a corpus. texts: text."""
+    """Vocabulary, network and word counts of a corpus. texts: id, text."""
     counts = settled(count_words(texts))
-    vocabulary = Vocabulary.from_counts(bucket_counts(counts))
-    return vocabulary, train(texts, vocabulary), counts
+    buckets = bucket_counts(counts)
+    vocabulary = Vocabulary.from_counts(buckets)
+    return vocabulary, train(texts, vocabulary, int(buckets.sum())), counts
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

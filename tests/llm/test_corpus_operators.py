@@ -314,7 +314,7 @@ def test_scores_by_brute_force(spark, monkeypatch, frequent):
     monkeypatch.setattr(scoring, "FREQUENT", frequent)
     texts = [*prose(30, 61), "", None, "Alone", "the cat sat\ton\x0bthe mat " * 4000, *["the end of it"] * 8]
     docs = documents(spark, texts)
-    vocabulary, net, counted = scoring.learnt(docs.select(F.coalesce("text", F.lit("")).alias("text")))
+    vocabulary, net, counted = scoring.learnt(docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")))
     counts = {bytes(r.word): r.n for r in counted.collect()}
     words = [(t or "").lower().encode().split() for t in texts]
     assert counts == Counter(w for ws in words for w in ws)
@@ -368,11 +368,26 @@ def test_parts_are_normed_and_learnt():
 
 def test_averages_in_a_tree(spark, monkeypatch):
     monkeypatch.setattr(scoring, "FAN", 2)
-    rows = spark.range(23, numPartitions=7).rdd.map(lambda r: (bytearray(np.array([r.id, 1.0], np.float32).tobytes()), float(r.id))).toDF("values binary, weight double")
+    rows = spark.range(23, numPartitions=7).rdd.map(lambda r: (r.id, bytearray(np.array([r.id, 1.0], np.float32).tobytes()), float(r.id))).toDF("shard long, values binary, weight double")
     assert scoring.averaged(rows).tolist() == pytest.approx([sum(k * k for k in range(23)) / sum(range(23)), 1.0])
     assert scoring.averaged(rows.limit(0)) is None
 
 
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    """What is learnt follows from the documents: shards, their order and their averages are the same for any split."""
+    monkeypatch.setattr(scoring, "SHARD", 1500)
+    monkeypatch.setattr(scoring, "LESSON", 400)
+    monkeypatch.setattr(scoring, "FAN", 2)
+    texts = [*prose(250, 71), "", None, *["the same text again and again"] * 40]
+    docs = documents(spark, texts)
+    one, many = (
+        {r.doc_id: (r.n_tokens, r.log_likelihood) for r in scoring.score_documents(df).collect()} for df in (docs.coalesce(1), docs.orderBy(F.rand(3)).repartition(8))
+    )
+    tokens = sum(n for n, _ in one.values())
+    assert tokens > 4 * scoring.ROUNDS * scoring.SHARD / 2  # several shards a round
+    assert one.keys() == many.keys() and all(one[k][0] == many[k][0] and one[k][1] == pytest.approx(many[k][1], rel=1e-5, abs=1e-5) for k in one)
+
+
 def test_every_token_is_learnt_from():
     classes = [np.arange(k, dtype=np.int16) for k in (0, 1, 5, 100)]
     target, context = scoring.lessons(classes)
