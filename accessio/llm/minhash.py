@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from accessio.llm.base import BROADCAST_ROWS, bounded_batches, by_row, numbered, renamed, settled, text_of
+from accessio.llm.base import bounded_batches, by_row, numbered, renamed, settled, text_of, with_key
 from accessio.llm.components import components
 
 WORDS = 2
@@ -51,8 +51,6 @@ CHUNK = 4096
 MEMO = 1_000_000
 #: Rows of one key that meet one row of the other side in a join.
 SLICE = 1000
-#: Parts that a key is cut into where its size isn't known.
-SALTS = 16
 OUTPUTS = ("n_shingles", "component_id", "kept")
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -204,14 +202,6 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return _met(pairs, sets).where(100 * both >= SIMILARITY * every).select("u", "v")
 
 
-def with_key(rows: DataFrame, few: DataFrame, keys: list[str], spread: Column, how: str = "inner") -> DataFrame:
-    """rows joined with few (settled, one row a key): broadcast up to BROADCAST_ROWS, else by a shuffle in which spread cuts each key's rows into SALTS parts."""
-    if few.count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(few), keys, how)
-    salted = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), [*keys, "salt"], how).drop("salt")
-
-
 #: Sets x and y are similar enough just if MORE * |x ^ y| <= LESS * (|x| + |y|).
 LESS, MORE = 100 - SIMILARITY, 100 + SIMILARITY
 

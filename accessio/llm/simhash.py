@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from accessio.llm.base import bounded_batches, by_row, numbered, renamed, settled, text_of
+from accessio.llm.base import bounded_batches, by_row, numbered, renamed, settled, text_of, with_key
 from accessio.llm.components import components
 
 BITS = 64
@@ -270,16 +270,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bounded_batches(docs.sparkSession)
     text = text_of(text_col)
     marked = settled(docs.select(F.col(id_col).alias("id"), (F.xxhash64(F.col(id_col), text) if key is None else key).alias("row_key"), fingerprints(text).alias("fp")))
-    nodes = settled(marked.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(links(nodes, nodes.count()))
-    rooted = nodes.join(roots, nodes["fp"] == roots["vertex"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    final = rooted.join(named, "root").select("fp", "root", "component_id")
-    return marked.join(final, "fp").select(
+    nodes = settled(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")))
+    found = components(links(nodes, nodes.count()))
+    roots = found.unionByName(found.select(F.col("root").alias("vertex"), "root").distinct())
+    # a row that is a component of its own needs no look at others
+    rooted = settled(nodes.join(roots, nodes["fp"] == roots["vertex"], "left").where("root IS NOT NULL OR copies > 1").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    named = settled(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    shared = settled(with_key(rooted, named, ["root"], F.col("fp")).select("fp", "root", "component_id"))
+    own = F.col("root").isNull()
+    return with_key(marked, shared, ["fp"], F.struct("id", "row_key"), "left").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        "component_id",
-        F.col("root").alias("component_fp"),
+        F.when(own, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.coalesce("root", "fp").alias("component_fp"),
         "row_key",
     )
 

@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from accessio.llm import alignment, minhash, resampling
+from accessio.llm import alignment, base, minhash, resampling
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -79,7 +79,7 @@ def near_rows():
 
 @pytest.mark.parametrize("few", [1_000_000, 0])
 def test_near_duplicates(spark, few, monkeypatch):
-    monkeypatch.setattr(minhash, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(base, "BROADCAST_ROWS", few)
     monkeypatch.setattr(minhash, "SLICE", 7)
     rows = near_rows()
     docs = documents(spark, rows).repartition(5).withColumn("Kept", F.lit(1)).withColumn("row", F.lit(2)).withColumn("n_shingles", F.lit(3))
