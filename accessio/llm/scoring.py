@@ -30,6 +30,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -59,8 +60,6 @@ FAN = 16
 SEED = 11
 #: Tokens scored at once, and those whose classes' probabilities are.
 CHUNK, BLOCK = 1 << 14, 1 << 10
-#: Words whose buckets a Python worker remembers.
-MEMO = 500_000
 #: Words whose counts are sent to the workers, at most; the others' are joined.
 FREQUENT = 1 << 17
 #: Different words that a Python worker counts before it hands them on.
@@ -68,40 +67,25 @@ HELD = 200_000
 SHAPES = {"embed": (2 * SIDE, CLASSES + 1, HIDDEN), "hidden": (HIDDEN,), "out": (HIDDEN, CLASSES), "bias": (CLASSES,), "inner": (CLASSES - SINGLE, HIDDEN, PARTS), "inner_bias": (CLASSES - SINGLE, PARTS)}
 
 
-class Buckets(dict):
-    """Word -> bucket."""
+def buckets_of(words: list[bytes]) -> np.ndarray:
+    return (np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % BUCKETS).astype(np.int32)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMO:
-            self.clear()
-        found = zlib.crc32(word) % BUCKETS
-        if len(word) < 64:
-            self[word] = found
-        return found
 
-    def of(self, text: str) -> np.ndarray:
-        words = words_of(text)
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
-
-
-class Codes(dict):
-    """Word -> its place among the frequent words, or their number plus its bucket."""
+class Codes:
+    """Codes of words: their places among the frequent ones, or their number plus the bucket."""
 
     def __init__(self, frequent: list[bytes]):
-        self.frequent = frequent
-        self.refill()
+        self.place = dict(zip(frequent, range(len(frequent)), strict=True)).get
+        self.number = len(frequent)
 
-    def refill(self) -> None:
-        self.clear()
-        self.update(zip(self.frequent, range(len(self.frequent)), strict=True))
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMO + len(self.frequent):
-            self.refill()
-        found = len(self.frequent) + zlib.crc32(word) % BUCKETS
-        if len(word) < 64:
-            self[word] = found
-        return found
+    def of(self, text: str) -> tuple[np.ndarray, list[bytes]]:
+        """The codes, and the words that aren't frequent."""
+        words = words_of(text)
+        codes = np.fromiter(map(self.place, words, repeat(-1)), np.int32, len(words))
+        others = np.flatnonzero(codes < 0)
+        rare = [words[k] for k in others.tolist()]
+        codes[others] = self.number + buckets_of(rare)
+        return codes, rare
 
 
 def words_of(text: str) -> list[bytes]:
@@ -359,9 +343,8 @@ def coded(texts: DataFrame, tokens: int) -> DataFrame:
 
     @pandas_udf("binary")
     def codes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memo = Buckets()
         for batch in batches:
-            yield pd.Series([memo.of(t).astype("<u2").tobytes() for t in batch])
+            yield pd.Series([buckets_of(words_of(t)).astype("<u2").tobytes() for t in batch])
 
     dealt = texts.select(key.alias("key"), F.pmod("key", F.lit(ROUNDS)).cast("int").alias("round"), F.pmod(F.shiftright("key", 8), F.lit(shards)).alias("shard"), codes(F.col("text")).alias("codes"))
     return dealt.where(F.octet_length("codes") > 0).repartition("round", "shard").sortWithinPartitions("round", "shard", "key", "codes")
@@ -433,17 +416,16 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, model, frequent, times = sent.value
         memo = Codes(frequent)
-        bucket_of = np.concatenate([np.fromiter((zlib.crc32(w) % BUCKETS for w in frequent), np.int64, len(frequent)), np.arange(BUCKETS)])
+        bucket_of = np.concatenate([buckets_of(frequent), np.arange(BUCKETS)])
         class_of, part_of = known.class_of[bucket_of], known.part_of[bucket_of]
         # without the words' own counts where these are joined
         share = (known.log_in_part - known.log_count)[bucket_of] + np.concatenate([np.log(times), np.zeros(BUCKETS)])
         for batch in batches:
             found, rare = [], []
             for text in batch["text"]:
-                words = words_of(text)
-                codes = np.fromiter(map(memo.__getitem__, words), np.int32, len(words))
+                codes, others = memo.of(text)
                 found.append(codes)
-                rare.append([words[k] for k in np.flatnonzero(codes >= len(frequent))])
+                rare.append(others)
             target, context = windows([class_of[c] for c in found])
             every = np.concatenate([*found, np.empty(0, np.int32)])
             logs = np.concatenate([[0.0], np.cumsum(token_logs(model, target, context, part_of[every]) + share[every], dtype=np.float64)])
