@@ -34,7 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -256,25 +256,49 @@ def doubled(word: str) -> list[str]:
 Bags = list[tuple[set[str], int]]
 
 
-def train(bags: Bags, seed: int = 5) -> Model | None:
-    """bags: the words and label of each document. None unless both labels occur."""
+def judged(bags: Bags, part: np.ndarray, k: int, seed: int) -> tuple[Model | None, np.ndarray, np.ndarray]:
+    """The machine that learns from all parts but the k-th (from all, if there is none), that part's documents and their highest margins."""
+    own = np.flatnonzero(part == k)
+    judge = machine([b for b, i in zip(bags, part, strict=True) if i != k], seed) or machine(bags, seed)
+    top = np.empty((len(own), HIGHEST))
+    if judge is not None and len(own):
+        every = sorted({w for i in own for w in bags[i][0]})
+        margin = dict(zip(every, judge.margins(every).tolist(), strict=True))
+        for row, i in enumerate(own):
+            top[row] = highest(margin[w] for w in bags[i][0])
+    return judge, own, top
+
+
+def train(bags: Bags, spark: SparkSession, seed: int = 5) -> Model | None:
+    """bags: the words and label of each document. None unless both labels occur.
+
+    The machine for all documents and those for the parts learn in a task each.
+    """
     bags = distinct_bags(bags)
-    whole = machine(bags, seed)
-    if whole is None:
+    if {label for _, label in bags} != {0, 1}:
         return None
     part = np.random.default_rng(seed).permutation(len(bags)) % PARTS  # labels can follow a pattern of the ids
+    sent = spark.sparkContext.broadcast((bags, part))
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in batch["id"]:
+                judge, own, top = judged(*sent.value, k, seed)
+                weights = judge.weights.tobytes() if judge is not None and k == PARTS else b""
+                yield pd.DataFrame({"k": [k], "weights": [weights], "bias": [judge.bias if judge is not None else 0.0], "own": [own.tolist()], "top": [top.ravel().tolist()]})
+
+    found = {r.k: r for r in spark.range(0, PARTS + 1, 1, PARTS + 1).mapInPandas(learn, "k long, weights binary, bias double, own array<long>, top array<double>").collect()}
+    sent.destroy()
+    whole = found[PARTS]
+    if not whole["weights"]:
+        return None
     top = np.empty((len(bags), HIGHEST))
     for k in range(PARTS):
-        judge = machine([b for b, i in zip(bags, part, strict=True) if i != k], seed) or whole
-        own = np.flatnonzero(part == k)
-        every = sorted({w for i in own for w in bags[i][0]})
-        margin = dict(zip(every, judge.margins(every).tolist(), strict=True))
-        for i in own:
-            top[i] = highest(margin[w] for w in bags[i][0])
+        top[found[k].own] = np.array(found[k].top).reshape(-1, HIGHEST)
     y = np.array([float(label) for _, label in bags])
     cuts = {(cap, n): calibrated(np.minimum(top[:, :n], cap).sum(axis=1), y) for cap in CAPS for n in range(1, HIGHEST + 1)}
     cap, count = max(cuts, key=lambda c: (cuts[c][0], -c[1], c[0]))
-    return Model(whole.weights, whole.bias, count, *cuts[cap, count][1:], cap)
+    return Model(np.frombuffer(whole["weights"], np.float32), whole["bias"], count, *cuts[cap, count][1:], cap)
 
 
 def machine(bags: Bags, seed: int) -> Model | None:
@@ -400,7 +424,7 @@ def learnt(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     while rows:  # a row's text goes as its words come
         row = rows.pop()
         bags.append((set(map(sys.intern, row.words.split(" "))) - {""}, int(row.label)))  # one string a word, not a document
-    return train(bags)
+    return train(bags, docs.sparkSession)
 
 
 def score_column(docs: DataFrame, model: Model | None, text_col: str = "text") -> Column:

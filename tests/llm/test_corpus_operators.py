@@ -460,6 +460,49 @@ def test_peaks_find_a_tone(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, media.fingerprint(samples), strict=True))
 
 
+def plain_feature(samples):
+    """Peaks and pairs by the definition, sample by sample, in doubles."""
+    n, hop, frame = len(samples), media.HOP, media.FRAME
+    count = -(-n // hop) + 1
+    line = [float(round(float(np.mean(samples))))] * ((count - 1) * hop + frame)
+    line[frame - hop : frame - hop + n] = [float(x) for x in samples]
+    window = [0.5 - 0.5 * math.cos(2 * math.pi * i / (frame - 1)) for i in range(frame)]
+    turns = np.exp(-2j * np.pi * np.outer(np.arange(frame // 2 + 1), np.arange(frame)) / frame)
+    power = []
+    for k in range(count):
+        part = [x - 128 for x in line[k * hop : k * hop + frame]]
+        mean = sum(x * w for x, w in zip(part, window)) / sum(window)
+        power.append([0.0, *np.abs(turns @ [(x - mean) * w for x, w in zip(part, window)])[1:]])
+    found = []
+    for k, p in enumerate(power):
+        band = max(range(len(p)), key=lambda b: (p[b], -b))
+        before, after = (power[j][band] if 0 <= j < count else 0.0 for j in (k - 1, k + 1))
+        if p[band] > media.QUIET and p[band] >= before and p[band] > after:
+            found.append((k, band))
+    if len(found) == 1:
+        found *= 2
+    pairs = [(t, a << 12 | b << 5 | u - t) for i, (t, a) in enumerate(found) for u, b in found[i + 1 : i + 1 + media.FAN] if u - t <= media.SPAN]
+    return [list(x) for x in zip(*sorted(pairs))] or [[], []]
+
+
+def test_fingerprint_by_brute_force(spark):
+    texts = [*prose(25, 14), "", "A.", "w" * 200 + "?", "é ü" * 100, *["".join(chr(c) for c in np.random.default_rng(k).integers(33, 127, 700)) for k in range(5)]]
+    rows = media.media_column(documents(spark, texts)).orderBy("doc_id").collect()
+    for r, t in zip(rows, texts, strict=True):
+        assert [r.times, r.codes] == plain_feature(list(media.padded(t.encode()))), t
+
+
+def test_empty_tables_alone(spark):
+    docs = documents(spark, ["x"]).limit(0)
+    import public_tokenizers
+
+    from accessio.llm import pii
+
+    assert tokens.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).collect() == []
+    assert media.media_column(docs).collect() == [] == pii.find_private(docs).collect()
+    assert simhash.near_duplicates(docs).collect() == [] == scoring.score_documents(docs).collect()
+
+
 # Toxicity ----------------------------------------------------------------------------------------
 
 
@@ -522,7 +565,33 @@ def test_toxicity(spark, labelled):
     assert kept.columns == docs.columns and kept.count() == sum(1 - r.predicted for r in rows)
 
 
-def test_inflected_insults():
+def test_scores_of_documents_by_brute_force(spark, labelled):
+    """A document's score from its words' margins, each the sum over the word's letter triples."""
+    docs, labels = labelled
+    model = toxicity.learnt(docs, labels)
+    rows = toxicity.score_toxicity(docs, model).collect()
+
+    def margin(word):
+        c = [ord(x) - 97 if "a" <= x <= "z" else 31 if x == toxicity.START else 26 + ord(x) % 5 for x in toxicity.START + word]
+        features = Counter()
+        for i in range(len(c)):
+            for j in range(i + 1, len(c)):
+                for k in range(j + 1, len(c)):
+                    features[c[i] << 10 | c[j] << 5 | c[k]] += toxicity.DECAY ** (k - i + 1)
+        length = math.sqrt(sum(v * v for v in features.values()))
+        return sum(float(model.weights[f]) * v / length for f, v in features.items()) + model.bias
+
+    known = {}
+    for r in rows[:60]:
+        for w in toxicity.units(r.text or ""):
+            known[w] = known[w] if w in known else margin(w)
+        top = sorted((known[w] for w in toxicity.units(r.text or "")), reverse=True)[: model.count]
+        top = [min(max(x, toxicity.FLOOR), model.cap) for x in top] + [min(toxicity.FLOOR, model.cap)] * (model.count - len(top))
+        x = min(30, max(-30, model.slope * sum(top) + model.intercept))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-x)), rel=1e-3, abs=1e-6) and r.predicted == int(r.score >= 0.7)
+
+
+def test_inflected_insults(spark):
     """Insults that share a start only, none frequent enough as a word; one such word in a clean document is chance."""
     r = random.Random(31)
     ends = [x + y for x in "bdfgklmnprst" for y in ("a", "e", "i", "o", "u", "an", "er", "ol")]
@@ -534,7 +603,7 @@ def test_inflected_insults():
         bags.append((words | {"zolvu" + e for e in hits}, int(toxic)))
     learn, held = bags[:600], bags[600:]
     assert "zolvu" in toxicity.tied_starts([w for w, y in learn if y], [w for w, y in learn if not y])
-    model = toxicity.train(learn)
+    model = toxicity.train(learn, spark)
     got = []
     for words, _ in held:
         ordered = sorted(words)
