@@ -8,6 +8,7 @@ import json
 import os
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 from accessio.steps import STEPS
@@ -38,6 +39,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except ValueError as problem:  # a table without rows
         print(problem, file=sys.stderr)
         return 1
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        print(f"input not found: {problem.getMessageParameters()['path']}", file=sys.stderr)
+        return 1
     print(json.dumps(counts))
     return 0
 

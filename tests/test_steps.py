@@ -67,5 +67,7 @@ def test_all_steps(spark, step, tmp_path):
 def test_tables_without_rows(step, tmp_path):
     (tmp_path / "empty.csv").write_text("ncppb_number,other_references\n")
     assert step("identifiers", "--input", tmp_path / "empty.csv", "--output", tmp_path / "out.csv").startswith("no references in ")
+    for name in ("identifiers", "records", "terms"):
+        assert step(name, "--input", tmp_path / "none.csv", "--output", tmp_path / "out.csv").startswith("input not found: ")
     with pytest.raises(SystemExit):
         main(["identifiers", "--output", "x"])
