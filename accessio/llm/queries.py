@@ -134,5 +134,37 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(12 + length(role) + 1 + length(replace(replace(text, '\', '\b'), '<|', '<\p')) + 11) AS BIGINT) AS formatted_chars,
   bool_and(coalesce(before, 'start') || '>' || role IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user')) AS valid
 FROM linked GROUP BY conv_id
+""",
+    "op12_resampling": r"""
+WITH crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 1, 1, 1, 1, 1, 1, 1, 1], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) AS r(i))),
+texts AS (SELECT 's' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 't', 0, text FROM benchmark),
+worded AS (SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+runs AS (SELECT side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f FROM worded),
+counted AS (SELECT side, id, f, count(*) AS n FROM runs GROUP BY ALL),
+bytes AS (SELECT f, list_transform(range(len(hex(f)) // 2), lambda i: strpos('0123456789ABCDEF', substr(hex(f), 2 * i + 1, 1)) * 16 + strpos('0123456789ABCDEF', substr(hex(f), 2 * i + 2, 1)) - 17) AS b FROM (SELECT DISTINCT f FROM counted)),
+bucketed AS (SELECT f, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) % 10000 AS bucket FROM bytes, crc),
+totals AS (SELECT bucket, coalesce(sum(n) FILTER (side = 's'), 0) AS s, coalesce(sum(n) FILTER (side = 't'), 0) AS t FROM counted JOIN bucketed USING (f) GROUP BY 1),
+alls AS (SELECT CAST(sum(s) AS DOUBLE) AS s_all, CAST(sum(t) AS DOUBLE) AS t_all FROM totals),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000)))) AS BIGINT) AS gain FROM totals, alls),
+weighed AS (SELECT id, sum(n) AS n_features, sum(n * gain) AS weight FROM counted JOIN bucketed USING (f) JOIN gains USING (bucket) WHERE side = 's' GROUP BY 1),
+scored AS (SELECT id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || id), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS score FROM worded LEFT JOIN weighed USING (id) WHERE side = 's'),
+drawn AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank, 5 * count(*) OVER () // 100 AS most FROM scored WHERE n_words >= 20)
+SELECT s.id AS doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CASE WHEN rank <= most THEN rank END AS rank FROM scored s LEFT JOIN drawn d ON s.id = d.id
+""",
+    "op13_minhash": r"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS s FROM docs),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS item FROM sets),
+classes AS (SELECT md5(array_to_string(list_sort(s), chr(10))) AS d, min(doc_id) AS doc_id FROM sets WHERE len(s) > 0 GROUP BY 1),
+few AS (SELECT i.* FROM items i JOIN classes USING (doc_id)),
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, a.n AS nu, b.n AS nv, count(*) AS shared FROM few a JOIN few b ON a.item = b.item AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+links AS (SELECT u, v FROM pairs WHERE 100 * shared >= 80 * (nu + nv - shared)),
+sides AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach AS (SELECT doc_id AS u, doc_id AS root FROM classes UNION SELECT s.v, r.root FROM reach r JOIN sides s ON s.u = r.u WHERE r.root < s.v),
+roots AS (SELECT u, min(root) AS root FROM reach GROUP BY 1),
+of_class AS (SELECT d, root FROM classes JOIN roots ON u = doc_id)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(root, doc_id) = doc_id AS kept
+FROM sets LEFT JOIN of_class ON d = md5(array_to_string(list_sort(s), chr(10))) AND len(s) > 0
 """,
 }
