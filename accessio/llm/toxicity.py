@@ -17,9 +17,10 @@ chance explains, or start as several of their words do and those of clean
 documents don't, as do the same words with a letter put in. Each round adds the
 clean words that the machine scores highest. A document scores what its highest
 words score together, each up to a cap, as one word of a long clean document can
-start like an insult by chance. Machines that have not seen a document judge it:
-their scores of all learning documents tell how many words count, one to three,
-what the cap is, and at which cut the sum becomes the threshold's probability.
+start like an insult by chance; and less the more words it has, as chance grows with
+them. Machines that have not seen a document judge it: their scores of all learning
+documents tell how many words count, one to three, what the cap is, what length
+takes off, and at which cut the sum becomes the threshold's probability.
 """
 
 from __future__ import annotations
@@ -66,6 +67,8 @@ DISGUISED = 100
 STARTS, IN_WORDS = range(3, 9), 2
 #: A document is judged by so many of its highest words at most; each counts FLOOR at least and one of CAPS at most.
 HIGHEST, FLOOR, CAPS = 3, -0.2, (1.5, 2.0, 3.0)
+#: What a document loses for each factor of e that it has more different words than SHORT.
+LENGTHS, SHORT = (0.0, 0.2, 0.4, 0.7), 30
 #: Clean documents above the cut weigh so much against toxic ones.
 CLEAN_COST = 2.0
 #: Words whose scores a Python worker remembers; it starts anew when full.
@@ -161,7 +164,7 @@ def against(words: list[str], weights: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """A word's margin is its normed features times weights plus bias; slope and intercept make the sum of a document's `count` highest, each up to cap, a probability."""
+    """A word's margin is its normed features times weights plus bias; slope and intercept make the sum of a document's `count` highest, each up to cap, less what its length takes off, a probability."""
 
     weights: np.ndarray
     bias: float
@@ -169,13 +172,14 @@ class Model:
     slope: float
     intercept: float
     cap: float = np.inf
+    length: float = 0.0
 
     def margins(self, words: list[str]) -> np.ndarray:
         return against(marked(words), self.weights[:, None])[:, 0] + self.bias if words else np.empty(0)
 
-    def probability(self, margins: Iterable[float]) -> float:
-        """Of a document with these word margins."""
-        x = np.minimum(highest(margins)[: self.count], self.cap).sum()
+    def probability(self, margins: Iterable[float], words: int) -> float:
+        """Of a document with these word margins and so many different words."""
+        x = np.minimum(highest(margins)[: self.count], self.cap).sum() - self.length * longer(words)
         return float(1 / (1 + np.exp(-np.clip(self.slope * x + self.intercept, -30, 30))))
 
 
@@ -185,6 +189,11 @@ def highest(margins: Iterable[float]) -> np.ndarray:
     return np.maximum(np.array(top + [FLOOR] * (HIGHEST - len(top))), FLOOR)
 
 
+def longer(words: int | np.ndarray) -> np.ndarray:
+    """How much longer a document is than a short one, as a logarithm."""
+    return np.log(np.maximum(words, SHORT) / SHORT)
+
+
 def support_vectors(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-5, steps: int = STEPS) -> np.ndarray:
     """A linear machine with squared hinge loss, by accelerated gradient steps; the last column of z is 1."""
     u = v = np.zeros(z.shape[1], z.dtype)
@@ -240,7 +249,7 @@ def tied_starts(toxic: list[set[str]], clean: list[set[str]]) -> dict[str, float
     return ties(a, b, len(toxic), len(clean))
 
 
-def disguises(word: str, rng: np.random.Generator, count: int = 4) -> list[str]:
+def disguises(word: str, rng: np.random.Generator, count: int = 16) -> list[str]:
     """The word with one letter put in, at random places."""
     out = []
     for _ in range(count):
@@ -295,10 +304,10 @@ def train(bags: Bags, spark: SparkSession, seed: int = 5) -> Model | None:
     top = np.empty((len(bags), HIGHEST))
     for k in range(PARTS):
         top[found[k].own] = np.array(found[k].top).reshape(-1, HIGHEST)
-    y = np.array([float(label) for _, label in bags])
-    cuts = {(cap, n): calibrated(np.minimum(top[:, :n], cap).sum(axis=1), y) for cap in CAPS for n in range(1, HIGHEST + 1)}
-    cap, count = max(cuts, key=lambda c: (cuts[c][0], -c[1], c[0]))
-    return Model(np.frombuffer(whole["weights"], np.float32), whole["bias"], count, *cuts[cap, count][1:], cap)
+    y, more = np.array([float(label) for _, label in bags]), longer(np.array([len(words) for words, _ in bags]))
+    cuts = {(cap, n, length): calibrated(np.minimum(top[:, :n], cap).sum(axis=1) - length * more, y) for cap in CAPS for n in range(1, HIGHEST + 1) for length in LENGTHS}
+    cap, count, length = max(cuts, key=lambda c: (cuts[c][0], -c[1], c[0], -c[2]))
+    return Model(np.frombuffer(whole["weights"], np.float32), whole["bias"], count, *cuts[cap, count, length][1:], cap, length)
 
 
 def machine(bags: Bags, seed: int) -> Model | None:
@@ -390,7 +399,7 @@ class Scorer:
         fresh = list({w for words in bags for w in words} - self.known.keys())
         self.known.update(zip(fresh, self.model.margins(fresh).tolist(), strict=True))
         known = self.known
-        return [self.model.probability(map(known.__getitem__, words)) for words in bags]
+        return [self.model.probability(map(known.__getitem__, words), len(words)) for words in bags]
 
 
 #: The scorer of the model used last in this worker.

@@ -587,7 +587,8 @@ def test_scores_of_documents_by_brute_force(spark, labelled):
             known[w] = known[w] if w in known else margin(w)
         top = sorted((known[w] for w in toxicity.units(r.text or "")), reverse=True)[: model.count]
         top = [min(max(x, toxicity.FLOOR), model.cap) for x in top] + [min(toxicity.FLOOR, model.cap)] * (model.count - len(top))
-        x = min(30, max(-30, model.slope * sum(top) + model.intercept))
+        long = model.length * math.log(max(len(toxicity.units(r.text or "")), toxicity.SHORT) / toxicity.SHORT)
+        x = min(30, max(-30, model.slope * (sum(top) - long) + model.intercept))
         assert r.score == pytest.approx(1 / (1 + math.exp(-x)), rel=1e-3, abs=1e-6) and r.predicted == int(r.score >= 0.7)
 
 
@@ -607,7 +608,7 @@ def test_inflected_insults(spark):
     got = []
     for words, _ in held:
         ordered = sorted(words)
-        got.append(model.probability(model.margins(ordered)) >= toxicity.THRESHOLD)
+        got.append(model.probability(model.margins(ordered), len(words)) >= toxicity.THRESHOLD)
     truth = [y == 1 for _, y in held]
     assert sum(g and t for g, t in zip(got, truth)) >= 0.9 * sum(truth)
     assert not any(g and not t for g, t in zip(got, truth))
