@@ -61,9 +61,9 @@ SEED = 11
 #: Tokens scored at once, and those whose classes' probabilities are.
 CHUNK, BLOCK = 1 << 14, 1 << 10
 #: Words whose counts are sent to the workers, at most; the others' are joined.
-FREQUENT = 1 << 17
+FREQUENT = 1 << 18
 #: Different words that a Python worker counts before it hands them on.
-HELD = 200_000
+HELD = 600_000
 SHAPES = {"embed": (2 * SIDE, CLASSES + 1, HIDDEN), "hidden": (HIDDEN,), "out": (HIDDEN, CLASSES), "bias": (CLASSES,), "inner": (CLASSES - SINGLE, HIDDEN, PARTS), "inner_bias": (CLASSES - SINGLE, PARTS)}
 
 
