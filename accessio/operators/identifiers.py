@@ -5,6 +5,8 @@ All of it is one projection: a text's matches, rules and merge stay in its row.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +39,8 @@ KNOWN = f"{_ALONE}((?iu:{'|'.join(sorted(KNOWN_PREFIXES, key=len, reverse=True))
 GENERAL = f"{_ALONE}([{_LETTER}]{{1,10}}+(?:[-/][{_LETTER}]{{1,10}}+)*+){_SEP}([0-9][{_LETTER}0-9]*+(?:[/.-][{_LETTER}0-9]++)*+){_ENDED}"
 AFTER_DIGITS = f"{_ALONE}[0-9]++[/-]([{_LETTER}]{{1,10}}+)[/-]([0-9][{_LETTER}0-9.-]*){_ENDED}"
 AFTER_LETTERS = f"{_ALONE}[{_LETTER}]{{1,10}}+[-/]([{_LETTER}]{{1,10}}+)[-/]?([0-9][{_LETTER}0-9.-]*){_ENDED}"
-PASSES = ((KNOWN, True), (GENERAL, False), (AFTER_DIGITS, False), (AFTER_LETTERS, False))
+#: (pattern, known pass, marks of which a match has one)
+PASSES = ((KNOWN, True, ""), (GENERAL, False, ""), (AFTER_DIGITS, False, "-/"), (AFTER_LETTERS, False, "-/"))
 
 
 def normal_parts(prefix: Column, suffix: Column) -> tuple[Column, Column, Column]:
@@ -94,11 +97,13 @@ def all_candidates(text: Column) -> Column:
     are asked for what is left of their matches.
     """
 
-    def of(zones: Column, pattern: str, known: bool) -> Column:
+    def of(zones: Column, pattern: str, known: bool, marks: str) -> Column:
+        able = F.filter(zones, lambda z: reduce(Column.__or__, [F.contains(z["text"], F.lit(m)) for m in marks])) if marks else zones
+
         def shifted(z: Column) -> Column:
             return F.transform(T.matches(z["text"], pattern, 2), lambda m: F.struct(m["text"].alias("raw"), m["g1"].alias("g1"), m["g2"].alias("g2"), (z["start"] + m["start"]).alias("start"), (z["start"] + m["end"]).alias("end"), F.lit(known).alias("known")))
 
-        return F.flatten(F.transform(zones, shifted))
+        return F.flatten(F.transform(able, shifted))
 
     # one transform after another: a lambda's variable is a value, so nothing is computed twice
     def with_parts(m: Column, i: Column) -> Column:
@@ -116,7 +121,7 @@ def all_candidates(text: Column) -> Column:
         rule = classified(m["prefix"], m["g1"], m["raw"], m["context"], m["known"])
         return F.struct(m["normalized_identifier"].alias("normalized_identifier"), m["i"].alias("i"), T.clean(m["raw"]).alias("matched_text"), *[m[c].alias(c) for c in ("prefix", "suffix", "context", "known")], rule.alias("rule"))
 
-    every = T.once(T.matches(text, ZONE), lambda zones: F.concat(*[of(zones, p, k) for p, k in PASSES]))
+    every = T.once(T.matches(text, ZONE), lambda zones: F.concat(*[of(zones, *x) for x in PASSES]))
     left = T.once(F.transform(every, with_parts), outranked)
     return F.transform(F.transform(left, with_context), with_rule)
 
