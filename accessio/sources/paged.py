@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 from accessio.sources.lookup import MOST_IDS, PAGE, Service
-from accessio.sources.rate import Slots
 
 SCHEMA = "search_term string, place long, uid string, total long"
 
