@@ -41,7 +41,6 @@ from pyspark.sql.functions import pandas_udf
 from accessio.llm.base import bounded_batches, by_row, numbered, renamed, settled, text_of, with_key
 from accessio.llm.components import components
 
-WORDS = 2
 SIMILARITY = 80  # in hundredths
 ROWS, BANDS = 4, 40
 PLACES = ROWS * BANDS
@@ -51,7 +50,6 @@ CHUNK = 4096
 MEMO = 1_000_000
 #: Rows of one key that meet one row of the other side in a join.
 SLICE = 1000
-OUTPUTS = ("n_shingles", "component_id", "kept")
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)

@@ -31,7 +31,6 @@ SCALE = 1000
 LEAST_WORDS = 20
 PERCENT = 5
 SEED = 42
-OUTPUTS = ("n_features", "weight", "score", "rank")
 #: Bits of a digit; so many counts come to the driver at most.
 DIGIT = 12
 #: Words whose features are hashed at once, and words that a Python worker remembers.
