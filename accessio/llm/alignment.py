@@ -39,6 +39,8 @@ GROUPS = 32
 #: Bytes of packed links for a group's salt, about; more input makes more salts.
 SALT_BYTES = 64 << 20
 SALTS = 4
+#: Tasks that add up the salts' matrices.
+ADDERS = 64
 #: Links after which a chunk of documents ends.
 LINKS = 1 << 20
 OUTPUTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
@@ -242,7 +244,8 @@ def _counted(links: DataFrame, ids_a: int, ids_b: int, salts: int) -> DataFrame:
 
     salted = links.withColumn("salt", F.pmod(F.xxhash64("chunk"), F.lit(salts)).cast("int"))
     parts = salted.repartition("stripe", "salt").sortWithinPartitions("stripe", "salt").select("stripe", "salt", "blob").mapInPandas(add, "stripe int, blob binary")
-    return parts.groupBy("stripe").applyInPandas(total, "stripe int, blob binary")
+    # a number of its own, as small partial counts would else be put together in one task
+    return parts.repartition(ADDERS, "stripe").groupBy("stripe").applyInPandas(total, "stripe int, blob binary")
 
 
 def _rated(links: DataFrame, counts: DataFrame, salts: int) -> DataFrame:
