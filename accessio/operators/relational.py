@@ -51,6 +51,15 @@ def with_values(df: DataFrame, name: str, values: tuple[str, ...]) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
 
 
+def spread(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """df dealt by key into tasks of about so many rows.
+
+    A table of short rows is a small file, which one task or a few read, whatever
+    the rows become behind it: what is made of a row, and a task's sorts, grow with the table.
+    """
+    return df.repartition(max(1, -(-df.count() // rows)), key)
+
+
 def with_places(df: DataFrame, order: list[Column | str], name: str = "place") -> DataFrame:
     """df with each row's place, 0, 1, 2 .., in the given order; rows equal in it are placed in any order.
 

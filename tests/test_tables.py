@@ -2,6 +2,7 @@
 
 import io
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -221,3 +222,28 @@ def test_requests_are_counted_and_answers_kept(spark, tmp_path):
     out = looked.harvest(specs, str(tmp_path / "raw"), every=2, attempts=1)
     assert looked.requests == 4 and out.count() == 5 and tuple(out.columns) == RAW_ROWS  # 2 for good, 1 for none, 1 for bad
     assert looked.harvest(specs, str(tmp_path / "raw"), attempts=1).count() == 5 and looked.requests == 4
+
+
+def test_plain_pages_are_parsed_once(monkeypatch):
+    """Only what may be a view-source page is looked through for its line cells."""
+    record = '<table><tr><td>1</td><td><a href="furtherinfo.cfm?ncppb_no=7">NCPPB 7</a></td><td>X &amp; y</td></tr></table>'
+    line = record.replace("&", "&amp;").replace("<", "&lt;")
+    want = catalogue.records_of(record)
+    assert [r["current_name"] for r in want] == ["X & y"]
+    for kind in ("line-content", "x line&#45;content", "line&#x2d;content"):
+        assert catalogue.records_of(f'<table><tr><td class="{kind}">{line}</td></tr></table>') == want
+    monkeypatch.setattr(catalogue, "_Lines", None)
+    assert catalogue.records_of(record) == want
+
+
+def test_plain_markup_gives_the_parsers_events(monkeypatch):
+    """By one pattern or by the parser: the same records and lines; odd markup goes to the parser whole."""
+    r = random.Random(3)
+    plain = ["<td>", "</td>", "<tr>", "</tr>", "<table>", "</table>", '<td class="line-content">', "<td class='x line-content'>", '<a href="furtherinfo.cfm?ncppb_no=7">', "<a href=q id=3 >", "</a>", "<strong>", "</strong>", "Host:", "x &amp; y", "&lt;td&gt;", "&copy", "a > b", "<br>", "<BR />", "<TD colspan=3>", "<a href>", '<a href="">', "\n"]
+    odd = ["<!-- c -->", "<", "</", "<script>", "</script>", '<a href="a&amp;b">', "<td/class='line-content'>", "<td\x0bclass='line-content'>", "<p/>", '</td x="1">', "\x00"]
+    read = lambda page: [(x.strings, x.links, getattr(x, "found", None), getattr(x, "lines", None)) for x in (catalogue._Records().read(page), catalogue._Lines().read(page))]
+    pages = ["".join(r.choices(plain + odd * (i % 2), k=r.randrange(1, 25))) for i in range(2000)]
+    assert all(catalogue._Records()._plain(p) for p in pages[::2]) and not all(catalogue._Records()._plain(p) for p in pages)
+    got = [read(p) for p in pages]
+    monkeypatch.setattr(catalogue._Events, "_plain", lambda self, html: False)
+    assert got == [read(p) for p in pages]
