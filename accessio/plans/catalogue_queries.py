@@ -719,12 +719,13 @@ def table_files(spark, sf_dir):
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, 'say "' || o_orderpriority || '", ' || chr(10) || o_orderstatus AS quoted, CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'NA' ELSE o_orderstatus END AS cell,
   CAST(row_number() OVER (ORDER BY o_orderkey) AS BIGINT) AS place FROM orders""")
 def split_table_file(spark, sf_dir):
-    """SRC4, SRC5: one large file with line breaks inside quotes, read in chunks by many tasks; rows in the order of the file"""
+    """SRC4, SRC5: a large file with line breaks inside quotes, or more of them by the million rows, read in chunks by many tasks; rows in the order of the files"""
     cell = F.when(F.col("o_orderkey") % 3 == 1, "NA").when(F.col("o_orderkey") % 3 == 2, F.col("o_orderstatus"))
     quoted = F.concat(F.lit('say "'), "o_orderpriority", F.lit('", \n'), "o_orderstatus")
     rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("key"), quoted.alias("quoted"), cell.alias("cell"))
     path = f"{scratch(spark, 'table')}/orders.csv"
-    tables.write_table(rows.repartitionByRange(1, "o_orderkey").sortWithinPartitions("o_orderkey"), path, ("key", "quoted", "cell"), crlf=True)
+    files = max(1, -(-rows.count() // ORDERS_A_FILE))  # each of several chunks; a task sorts and writes one
+    tables.write_table(rows.repartitionByRange(files, "o_orderkey").sortWithinPartitions("o_orderkey"), path, ("key", "quoted", "cell"), crlf=True)
     read = read_split_table(spark, path, ordinal="ord")
     return relational.with_places(read, ["ord"]).select(F.col("key").alias("o_orderkey"), "quoted", "cell", (F.col("place") + 1).alias("place"))
 
