@@ -496,12 +496,12 @@ def lookup_errors(spark, sf_dir):
 
 
 def _search_answers(hits: DataFrame, totals: DataFrame, page: int, most: int) -> DataFrame:
-    """request, answer: the documents of the first `most` hits (search_term, uid, place from 0), a page each, and of searches without any. totals: search_term, total."""
+    """search_term, request, answer: the documents of the first `most` hits (search_term, uid, place from 0), a page each, and of searches without any. totals: search_term, total."""
     pages = hits.where(F.col("place") < most).groupBy("search_term", (F.floor(F.col("place") / page) * page).alias("start")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "uid"))), lambda x: x["uid"]).alias("ids"))
     every = totals.join(pages, "search_term", "left").select("search_term", "total", F.coalesce("start", F.lit(0)).alias("start"), F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
     sized = every.withColumn("size", F.least(F.lit(page), F.lit(most) - F.col("start")).cast("int"))
     body = F.to_json(F.struct(F.struct(F.col("total").cast("string").alias("count"), F.col("ids").alias("idlist")).alias("esearchresult")))
-    return sized.select(paged.search_request(F.lit("biosample"), F.col("search_term"), F.col("start"), F.col("size")).alias("request"), body.alias("answer"))
+    return sized.select("search_term", paged.search_request(F.lit("biosample"), F.col("search_term"), F.col("start"), F.col("size")).alias("request"), body.alias("answer"))
 
 
 @query("""WITH hits AS (SELECT 'nation ' || c_nationkey AS search_term, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS place, 'u' || c_custkey AS uid, count(*) OVER (PARTITION BY c_nationkey) AS total FROM customer)
@@ -517,7 +517,7 @@ def paged_search(spark, sf_dir):
     counts = totals.select(paged.search_request(F.lit("biosample"), F.col("search_term"), F.lit(0), F.lit(0)).alias("request"), F.to_json(F.struct(F.struct(F.col("total").cast("string").alias("count"), F.array().cast("array<string>").alias("idlist")).alias("esearchresult"))).alias("answer"))
     folder = f"{scratch(spark, 'answers')}/searches"
     asked = totals.where(~F.col("search_term").isin("nation 3", "nation 4"))  # asking for the others would fail
-    paged.record_answers(_search_answers(hits, asked, 15, 50).unionByName(counts.where(~F.col("request").rlike("nation [34][|]"))), folder)
+    paged.record_answers(_search_answers(hits, asked, 15, 50).drop("search_term").unionByName(counts.where(~F.col("request").rlike("nation [34][|]"))), folder)
     terms = [r.search_term for r in nations.collect()]  # the 25 nations
     found = paged.paged_search(spark, lambda: lookup.Service(delay=0, opener=paged.Recorded(folder)), terms, page=15, most=50)
     return found.where(F.col("search_term").isin([t for t in terms if t not in ("nation 3", "nation 4")]))
@@ -537,13 +537,13 @@ def lookup_retries(spark, sf_dir):
     ids = F.transform("rs", lambda r: r["uid"])
     each = F.map_from_entries(F.transform("rs", lambda r: F.struct(r["uid"], F.to_json(F.struct(r["title"].alias("title"))))))
     body = F.concat(F.lit('{"result": {"uids": '), F.to_json(ids), F.lit(", "), F.array_join(F.transform(F.map_entries(each), lambda e: F.concat(F.lit('"'), e["key"], F.lit('": '), e["value"])), ", "), F.lit("}}"))
-    summaries = two.select(paged.summary_request(F.lit("biosample"), F.array_join(ids, ",")).alias("request"), body.alias("answer"))
+    summaries = two.select("search_term", paged.summary_request(F.lit("biosample"), F.array_join(ids, ",")).alias("request"), body.alias("answer"))
     rest = F.regexp_extract("search_term", r"(\d+)", 1).cast("long") % 10
     root = scratch(spark, "service")
     specs = customers.select(F.col("c_custkey").cast("string").alias("ncppb_number"), *[F.lit("").alias(c) for c in lookup.SPEC[1:5]], F.concat(F.lit("c"), "c_custkey").alias("search_term"))
     for state, known in (("at first", ~rest.isin(3, 7)), ("later", rest != 7)):
         # a page of two, then what is left of three; a search without hits is one empty page
-        paged.record_answers(_search_answers(hits.drop("o_custkey", "o_orderpriority"), totals.where(known).select("search_term", "total"), 2, 3).unionByName(summaries), f"{root}/{state}")
+        paged.record_answers(_search_answers(hits.drop("o_custkey", "o_orderpriority"), totals.where(known).select("search_term", "total"), 2, 3).unionByName(summaries), f"{root}/{state}", near="search_term")
     log = lookup.AttemptLog(spark, f"{root}/log")
     for state, attempts in (("at first", 1), ("later", 3)):
         looked = lookup.HttpLookup(lambda folder=f"{root}/{state}": lookup.Service(delay=0, opener=paged.Recorded(folder)), page=2, most=3, batch=2, tasks=4)

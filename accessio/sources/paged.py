@@ -8,10 +8,10 @@ import time
 import zlib
 from collections.abc import Callable, Iterator
 from typing import Any
-from urllib.parse import parse_qs, urlsplit
+from urllib.parse import parse_qs, quote, urlsplit
 
-import pyarrow.dataset as ds
 import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
@@ -92,7 +92,7 @@ def paged_search(spark: SparkSession, make: Callable[[], Service], terms: list[s
 
 # Recorded answers ----------------------------------------------------------------------------------
 
-BUCKETS = 16
+BUCKET_BITS, GROUP_BYTES, GROUPS_HELD = 4, 1 << 20, 4
 
 
 def search_request(db: Column, term: Column, start: Column, size: Column) -> Column:
@@ -104,31 +104,77 @@ def summary_request(db: Column, ids: Column) -> Column:
     return F.concat_ws("|", F.lit("esummary"), db, ids)
 
 
-def record_answers(answers: DataFrame, folder: str) -> None:
-    """Keeps (request, answer) rows, answers as JSON texts, by bucket of the request."""
-    bucket = F.pmod(F.crc32(F.col("request").cast("binary")), F.lit(BUCKETS)).cast("int")
-    answers.select("request", "answer", bucket.alias("bucket")).repartition(BUCKETS, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+def record_answers(answers: DataFrame, folder: str, near: str | None = None) -> None:
+    """Keeps (request, answer) rows, answers as JSON texts, in order of a hash of the request, or of the column `near`.
+
+    near: the term of a search, for its pages and for the summaries of their ids, which
+    are asked for one after another. Files have small row groups, of which a reader
+    takes the one at hand.
+    """
+    by = "by_term" if near else "by_request"
+    rows = answers.select("request", "answer", F.crc32(F.col(near or "request").cast("binary")).alias(by)).withColumn("bucket", F.shiftright(by, 32 - BUCKET_BITS).cast("int"))
+    rows.repartition(1 << BUCKET_BITS, "bucket").sortWithinPartitions("bucket", by).write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).partitionBy("bucket").parquet(folder)
+
+
+class _Group:
+    """A row group of recorded answers and the hashes that it begins and ends with."""
+
+    def __init__(self, file: pq.ParquetFile, number: int):
+        self.file, self.number = file, number
+        self.by = next(c for c in file.schema_arrow.names if c.startswith("by_"))
+        seen = file.metadata.row_group(number).column(file.schema_arrow.names.index(self.by)).statistics
+        self.low, self.high = seen.min, seen.max
+
+    def answers(self) -> dict[str, str]:
+        found = self.file.read_row_group(self.number, columns=["request", "answer"])
+        return dict(zip(found["request"].to_pylist(), found["answer"].to_pylist(), strict=True))
 
 
 class Recorded:
-    """An opener for Service that answers from a folder of record_answers, which workers must reach; a request without an answer fails."""
+    """An opener for Service that answers from a folder of record_answers, which workers must reach; a request without an answer fails.
+
+    It holds a few row groups, whatever the folder's size; requests in the order of
+    their terms' hashes, as HttpLookup has them, read each once.
+    """
 
     def __init__(self, folder: str):
-        self.folder, self.buckets = folder, {}
+        self.folder, self.term = folder, None
+        self.fs, self.path = pyarrow.fs.FileSystem.from_uri(quote(folder, safe=":/")) if ":/" in folder else (pyarrow.fs.LocalFileSystem(), folder)
+        self.groups: dict[int, list[_Group]] = {}
+        self.held: dict[_Group, dict[str, str]] = {}
+
+    def _groups(self, bucket: int) -> list[_Group]:
+        if bucket not in self.groups:
+            files = self.fs.get_file_info(pyarrow.fs.FileSelector(f"{self.path}/bucket={bucket}", allow_not_found=True))
+            opened = [pq.ParquetFile(self.fs.open_input_file(f.path)) for f in files if f.base_name.endswith(".parquet")]
+            self.groups[bucket] = [_Group(f, i) for f in opened for i in range(f.num_row_groups)]
+        return self.groups[bucket]
+
+    def _answers(self, group: _Group) -> dict[str, str]:
+        if group not in self.held:
+            if len(self.held) >= GROUPS_HELD:
+                del self.held[next(iter(self.held))]  # the one held longest
+            self.held[group] = group.answers()
+        return self.held[group]
+
+    def _places(self, request: str, summary: bool) -> Iterator[_Group]:
+        """The row groups where the answer can stand."""
+        for by, place in (("by_term", self.term), ("by_request", zlib.crc32(request.encode()))):
+            if place is not None:
+                yield from (g for g in self._groups(place >> 32 - BUCKET_BITS) if g.by == by and g.low <= place <= g.high)
+        if summary:  # of another search's ids than the last one's
+            yield from (g for bucket in range(1 << BUCKET_BITS) for g in self._groups(bucket) if g.by == "by_term")
 
     def __call__(self, address: str, timeout: float) -> io.BytesIO:
         parts = urlsplit(address)
         q = {k: v[0] for k, v in parse_qs(parts.query).items()}
-        if "esearch" in parts.path:
-            request = "|".join(("esearch", q["db"], q["term"], q["retstart"], q["retmax"]))
-        else:
+        summary = "esearch" not in parts.path
+        if summary:
             request = "|".join(("esummary", q["db"], q["id"]))
-        bucket = zlib.crc32(request.encode()) % BUCKETS
-        if bucket not in self.buckets:
-            fs, path = pyarrow.fs.FileSystem.from_uri(self.folder) if ":/" in self.folder else (pyarrow.fs.LocalFileSystem(), self.folder)
-            there = f"{path}/bucket={bucket}"
-            found = ds.dataset(there, filesystem=fs, format="parquet").to_table() if fs.get_file_info(there).type.name == "Directory" else None
-            self.buckets[bucket] = dict(zip(found["request"].to_pylist(), found["answer"].to_pylist(), strict=True)) if found else {}
-        if request not in self.buckets[bucket]:
-            raise OSError(f"no answer for {request}")
-        return io.BytesIO(self.buckets[bucket][request].encode("utf-8"))
+        else:
+            request, self.term = "|".join(("esearch", q["db"], q["term"], q["retstart"], q["retmax"])), zlib.crc32(q["term"].encode())
+        for group in self._places(request, summary):
+            answer = self._answers(group).get(request)
+            if answer is not None:
+                return io.BytesIO(answer.encode("utf-8"))
+        raise OSError(f"no answer for {request}")
