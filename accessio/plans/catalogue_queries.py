@@ -197,7 +197,7 @@ def first_wins_changes(spark, sf_dir):
 
     for run in range(2):  # the second goes on from the first's checkpoint
         for k in range(3 * run, 3 * run + 3):
-            rows.where(part == k).coalesce(1).write.mode("append").parquet(f"{root}/in")
+            rows.where(part == k).repartition(1).write.mode("append").parquet(f"{root}/in")
         stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
         changes = first_wins_stream(stream, keys, "event_id")
         changes.writeStream.outputMode("update").foreachBatch(kept).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()

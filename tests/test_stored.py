@@ -111,3 +111,30 @@ def test_stream_equals_batch(spark, tmp_path, seed):
     assert changes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("revision").alias("last")).where("n != last + 1").count() == 0
     assert changes.agg(F.max("revision")).first()[0] > 0  # some were corrected
     assert len(os.listdir(out)) == 4
+
+
+def test_keys_of_a_group_share_a_call():
+    """Many keys, one read and one write of the state; an unchanged group isn't written."""
+    from pyspark.sql import Row
+
+    from accessio.streaming.first import _First
+
+    class State:
+        value, calls = None, []
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+    first = _First("long")
+    first.state = State()
+    rows = lambda *xs: iter([Row(key=k, at=at, payload=f"{k}{at}") for k, at in xs])
+    tell = lambda *xs: [(r.payload, r.revision) for r in first.handleInputRows((0,), rows(*xs), None)]
+    assert tell(("a", 5), ("b", 7), ("a", 3), ("c", 1)) == [("a3", 0), ("b7", 0), ("c1", 0)]
+    assert tell(("a", 4), ("b", 6), ("d", 2)) == [("b6", 1), ("d2", 0)]
+    assert tell(("a", 9)) == []
+    assert State.calls == ["get", "update", "get", "update", "get"]
