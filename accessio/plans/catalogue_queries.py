@@ -34,7 +34,7 @@ RAW = """SELECT o_orderkey, o_custkey, 'NCPPB ' || (o_orderkey % 300) AS ncppb_n
 FROM orders"""
 # The general pattern for engines without lookaround; both sides read _ as :
 GENERAL_RE = r"\b(?:[A-Za-z]{1,10}(?:[-/][A-Za-z]{1,10})*)\s*[-:/.]?\s*(?:[0-9][A-Za-z0-9]*(?:[/.-][A-Za-z0-9]+)*)(?:\b|$)"
-PARTS_A_TASK, ORDERS_A_TASK, ORDERS_A_FILE = 5_000, 25_000, 2_000_000
+PARTS_A_TASK, ORDERS_A_TASK, ORDERS_A_FILE, PAGES_A_TASK = 5_000, 25_000, 2_000_000, 1_000
 CLEAN_SQL = r"trim(regexp_replace(replace(text, '_', ':'), '\s+', ' ', 'g'))"
 
 
@@ -733,10 +733,11 @@ def split_table_file(spark, sf_dir):
 @query("SELECT page_id, md5(html || chr(10)) AS page, CAST(length(html) + 1 AS BIGINT) AS n FROM pages")
 def page_files(spark, sf_dir):
     """SRC1, SRC12: whole files as rows; an empty result is an error"""
-    path = f"{scratch(spark, 'pages')}/pages"
-    _table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("value")).repartition(8, "page_id").write.mode("overwrite").partitionBy("page_id").text(path)
+    path, given = f"{scratch(spark, 'pages')}/pages", _table(spark, sf_dir, "pages")
+    named = given.select(F.concat(F.lit("page_id="), F.coalesce(F.col("page_id").cast("string"), F.lit(""))).alias("name"), F.concat("html", F.lit("\n")).alias("value"))
+    tables.write_pages(named, path, "name", "value", tasks=max(1, -(-given.count() // PAGES_A_TASK)))
     pages = tables.required(tables.read_pages(spark, path), "pages")
-    return pages.select(F.regexp_extract("path", r"page_id=(\d+)", 1).cast("long").alias("page_id"), F.md5("value").alias("page"), _long(F.char_length("value")).alias("n"))
+    return pages.select(F.regexp_extract("path", r"page_id=(-?\d+)", 1).try_cast("long").alias("page_id"), F.md5("value").alias("page"), _long(F.char_length("value")).alias("n"))
 
 
 @query("""SELECT r_name, CASE WHEN n = 0 THEN 'no customers of ' || r_name || ' found' ELSE '' || n END AS outcome FROM (

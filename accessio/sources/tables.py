@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import posixpath
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+from pyarrow.fs import FileSystem
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +39,38 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.make_valid_utf8("value").alias("value"))
 
 
+def write_pages(df: DataFrame, path: str, name: str, value: str, tasks: int = 1) -> None:
+    """Saves each row's value (string or binary) as a file of its own, for read_pages: path/task=../..-name.
+    Spark's reader passes over files with nothing in them (null or empty).
+
+    Spark's text writer needs a folder a page for that, and on local folders starts
+    three processes for each (chmod of folder, file and checksum); here a task
+    writes its pages into one folder. A page has the same name whenever a task is
+    run again, and is moved there when it is whole. Names are file names; rows of
+    one name get a file each.
+    """
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    root = whole.removeprefix("file:") if whole.startswith("file:/") else whole
+
+    def save(rows: Iterator) -> None:
+        files, top = FileSystem.from_uri(root)
+        context = TaskContext.get()
+        folder = posixpath.join(top, f"task={context.partitionId()}")
+        files.create_dir(folder)
+        for at, row in enumerate(rows):
+            unready = posixpath.join(folder, f".{at}-{context.taskAttemptId()}")  # readers pass over names with a dot
+            with files.open_output_stream(unready) as out:
+                out.write(bytes(row[1] or b""))
+            files.move(unready, posixpath.join(folder, f"{at:09d}-{row[0]}"))
+
+    files, top = FileSystem.from_uri(root)
+    files.create_dir(top)  # there without rows, too
+    pages = df.select(F.col(name).cast("string").alias("name"), F.col(value).cast("binary").alias("value"))
+    pages.repartition(tasks, "name").sortWithinPartitions("name", "value").foreachPartition(save)
+
+
 def read_table(spark: SparkSession, path: str, na_tokens: bool = False, ordinal: str | None = None) -> DataFrame:
     """A delimited file, all strings, missing cells empty. na_tokens: NA, None, null and the like are missing too.
 
