@@ -27,13 +27,14 @@ what is learnt follows from the documents alone, not from how a table is split.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -62,8 +63,8 @@ SEED = 11
 CHUNK, BLOCK = 1 << 14, 1 << 10
 #: Words whose counts are sent to the workers, at most; the others' are joined.
 FREQUENT = 1 << 18
-#: Different words that a Python worker counts before it hands them on.
-HELD = 600_000
+#: Words that a Python worker holds before it hands on their counts.
+HELD = 1 << 21
 SHAPES = {"embed": (2 * SIDE, CLASSES + 1, HIDDEN), "hidden": (HIDDEN,), "out": (HIDDEN, CLASSES), "bias": (CLASSES,), "inner": (CLASSES - SINGLE, HIDDEN, PARTS), "inner_bias": (CLASSES - SINGLE, PARTS)}
 
 
@@ -71,6 +72,28 @@ def buckets_of(words: list[bytes]) -> np.ndarray:
     return (np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % BUCKETS).astype(np.int32)
 
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, A-Z in lower case, and where each text's end."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, offsets = lists.flatten(), lists.offsets.to_numpy()
+    ends = (offsets[1:] - offsets[0]).astype(np.int64)
+    filled = np.asarray(pc.binary_length(words)) > 0  # white space at an end leaves an empty one
+    if not filled.all():
+        words, ends = words.filter(pa.array(filled)), np.concatenate([[0], np.cumsum(filled)])[ends]
+    return words, ends
+
+
+def distinct_words(texts: pd.Series) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(the different words of all texts, the number of each word's, where each text's words end)"""
+    words, ends = words_of(pa.array(texts, pa.large_string()))
+    found = words.dictionary_encode()
+    return found.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy(), ends
+
+
+def cut(values: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    return [values[i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False)]
+
+
 class Codes:
     """Codes of words: their places among the frequent ones, or their number plus the bucket."""
 
@@ -78,18 +101,17 @@ class Codes:
         self.place = dict(zip(frequent, range(len(frequent)), strict=True)).get
         self.number = len(frequent)
 
-    def of(self, text: str) -> tuple[np.ndarray, list[bytes]]:
-        """The codes, and the words that aren't frequent."""
-        words = words_of(text)
+    def of(self, texts: pd.Series) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
+        """The codes of all texts' words, where each text's end, and each text's words that aren't frequent."""
+        words, which, ends = distinct_words(texts)
         codes = np.fromiter(map(self.place, words, repeat(-1)), np.int32, len(words))
         others = np.flatnonzero(codes < 0)
-        rare = [words[k] for k in others.tolist()]
-        codes[others] = self.number + buckets_of(rare)
-        return codes, rare
-
-
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8").lower().split()
+        codes[others] = self.number + buckets_of([words[k] for k in others.tolist()])
+        codes = codes[which]
+        rare = np.flatnonzero(codes >= self.number)
+        named = [words[k] for k in which[rare].tolist()]
+        until = np.searchsorted(rare, ends).tolist()
+        return codes, ends, [named[i:j] for i, j in zip([0, *until[:-1]], until, strict=False)]
 
 
 @dataclass(frozen=True)
@@ -173,8 +195,22 @@ def lessons(classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return target[order], context[order]
 
 
+def rows_of(context: np.ndarray) -> np.ndarray:
+    """Rows of the places' embeddings one below the other, [place, token]."""
+    return np.add(context.T, np.arange(2 * SIDE)[:, None] * (CLASSES + 1), dtype=np.intp, order="C")
+
+
+def hidden_at(net: dict[str, np.ndarray], rows: np.ndarray) -> np.ndarray:
+    embed = net["embed"].reshape(-1, HIDDEN)
+    hidden = embed.take(rows[0], axis=0)
+    for own in rows[1:]:
+        hidden += embed.take(own, axis=0)
+    hidden += net["hidden"]
+    return np.tanh(hidden, out=hidden)
+
+
 def hidden_of(net: dict[str, np.ndarray], context: np.ndarray) -> np.ndarray:
-    return np.tanh(sum(net["embed"][p].take(context[:, p], axis=0) for p in range(2 * SIDE)) + net["hidden"])
+    return hidden_at(net, rows_of(context))
 
 
 #: Logits up to this size need no shift before they are exponentiated.
@@ -201,40 +237,47 @@ def forward(net: dict[str, np.ndarray], context: np.ndarray) -> tuple[np.ndarray
     return hidden, logits - (top + np.log(total))[:, None]
 
 
+def column(values: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Where one column a row stands in values.ravel()."""
+    return np.arange(0, values.size, values.shape[1]) + chosen
+
+
 def chosen_logs(logits: np.ndarray, chosen: np.ndarray, bound: float) -> np.ndarray:
     """The log probability of one column a row."""
     _, total, top = scaled(logits, bound)
-    return logits[np.arange(len(chosen)), chosen] - top - np.log(total)
+    return logits.ravel()[column(logits, chosen)] - top - np.log(total)
 
 
 def errors(logits: np.ndarray, chosen: np.ndarray, bound: float) -> np.ndarray:
     """The gradient of the rows' negative log probabilities by their logits, times RATE."""
     weights, total, _ = scaled(logits, bound)
     weights *= (RATE / STEP * 16 / total)[:, None]
-    weights[np.arange(len(chosen)), chosen] -= RATE / STEP * 16
+    weights.ravel()[column(weights, chosen)] -= RATE / STEP * 16
     return weights
 
 
 def learn(net: dict[str, np.ndarray], target: np.ndarray, context: np.ndarray) -> None:
     """One pass of gradient steps over the given tokens, in place."""
-    hot = np.zeros((2 * SIDE, CLASSES + 1, STEP), np.float32)  # the context's classes, by place
-    ones = np.ones(STEP, np.float32)
+    rows, embed = rows_of(context), net["embed"].reshape(-1, HIDDEN)
+    hot = np.zeros((len(embed), STEP), np.float32)  # the context's classes, by place
+    marks, ones, steps = hot.ravel(), np.ones(STEP, np.float32), np.arange(STEP)
     for at in range(0, len(target), STEP):
-        t, c = target[at : at + STEP], context[at : at + STEP]
+        t, c = target[at : at + STEP], rows[:, at : at + STEP]
         n = len(t)
         if at % (64 * STEP) == 0:  # a step changes it by next to nothing
             bound = highest(net["out"], net["bias"]) + 1
-        hidden = hidden_of(net, c)
-        wrong = errors(hidden @ net["out"] + net["bias"], t, bound)
+        hidden = hidden_at(net, c)
+        logits = hidden @ net["out"]
+        logits += net["bias"]
+        wrong = errors(logits, t, bound)
         back = (wrong @ net["out"].T) * (1 - hidden**2)
         net["out"] -= hidden.T @ wrong
         net["bias"] -= ones[:n] @ wrong
         net["hidden"] -= ones[:n] @ back
-        column = np.arange(n)
-        for p in range(2 * SIDE):
-            hot[p, c[:, p], column] = 1
-            net["embed"][p] -= hot[p, :, :n] @ back
-            hot[p, c[:, p], column] = 0
+        marked = c * STEP + steps[:n]
+        marks[marked] = 1
+        embed -= hot[:, :n] @ back
+        marks[marked] = 0
 
 
 def by_class(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -282,21 +325,22 @@ def token_logs(net: dict[str, np.ndarray], target: np.ndarray, context: np.ndarr
 def count_words(texts: DataFrame) -> DataFrame:
     """word, n: the tokens of every word over all texts."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def handed() -> pd.DataFrame:
-            return pd.DataFrame({"word": list(total), "n": np.fromiter(total.values(), np.int64, len(total))})
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def handed() -> pa.RecordBatch:
+            values, n = pa.chunked_array(held).value_counts().flatten()
+            return pa.RecordBatch.from_arrays([values.cast(pa.binary()), n], ["word", "n"])
 
-        total: Counter[bytes] = Counter()
+        held, size = [], 0
         for batch in batches:
-            for text in batch["text"]:
-                total.update(words_of(text))
-                if len(total) > HELD:
-                    yield handed()
-                    total.clear()
-        if total:
+            held.append(words_of(batch.column(0))[0])
+            size += len(held[-1])
+            if size > HELD:
+                yield handed()
+                held, size = [], 0
+        if size:
             yield handed()
 
-    return texts.select("text").mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def bucket_counts(counts: DataFrame) -> np.ndarray:
@@ -344,7 +388,8 @@ def coded(texts: DataFrame, tokens: int) -> DataFrame:
     @pandas_udf("binary")
     def codes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([buckets_of(words_of(t)).astype("<u2").tobytes() for t in batch])
+            words, which, ends = distinct_words(batch)
+            yield pd.Series([c.tobytes() for c in cut(buckets_of(words).astype("<u2")[which], ends)], dtype=object)
 
     dealt = texts.select(key.alias("key"), F.pmod("key", F.lit(ROUNDS)).cast("int").alias("round"), F.pmod(F.shiftright("key", 8), F.lit(shards)).alias("shard"), codes(F.col("text")).alias("codes"))
     return dealt.where(F.octet_length("codes") > 0).repartition("round", "shard").sortWithinPartitions("round", "shard", "key", "codes")
@@ -421,16 +466,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # without the words' own counts where these are joined
         share = (known.log_in_part - known.log_count)[bucket_of] + np.concatenate([np.log(times), np.zeros(BUCKETS)])
         for batch in batches:
-            found, rare = [], []
-            for text in batch["text"]:
-                codes, others = memo.of(text)
-                found.append(codes)
-                rare.append(others)
-            target, context = windows([class_of[c] for c in found])
-            every = np.concatenate([*found, np.empty(0, np.int32)])
+            every, ends, rare = memo.of(batch["text"])
+            target, context = windows(cut(class_of[every], ends))
             logs = np.concatenate([[0.0], np.cumsum(token_logs(model, target, context, part_of[every]) + share[every], dtype=np.float64)])
-            ends = np.cumsum([len(c) for c in found])
-            n = np.array([len(c) for c in found], np.int64)
+            n = np.diff(ends, prepend=0)
             yield pd.DataFrame({"id": batch["id"], "n_tokens": n, "log_likelihood": np.where(n > 0, logs[ends] - logs[ends - n], 0.0), "rare": rare})
 
     partly = settled(texts.mapInPandas(score, f"id {kind}, n_tokens long, log_likelihood double, rare array<binary>").withColumn("row", F.monotonically_increasing_id()))

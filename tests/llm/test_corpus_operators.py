@@ -691,3 +691,15 @@ def test_pipeline_stages_take_odd_tables(spark, tmp_path, labelled):
             before = spark.read.parquet(str(sf / stage_name))
             assert before.columns[: len(made.columns)] == made.columns
         assert corpus_pipeline.run(spark, str(sf)).count() == before.count() and (before.count() > 0) == (name == "odd")
+
+
+def test_words_of_many_texts():
+    """Words are cut and numbered for all texts of a batch at once, as each text's own."""
+    import pandas as pd
+
+    texts = ["", " \t", "a", " A b\x0b", "x\x00y \x1c\x85z \xa0q", "Ä straße\ra", "b b c"]
+    words, which, ends = scoring.distinct_words(pd.Series(texts))
+    assert len(set(words)) == len(words) and [[words[k] for k in c] for c in scoring.cut(which, ends)] == [t.encode().lower().split() for t in texts]
+    codes, ends, rare = scoring.Codes([b"b", b"a"]).of(pd.Series(texts))
+    assert codes[ends[1] : ends[3]].tolist() == [1, 1, 0] and codes[-1] == 2 + zlib.crc32(b"c") % scoring.BUCKETS and rare[-1] == [b"c"] and rare[3] == []
+    assert scoring.Codes([]).of(pd.Series([], dtype=object))[2] == []
