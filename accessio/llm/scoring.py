@@ -60,7 +60,7 @@ LESSON = 1 << 17
 FAN = 16
 SEED = 11
 #: Tokens scored at once, and those whose classes' probabilities are.
-CHUNK, BLOCK = 1 << 14, 1 << 10
+CHUNK, BLOCK = 1 << 14, 1 << 8
 #: Words whose counts are sent to the workers, at most; the others' are joined.
 FREQUENT = 1 << 18
 #: Words that a Python worker holds before it hands on their counts.
@@ -222,10 +222,10 @@ def highest(weights: np.ndarray, bias: np.ndarray) -> float:
     return float((np.abs(weights).sum(axis=0) + np.abs(bias)).max())
 
 
-def scaled(logits: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
-    """(exponentials of logits less a shift, their sums, the shift), by row."""
+def scaled(logits: np.ndarray, bound: float, spent: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """(exponentials of logits less a shift, their sums, the shift), by row. spent: in place of the logits."""
     top = 0.0 if bound < SAFE else logits.max(axis=1)
-    weights = np.exp(logits if bound < SAFE else logits - top[:, None])
+    weights = np.exp(logits if bound < SAFE else logits - top[:, None], out=logits if spent else None)
     return weights, weights @ np.ones(weights.shape[1], weights.dtype), top
 
 
@@ -243,14 +243,15 @@ def column(values: np.ndarray, chosen: np.ndarray) -> np.ndarray:
 
 
 def chosen_logs(logits: np.ndarray, chosen: np.ndarray, bound: float) -> np.ndarray:
-    """The log probability of one column a row."""
-    _, total, top = scaled(logits, bound)
-    return logits.ravel()[column(logits, chosen)] - top - np.log(total)
+    """The log probability of one column a row; the logits are spent."""
+    own = logits.ravel()[column(logits, chosen)]
+    _, total, top = scaled(logits, bound, spent=True)
+    return own - top - np.log(total)
 
 
 def errors(logits: np.ndarray, chosen: np.ndarray, bound: float) -> np.ndarray:
-    """The gradient of the rows' negative log probabilities by their logits, times RATE."""
-    weights, total, _ = scaled(logits, bound)
+    """The gradient of the rows' negative log probabilities by their logits, times RATE; the logits are spent."""
+    weights, total, _ = scaled(logits, bound, spent=True)
     weights *= (RATE / STEP * 16 / total)[:, None]
     weights.ravel()[column(weights, chosen)] -= RATE / STEP * 16
     return weights
@@ -289,7 +290,9 @@ def by_class(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def part_logits(net: dict[str, np.ndarray], c: int, hidden: np.ndarray) -> np.ndarray:
-    return hidden @ net["inner"][c] + net["inner_bias"][c]
+    logits = hidden @ net["inner"][c]
+    logits += net["inner_bias"][c]
+    return logits
 
 
 def learn_parts(net: dict[str, np.ndarray], target: np.ndarray, part: np.ndarray, context: np.ndarray) -> None:
@@ -314,7 +317,9 @@ def token_logs(net: dict[str, np.ndarray], target: np.ndarray, context: np.ndarr
         hidden = hidden_of(net, context[here])
         for low in range(0, len(t), BLOCK):
             block = slice(low, low + BLOCK)
-            own[block] = chosen_logs(hidden[block] @ net["out"] + net["bias"], t[block], bound)
+            logits = hidden[block] @ net["out"]
+            logits += net["bias"]
+            own[block] = chosen_logs(logits, t[block], bound)
         if part is not None:
             chosen = part[here]
             for c, mine in by_class(t):
