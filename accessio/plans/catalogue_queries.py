@@ -734,10 +734,11 @@ def split_table_file(spark, sf_dir):
 def page_files(spark, sf_dir):
     """SRC1, SRC12: whole files as rows; an empty result is an error"""
     path, given = f"{scratch(spark, 'pages')}/pages", _table(spark, sf_dir, "pages")
-    named = given.select(F.concat(F.lit("page_id="), F.coalesce(F.col("page_id").cast("string"), F.lit(""))).alias("name"), F.concat("html", F.lit("\n")).alias("value"))
+    mark = F.when(F.col("html").isNull(), ".none").otherwise("")  # a file can't be null
+    named = given.select(F.concat(F.lit("page_id="), F.coalesce(F.col("page_id").cast("string"), F.lit("")), mark).alias("name"), F.concat(F.coalesce("html", F.lit("")), F.lit("\n")).alias("value"))
     tables.write_pages(named, path, "name", "value", tasks=max(1, -(-given.count() // PAGES_A_TASK)))
-    pages = tables.required(tables.read_pages(spark, path), "pages")
-    return pages.select(F.regexp_extract("path", r"page_id=(-?\d+)", 1).try_cast("long").alias("page_id"), F.md5("value").alias("page"), _long(F.char_length("value")).alias("n"))
+    pages, value = tables.required(tables.read_pages(spark, path), "pages"), F.when(~F.col("path").endswith(".none"), F.col("value"))
+    return pages.select(F.regexp_extract("path", r"page_id=(-?\d+)", 1).try_cast("long").alias("page_id"), F.md5(value).alias("page"), _long(F.char_length(value)).alias("n"))
 
 
 @query("""SELECT r_name, CASE WHEN n = 0 THEN 'no customers of ' || r_name || ' found' ELSE '' || n END AS outcome FROM (

@@ -29,10 +29,11 @@ def test_pages_share_folders(spark, tmp_path, monkeypatch):
     """A folder a task, not a page; rows of one id are pages of their own."""
     monkeypatch.setattr(plans, "PAGES_A_TASK", 10, raising=False)
     monkeypatch.setattr(plans, "scratch", lambda spark, name: str(tmp_path / name))
-    rows = [(k, f"<p>{k}\nä</p>") for k in range(95)] + [(7, "again"), (7, "again"), (-3, ""), (None, "no id")]
+    rows = [(k, f"<p>{k}\nä</p>") for k in range(95)] + [(7, "again"), (7, "again"), (-3, ""), (None, "no id"), (8, None)]
     spark.createDataFrame(rows, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
     got = [tuple(r) for r in plans.page_files(spark, str(tmp_path)).collect()]
-    assert sorted(got, key=str) == sorted(((k, hashlib.md5(f"{h}\n".encode()).hexdigest(), len(h) + 1) for k, h in rows), key=str)
+    assert sorted((r for r in got if r[1]), key=str) == sorted(((k, hashlib.md5(f"{h}\n".encode()).hexdigest(), len(h) + 1) for k, h in rows if h is not None), key=str)
+    assert [r for r in got if r[1] is None] == [(8, None, None)]
     folders = [f for f in (tmp_path / "pages" / "pages").iterdir() if f.is_dir()]
     assert 1 < len(folders) <= 10 and sum(1 for f in folders for _ in f.iterdir()) == len(rows)
 
