@@ -321,24 +321,24 @@ _JUDGED = f"""WITH refs AS ({REFS}), raw AS ({RAW}), joined AS (
 
 
 def _named_refs(spark, sf_dir) -> DataFrame:
-    """The references of strains that records name; no record tries the others' patterns."""
+    """The references of strains that the records of raw name; these try no others' patterns."""
     named = spark.sql(RAW.replace("FROM orders", "FROM {source}"), source=_table(spark, sf_dir, "orders")).select("ncppb_number").distinct()
     return refs(spark, sf_dir).join(named, "ncppb_number", "left_semi")
 
 
-def _patterns(spark, sf_dir) -> DataFrame:
-    found = identifiers.extract_identifiers(_named_refs(spark, sf_dir), carry=("p_partkey",))
+def _patterns(references: DataFrame) -> DataFrame:
+    found = identifiers.extract_identifiers(references, carry=("p_partkey",))
     return evidence.build_patterns(found.withColumn("ord", F.col("p_partkey") * 1000 + F.col("place")), "ord")
 
 
 def _judged(spark, sf_dir) -> DataFrame:
-    return evidence.classify_rows(raw(spark, sf_dir), _patterns(spark, sf_dir))
+    return evidence.classify_rows(raw(spark, sf_dir), _patterns(_named_refs(spark, sf_dir)))
 
 
 @query(_JUDGED + " SELECT ncbi_uid, best AS matched_identifier FROM best WHERE best <> ''")
 def pattern_match_best(spark, sf_dir):
     """JN1, JN2, AGG7, AGG8, SCL23, SCL24, FLT7, RUL3"""
-    joined = raw(spark, sf_dir).where("status = 'ok'").join(_patterns(spark, sf_dir), "ncppb_number")
+    joined = raw(spark, sf_dir).where("status = 'ok'").join(_patterns(_named_refs(spark, sf_dir)), "ncppb_number")
     best = evidence.best_identifier(F.col("patterns"), F.col("metadata_text"))
     return joined.select("ncbi_uid", best["value"].alias("matched_identifier")).where("matched_identifier IS NOT NULL")
 
@@ -621,8 +621,9 @@ SELECT r.*, level AS evidence_level, decision AS evidence_decision, class AS evi
 FROM rows r JOIN part ON r.ncppb_number = 'NCPPB ' || p_partkey JOIN {_CASES} ON p_partkey % 11 = k""")
 def evidence_classes(spark, sf_dir):
     """RUL2 (all eleven classes), RUL3, RUL4, PRJ6, SCL23, SCL24, SCL26: every column, row by row"""
-    rows = spark.sql(EVIDENCE_ROWS.replace("FROM part", "FROM {part}"), part=_table(spark, sf_dir, "part"))
-    return evidence.classify_rows(rows, _patterns(spark, sf_dir)).select(*EVIDENCE)
+    rows = spark.sql(EVIDENCE_ROWS.replace("FROM part", "FROM {part}"), part=_parts(spark, sf_dir))
+    patterns = _patterns(refs(spark, sf_dir)).hint("merge")  # by the size of its file Spark would broadcast every part's patterns
+    return evidence.classify_rows(rows, patterns).select(*EVIDENCE)
 
 
 # Catalogue pages -----------------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 import pytest
 
 from accessio.operators import evidence, report
+from accessio.plans import catalogue_queries as plans
 from accessio.schema import EVIDENCE
 
 IDS = [
@@ -67,3 +68,30 @@ def test_split_covers_all(spark):
     rows = classify(spark, [("NCPPB 45", *given, "") for given, _ in CASES])
     tally = report.rollup_counts(rows, "evidence_decision", "evidence_class")
     assert tally.where("level = 3").first().n == len(CASES)
+
+
+# Class and named identifier of a part, by p_partkey % 11.
+PARTS = [
+    ("no_biosample_candidate", ""),
+    ("review_query_error", ""),
+    ("reject_conflicting_identifier", "NCPPB {k}"),
+    ("review_strong_identifier_non_target_organism", "ICMP {k}"),
+    ("reject_weak_identifier_non_target_organism", "B {size}"),
+    ("reject_non_target_taxon", ""),
+    ("confirmed_ncppb_identifier", "NCPPB {k}"),
+    ("confirmed_equivalent_collection_identifier", "ICMP {k}"),
+    ("review_local_or_donor_identifier_only", "B {size}"),
+    ("review_taxon_only", ""),
+    ("review_no_organism_or_strain_identifier", ""),
+]
+
+
+def test_strains_that_no_order_names(spark, tmp_path):
+    """Every part's strain has its patterns, whichever strains the orders name; they aren't broadcast."""
+    spark.range(295, 320).selectExpr("id AS p_partkey", "'a ring' AS p_name", "CAST(1 + id % 50 AS INT) AS p_size").write.parquet(str(tmp_path / "part.parquet"))
+    spark.range(295, 297).selectExpr("id AS o_orderkey", "id AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    found = plans.evidence_classes(spark, str(tmp_path))
+    got = {r.ncppb_number: (r.evidence_class, r.matched_identifier) for r in found.collect()}
+    want = {f"NCPPB {k}": (PARTS[k % 11][0], PARTS[k % 11][1].format(k=k, size=1 + k % 50)) for k in range(295, 320)}
+    assert got == want
+    assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
